@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -124,8 +125,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _with_print(docs: DataFrame, text_col: str, width: int, seed: int) -> DataFrame:
     """``docs`` with a column ``fp``; for the few rows that have no id to join by."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, width, seed) for t in texts], np.uint64).view(np.int64))
