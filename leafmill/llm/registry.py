@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from leafmill.llm import simhash
+from leafmill.llm import decontaminate, mixing, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": simhash.query,
+        "op2_decontamination": decontaminate.query,
+        "op4_sharding": sharding.query,
+        "op7_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_decontamination": decontaminate.SQL}
