@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from leafmill.llm import decontaminate, mixing, sharding, simhash
+from leafmill.llm import decontaminate, embeddings, mixing, sharding, simhash, substrings, tokens, toxicity, urls, warc
 
 
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": simhash.query,
         "op2_decontamination": decontaminate.query,
+        "op3_warc": warc.query,
         "op4_sharding": sharding.query,
+        "op5_substring_dedup": substrings.query,
+        "op6_embedding_near_dedup": embeddings.query,
         "op7_mixing": mixing.query,
+        "op8_toxicity": toxicity.query,
+        "op9_url_filter": urls.query,
+        "op10_token_counts": tokens.query,
     }
 
 
