@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Words of a window and words from one window to the next.
 WINDOW, STRIDE = 32, 24
@@ -308,8 +309,7 @@ def scored(docs: DataFrame, net: Network | float, text_col: str = "text") -> Dat
             scores = scorer.scores(batch.column(where).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "toxicity"])
 
-    fields = docs.schema.add("toxicity", "double")
-    return docs.mapInArrow(batches, fields)
+    return docs.mapInArrow(batches, StructType([*docs.schema.fields, StructField("toxicity", DoubleType())]))
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Network | float:

@@ -76,4 +76,4 @@ def test_decoding_lists_exactly_the_caps():
     scores = (a[:, :, None] + b[:, None, :]).reshape(40, -1)
     fourth = np.sort(scores, axis=1)[:, -4]
     want = {tuple(x) for x in np.argwhere(scores >= np.minimum(caps.edge, fourth)[:, None] - 1e-12)}
-    assert set(zip(*map(np.ndarray.tolist, caps.decode(unit)), strict=True)) == want
+    assert set(zip(*map(np.ndarray.tolist, caps.decode(unit, 4)), strict=True)) == want

@@ -19,7 +19,8 @@ def test_held_out_accuracy(spark):
 
 def toy(n, seed=0):
     rng = np.random.default_rng(seed)
-    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 7)))
+    known = ["".join(np.random.default_rng(k).choice(list("abcdefghij"), 2 + k % 5)) for k in range(80)]
+    word = lambda: known[rng.integers(80)]
     rows = []
     for k in range(n):
         words = [word() for _ in range(rng.integers(5, 90))]
