@@ -1 +1,243 @@
-"""Named queries over the text core."""
+"""Queries of the text core over ``documents``: info, language, paragraphs, sentences, packing, timing, scenes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from leafmill import constants as C
+from leafmill.functions import language, text, timing
+from leafmill.operators import segmentation as seg
+from leafmill.plans import sql
+from leafmill.plans.catalog import register
+from leafmill.session import table
+
+_WORDS = r"len(regexp_extract_all(text, '\S+'))"
+
+
+@register(
+    "doc_info",
+    f"WITH {sql.STOPS}, {sql.LANGUAGE} SELECT doc_id, CAST({_WORDS} AS BIGINT) AS words, round({_WORDS} / 175.0 * 60, 6) AS seconds, "
+    f"{sql.duration(f'{_WORDS} / 175.0 * 60')} AS duration, language FROM documents JOIN language USING (doc_id)",
+)
+def doc_info(spark, sf_dir: str) -> DataFrame:
+    """[A1, A2, A4, J13, X13, X14, K2] Words, narration time and language of every document."""
+    words = text.word_count(F.col("text")).cast("long")
+    df = table(spark, sf_dir, "documents").select("doc_id", words.alias("words"), language.detect_language(F.col("text")).alias("language"))
+    seconds = timing.estimate_seconds(F.col("words"))
+    return df.select("doc_id", "words", F.round(seconds, 6).alias("seconds"), timing.format_duration(seconds).alias("duration"), "language")
+
+
+@register(
+    "language_confusion",
+    f"WITH {sql.STOPS}, {sql.LANGUAGE} SELECT lang, language, CAST(count(*) AS BIGINT) AS n FROM documents JOIN language USING (doc_id) GROUP BY ALL",
+)
+def language_confusion(spark, sf_dir: str) -> DataFrame:
+    """[A4] Detected against stated language."""
+    df = table(spark, sf_dir, "documents").select("lang", language.detect_language(F.col("text")).alias("language"))
+    return df.groupBy("lang", "language").agg(F.count("*").alias("n"))
+
+
+@register("paragraphs", f"WITH {sql.PARAGRAPHS} SELECT doc_id, CAST(para_no AS INT) AS para_no, text FROM paragraphs")
+def paragraphs(spark, sf_dir: str) -> DataFrame:
+    """[P1, P2, X2, F3] Paragraphs of every document."""
+    df = table(spark, sf_dir, "documents")
+    return df.select("doc_id", F.posexplode(seg.document_paragraphs(F.col("text"))).alias("para_no", "text"))
+
+
+@register("sentences", f"WITH {sql.PARAGRAPHS}, {sql.SENTENCES} SELECT doc_id, CAST(para_no AS INT) AS para_no, CAST(sent_no AS INT) AS sent_no, text FROM sentences")
+def sentences(spark, sf_dir: str) -> DataFrame:
+    """[P3] Sentences of every paragraph."""
+    df = paragraphs(spark, sf_dir)
+    return df.select("doc_id", "para_no", F.posexplode(text.sentences(F.col("text"))).alias("sent_no", "text"))
+
+
+@register(
+    "sentence_stats",
+    f"WITH {sql.PARAGRAPHS}, {sql.SENTENCES} SELECT doc_id, CAST(count(*) AS BIGINT) AS n_sentences, CAST(max(length(text)) AS BIGINT) AS longest, "
+    r"CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS words FROM sentences GROUP BY doc_id",
+)
+def sentence_stats(spark, sf_dir: str) -> DataFrame:
+    """[A1, A12] Sentences, their longest and their words, by document; summed within the row."""
+    found = F.flatten(F.transform(seg.document_paragraphs(F.col("text")), lambda p: text.sentences(p)))
+    df = table(spark, sf_dir, "documents").select("doc_id", found.alias("s")).where(F.size("s") > 0)
+    total = lambda f: F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + f(x))
+    return df.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"), total(text.word_count).alias("words"))
+
+
+#: Units of packing in SQL; sentences over the limit are wrapped by words.
+_UNITS = """
+broken AS (SELECT doc_id, para_no, sent_no, CASE WHEN length(text) <= {most} THEN [text] ELSE list_append(f.out, f.cur) END AS p FROM (SELECT *, list_reduce(list_transform(string_split(text, ' '), lambda x: {{'out': CAST([] AS VARCHAR[]), 'cur': x}}), lambda s, x:
+  CASE WHEN s.cur <> '' AND length(s.cur) + length(x.cur) + 1 > {most} THEN {{'out': list_append(s.out, s.cur), 'cur': x.cur}} ELSE {{'out': s.out, 'cur': CASE WHEN s.cur = '' THEN x.cur ELSE s.cur || ' ' || x.cur END}} END, {{'out': CAST([] AS VARCHAR[]), 'cur': ''}}) AS f FROM sentences)),
+fitting AS (SELECT doc_id, para_no, sent_no, unnest(p) AS text, unnest(range(0, len(p))) AS sub FROM broken),
+units AS (SELECT doc_id, para_no, 0 AS sent_no, 0 AS sub, text, true AS whole, true AS first FROM paragraphs WHERE length(text) <= {most}
+          UNION ALL SELECT s.doc_id, s.para_no, s.sent_no, s.sub, s.text, false, s.sent_no = 0 AND s.sub = 0 FROM fitting s JOIN paragraphs p USING (doc_id, para_no) WHERE length(p.text) > {most}),
+listed AS (SELECT doc_id, list({{'text': text, 'whole': whole, 'first': first}} ORDER BY para_no, sent_no, sub) AS u FROM units GROUP BY doc_id),
+folded AS (SELECT doc_id, list_reduce(list_transform(u, lambda x: {{'out': CAST([] AS STRUCT(text VARCHAR, e BOOLEAN)[]), 'buf': '', 'text': x.text, 'whole': x.whole, 'first': x.first}}), lambda s, x:
+  CASE WHEN x.whole AND length(s.buf) + length(x.text) + 1 <= {most} THEN {{'out': s.out, 'buf': CASE WHEN s.buf = '' THEN x.text ELSE s.buf || chr(10) || x.text END, 'text': '', 'whole': false, 'first': false}}
+       WHEN x.whole OR x.first THEN {{'out': CASE WHEN s.buf = '' THEN s.out ELSE list_append(s.out, {{'text': s.buf, 'e': true}}) END, 'buf': x.text, 'text': '', 'whole': false, 'first': false}}
+       WHEN s.buf <> '' AND length(s.buf) + length(x.text) + 1 > {most} THEN {{'out': list_append(s.out, {{'text': s.buf, 'e': false}}), 'buf': x.text, 'text': '', 'whole': false, 'first': false}}
+       ELSE {{'out': s.out, 'buf': CASE WHEN s.buf = '' THEN x.text ELSE s.buf || ' ' || x.text END, 'text': '', 'whole': false, 'first': false}} END,
+  {{'out': CAST([] AS STRUCT(text VARCHAR, e BOOLEAN)[]), 'buf': '', 'text': '', 'whole': false, 'first': false}}) AS s FROM listed),
+chunked AS (SELECT doc_id, CASE WHEN s.buf = '' THEN s.out ELSE list_append(s.out, {{'text': s.buf, 'e': true}}) END AS c FROM folded),
+chunks AS (SELECT doc_id, k AS chunk_no, c[k + 1].text AS text, c[k + 1].e AS ends_paragraph FROM (SELECT doc_id, c, unnest(range(0, len(c))) AS k FROM chunked))"""
+
+
+@register(
+    "chunks_900",
+    f"WITH {sql.PARAGRAPHS}, {sql.SENTENCES}, {_UNITS.format(most=900)} SELECT doc_id, CAST(chunk_no AS INT) AS chunk_no, text, ends_paragraph FROM chunks",
+)
+def chunks_900(spark, sf_dir: str) -> DataFrame:
+    """[P4, P5] Chunks of at most 900 characters."""
+    found = seg.chunks(seg.document_paragraphs(F.col("text")), 900)
+    df = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("chunk_no", "c"))
+    return df.select("doc_id", "chunk_no", "c.text", "c.ends_paragraph")
+
+
+@register(
+    "segments_20k",
+    f"WITH {sql.PARAGRAPHS}, {sql.SENTENCES}, {_UNITS.format(most=20000)} SELECT doc_id, CAST(chunk_no AS INT) AS segment_no, text FROM chunks",
+)
+def segments_20k(spark, sf_dir: str) -> DataFrame:
+    """[P7] Segments of at most 20,000 characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(seg.segments(seg.document_paragraphs(F.col("text")))).alias("segment_no", "text"))
+
+
+_PARTS = """
+spoken AS (SELECT doc_id, chunk_no, ends_paragraph, len(regexp_extract_all(text, '\\S+')) / 175.0 * 60 + 0.25 AS seconds FROM chunks),
+lists AS (SELECT doc_id, list(seconds ORDER BY chunk_no) AS d, list(ends_paragraph ORDER BY chunk_no) AS e, list_reduce(list(seconds ORDER BY chunk_no), lambda a, b: a + b) AS total FROM spoken GROUP BY doc_id),
+planned AS (SELECT doc_id, d, list_reduce(list_transform(range(1, len(d) + 1), lambda i: {{'out': CAST([] AS INT[]), 'rest': total, 'target': 0.0::DOUBLE, 'elapsed': d[i], 'part': 0, 'empty': true, 'ended': e[i]}}), lambda s, x:
+  CASE WHEN NOT s.empty AND total > {most} AND (s.elapsed + x.elapsed > {most} OR (s.elapsed + x.elapsed - s.target > 0 AND s.target - s.elapsed < (CASE WHEN s.ended THEN 2.0 ELSE 1.0 END) * (s.elapsed + x.elapsed - s.target)))
+  THEN {{'out': list_append(s.out, s.part + 1), 'rest': s.rest - s.elapsed, 'target': CASE WHEN s.rest - s.elapsed > {most} THEN (s.rest - s.elapsed) / ceil((s.rest - s.elapsed) / {most}) ELSE s.rest - s.elapsed END,
+        'elapsed': x.elapsed, 'part': s.part + 1, 'empty': false, 'ended': x.ended}}
+  ELSE {{'out': list_append(s.out, s.part), 'rest': s.rest, 'target': s.target, 'elapsed': s.elapsed + x.elapsed, 'part': s.part, 'empty': false, 'ended': x.ended}} END,
+  {{'out': CAST([] AS INT[]), 'rest': total, 'target': CASE WHEN total > {most} THEN total / ceil(total / {most}) ELSE total END, 'elapsed': 0.0::DOUBLE, 'part': 0, 'empty': true, 'ended': false}}) AS s FROM lists),
+parts AS (SELECT doc_id, s.out[k] AS part_no, d[k] AS seconds, k - 1 AS chunk_no FROM (SELECT doc_id, s, d, unnest(range(1, len(d) + 1)) AS k FROM planned))"""
+
+
+def _timed_chunks(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, c, d): chunks of a document and their seconds with the gap behind each."""
+    df = table(spark, sf_dir, "documents").select("doc_id", seg.chunks(seg.document_paragraphs(F.col("text")), 900).alias("c")).where(F.size("c") > 0)
+    return df.withColumn("d", F.transform("c", lambda c: timing.estimate_seconds(text.word_count(c["text"])) + C.CHUNK_GAP))
+
+
+def _parts(spark, sf_dir: str, most: float) -> DataFrame:
+    df = _timed_chunks(spark, sf_dir).withColumn("p", seg.plan_parts(F.col("d"), F.transform("c", lambda c: c["ends_paragraph"]), most))
+    return df.select("doc_id", F.posexplode(F.arrays_zip("p", "d")).alias("chunk_no", "x")).select("doc_id", "chunk_no", F.col("x.p").alias("part_no"), F.col("x.d").alias("seconds"))
+
+
+_PARTS_60 = f"WITH {sql.PARAGRAPHS}, {sql.SENTENCES}, {_UNITS.format(most=900)}, {_PARTS.format(most='60.0')}"
+
+
+@register("parts_plan", f"{_PARTS_60} SELECT doc_id, CAST(chunk_no AS INT) AS chunk_no, CAST(part_no AS INT) AS part_no, round(seconds, 6) AS seconds FROM parts")
+def parts_plan(spark, sf_dir: str) -> DataFrame:
+    """[W1, X12] The part of every chunk, with parts of a minute at most."""
+    return _parts(spark, sf_dir, 60.0).withColumn("seconds", F.round("seconds", 6))
+
+
+@register(
+    "part_files",
+    f"{_PARTS_60}, sized AS (SELECT doc_id, part_no, count(*) AS chunks, sum(seconds) AS seconds FROM parts GROUP BY ALL), n AS (SELECT doc_id, count(*) AS parts FROM sized GROUP BY doc_id) "
+    "SELECT doc_id, CAST(part_no AS INT) AS part_no, CAST(chunks AS BIGINT) AS chunks, round(seconds, 4) AS seconds, "
+    "'01 - Document ' || doc_id || CASE WHEN parts > 1 THEN '_' || (part_no + 1) ELSE '' END || '.mp3' AS filename, "
+    "'Document ' || doc_id || CASE WHEN parts > 1 THEN ' (' || (part_no + 1) || ')' ELSE '' END AS tag_title FROM sized JOIN n USING (doc_id)",
+)
+def part_files(spark, sf_dir: str) -> DataFrame:
+    """[X8, X9, X17, K7, K11] File name, title tag and length of every part."""
+    from leafmill.operators import media
+
+    parts = _parts(spark, sf_dir, 60.0).groupBy("doc_id", "part_no").agg(F.count("*").alias("chunks"), F.sum("seconds").alias("seconds"))
+    title = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
+    total = F.count("*").over(Window.partitionBy("doc_id"))
+    names = parts.withColumn("parts", total)
+    return names.select(
+        "doc_id", "part_no", "chunks", F.round("seconds", 4).alias("seconds"),
+        media.part_filename(F.lit(1), F.lit(1), title, F.col("part_no") + 1, F.col("parts"), "mp3").alias("filename"),
+        media.part_title(title, F.col("part_no") + 1, F.col("parts")).alias("tag_title"),
+    )
+
+
+@register(
+    "track_numbers",
+    f"{_PARTS_60} SELECT doc_id, CAST(part_no AS INT) AS part_no, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id, part_no) AS INT) AS track "
+    "FROM (SELECT DISTINCT doc_id, part_no FROM parts) JOIN documents USING (doc_id)",
+)
+def track_numbers(spark, sf_dir: str) -> DataFrame:
+    """[W10] Parts numbered through; each source plays a book and its documents the chapters.
+
+    Only (source, document, number of parts) is sorted within a source; tracks follow from running sums.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", seg.chunks(seg.document_paragraphs(F.col("text")), 900).alias("c")).where(F.size("c") > 0)
+    d = F.transform("c", lambda c: timing.estimate_seconds(text.word_count(c["text"])) + C.CHUNK_GAP)
+    counts = docs.select("doc_id", "source", F.array_max(seg.plan_parts(d, F.transform("c", lambda c: c["ends_paragraph"]), 60.0)).alias("last"))
+    before = F.coalesce(F.sum(F.col("last") + 1).over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.withColumn("before", before).select("doc_id", F.explode(F.sequence(F.lit(0), "last")).alias("part_no"), "before").select("doc_id", "part_no", (F.col("before") + F.col("part_no") + 1).cast("int").alias("track"))
+
+
+_CUES = r"""
+cue_words AS (SELECT doc_id, para_no, sent_no, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM sentences),
+wrapped AS (SELECT doc_id, para_no, sent_no, list_reduce(list_transform(w, lambda x: {'out': CAST([] AS VARCHAR[]), 'cur': x}), lambda s, x:
+  CASE WHEN s.cur <> '' AND length(s.cur) + length(x.cur) + 1 > 90 THEN {'out': list_append(s.out, s.cur), 'cur': x.cur}
+       ELSE {'out': s.out, 'cur': CASE WHEN s.cur = '' THEN x.cur ELSE s.cur || ' ' || x.cur END} END, {'out': CAST([] AS VARCHAR[]), 'cur': ''}) AS s FROM cue_words),
+cue_lists AS (SELECT doc_id, para_no, sent_no, list_append(s.out, s.cur) AS c FROM wrapped),
+cues AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY para_no, sent_no, k) - 1 AS cue_no, c[k] AS cue
+         FROM (SELECT *, unnest(range(1, len(c) + 1)) AS k FROM cue_lists))"""
+
+
+@register("subtitle_cues", f"WITH {sql.PARAGRAPHS}, {sql.SENTENCES}, {_CUES} SELECT doc_id, CAST(cue_no AS INT) AS cue_no, cue FROM cues")
+def subtitle_cues(spark, sf_dir: str) -> DataFrame:
+    """[P9] Subtitle lines of at most 90 characters, of every paragraph in turn."""
+    cues = F.flatten(F.transform(seg.document_paragraphs(F.col("text")), seg.subtitle_cues))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(cues).alias("cue_no", "cue"))
+
+
+@register(
+    "srt_cues",
+    f"WITH {sql.PARAGRAPHS}, {sql.SENTENCES}, {_CUES}, timed AS (SELECT doc_id, cue_no, cue, sum(length(cue)) OVER (PARTITION BY doc_id) AS total, "
+    "coalesce(sum(length(cue)) OVER (PARTITION BY doc_id ORDER BY cue_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, "
+    r"len(regexp_extract_all(d.text, '\S+')) / 175.0 * 60 AS audio FROM cues JOIN documents d USING (doc_id)) "
+    f"SELECT doc_id, CAST(cue_no + 1 AS INT) AS number, {sql.srt('0.2 + audio * before / total')} AS starts, {sql.srt('0.2 + audio * (before + length(cue)) / total')} AS ends, cue FROM timed",
+)
+def srt_cues(spark, sf_dir: str) -> DataFrame:
+    """[W5, W8, X15, K6] Timed cues of every document as one clip; the speech is shared by length."""
+    from leafmill.operators import media
+
+    df = table(spark, sf_dir, "documents")
+    cues = F.flatten(F.transform(seg.document_paragraphs(F.col("text")), seg.subtitle_cues))
+    df = df.select("doc_id", cues.alias("cues"), timing.estimate_seconds(text.word_count(F.col("text"))).alias("audio"))
+    return df.select("doc_id", F.explode(media.timed_cues(F.col("cues"), F.lit(0.0), F.col("audio"))).alias("x")).select("doc_id", F.col("x.number").alias("number"), timing.srt_time(F.col("x.start")).alias("starts"), timing.srt_time(F.col("x.stop")).alias("ends"), "x.cue")
+
+
+@register("extractive_scenes")
+def extractive_scenes(spark, sf_dir: str) -> DataFrame:
+    """[P8, B1] Slides of every document: title, bullets, narration."""
+    title = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
+    found = seg.scenes(title, seg.document_paragraphs(F.col("text")))
+    df = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("scene_no", "s"))
+    return df.select("doc_id", "scene_no", "s.title", F.array_join("s.bullets", " | ").alias("bullets"), "s.narration")
+
+
+_SCENE_UNITS = r"""
+para_words AS (SELECT *, len(regexp_extract_all(text, '\S+')) AS words FROM paragraphs),
+scene_units AS (SELECT doc_id, para_no, 0 AS k, text, true AS start, words FROM para_words WHERE words <= 170
+  UNION ALL SELECT s.doc_id, s.para_no, s.sent_no, s.text, s.sent_no = 0, len(regexp_extract_all(s.text, '\S+')) FROM sentences s JOIN para_words p USING (doc_id, para_no) WHERE p.words > 170),
+scene_lists AS (SELECT doc_id, list(words ORDER BY para_no, k) AS w FROM scene_units GROUP BY doc_id),
+scene_fold AS (SELECT doc_id, list_reduce(list_transform(w, lambda x: {'out': CAST([] AS INT[]), 'n': CAST(x AS BIGINT), 'scene': 0}), lambda s, x:
+  CASE WHEN s.n >= 119 THEN {'out': list_append(s.out, s.scene + 1), 'n': x.n, 'scene': s.scene + 1} ELSE {'out': list_append(s.out, s.scene), 'n': s.n + x.n, 'scene': s.scene} END,
+  {'out': CAST([] AS INT[]), 'n': CAST(0 AS BIGINT), 'scene': 0}).out AS scene FROM scene_lists),
+numbered_units AS (SELECT u.*, f.scene[row_number() OVER (PARTITION BY doc_id ORDER BY para_no, k)] AS scene_no FROM scene_units u JOIN scene_fold f USING (doc_id))"""
+
+
+@register(
+    "scene_sizes",
+    f"WITH {sql.PARAGRAPHS}, {sql.SENTENCES}, {_SCENE_UNITS}, n AS (SELECT doc_id, max(scene_no) + 1 AS total FROM numbered_units GROUP BY doc_id) "
+    "SELECT doc_id, CAST(scene_no AS INT) AS scene_no, 'Document ' || doc_id || CASE WHEN any_value(total) > 1 THEN ' (' || (scene_no + 1) || '/' || any_value(total) || ')' ELSE '' END AS title, "
+    "CAST(sum(words) AS BIGINT) AS words, CAST(length(string_agg(text, ' ' ORDER BY para_no, k)) AS BIGINT) AS chars, "
+    "CAST(least(4, greatest(1, count(*) FILTER (WHERE start))) AS BIGINT) AS bullets FROM numbered_units JOIN n USING (doc_id) GROUP BY doc_id, scene_no",
+)
+def scene_sizes(spark, sf_dir: str) -> DataFrame:
+    """[P8, P13] Words, characters and bullets of every slide."""
+    title = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
+    df = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(seg.scenes(title, seg.document_paragraphs(F.col("text")))).alias("scene_no", "s"))
+    return df.select("doc_id", "scene_no", "s.title", text.word_count(F.col("s.narration")).cast("long").alias("words"), F.length("s.narration").cast("long").alias("chars"), F.size("s.bullets").cast("long").alias("bullets"))
