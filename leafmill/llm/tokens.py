@@ -14,8 +14,9 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: What a character without a piece costs below the worst piece.
 UNKNOWN = 10.0
 #: Trie nodes and remembered words a task holds before it starts afresh, and the longest pre-token that enters the trie.
-MAX_NODES, MAX_WORDS, MAX_STORED = 400_000, 300_000, 64
+MAX_NODES, MAX_WORDS, MAX_STORED = 500_000, 1_000_000, 64
 SPACE = "▁"
+MISSING = object()
 
 
 def read_pieces(data: bytes) -> dict[str, float]:
@@ -67,48 +68,62 @@ class Counter:
     """
 
     def __init__(self, pieces: dict[str, float]):
-        self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
         self.unknown = min(pieces.values(), default=0.0) - UNKNOWN
-        self.clear()
-
-    def clear(self) -> None:
-        self.children: dict[tuple[int, str], int] = {}
-        self.forward: list[tuple[float, int]] = [(0.0, 0)]
+        self.pieces: dict[str, float | None] = {}  # beside the pieces their beginnings, without a score
+        for piece in pieces:
+            for end in range(1, len(piece)):
+                self.pieces.setdefault(piece[:end])
+        self.pieces |= pieces
         self.words: dict[str, int] = {}
+        self.prune()
 
-    def _step(self, text: str, end: int, scores: list[tuple[float, int]]) -> tuple[float, int]:
-        """Forward score and count of text[:end]; scores has those of all shorter prefixes."""
-        last = text[end - 1]
-        score, count = scores[end - 1]
-        best = (score + self.unknown, -(count + len(last.encode("utf-8", "surrogatepass"))))
-        for start in range(max(0, end - self.longest), end):
-            worth = self.pieces.get(text[start:end])
-            if worth is not None:
-                score, count = scores[start]
-                best = max(best, (score + worth, -count - 1))
-        return best[0], -best[1]
+    def prune(self) -> None:
+        """Drop the nodes; the terminal counts of words stay."""
+        self.children: dict[tuple[int, str], int] = {}
+        #: Of each node the score and count of its prefix, and the starts from which a piece may still go on.
+        self.forward: list[tuple[float, int, tuple[int, ...]]] = [(0.0, 0, ())]
+
+    def _step(self, text: str, end: int, path: list[tuple[float, int, tuple[int, ...]]]) -> tuple[float, int, tuple[int, ...]]:
+        """The node of text[:end]; path has those of all shorter prefixes."""
+        begin = end - 1
+        score, count, live = path[begin]
+        best, most, fewest = score + self.unknown, 0, -1
+        pieces, going = self.pieces, []
+        for start in (*live, begin):
+            worth = pieces.get(text[start:end], MISSING)
+            if worth is not MISSING:
+                going.append(start)
+                if worth is not None:
+                    before = path[start]
+                    total, n = before[0] + worth, before[1] + 1
+                    if total > best or total == best and (fewest < 0 or n < most):
+                        best, most, fewest = total, n, start
+        if fewest < 0:  # no piece ends here that is better than an unknown character
+            most = count + len(text[begin].encode("utf-8", "surrogatepass"))
+        return best, most, tuple(going)
 
     def count(self, word: str) -> int:
         """Tokens of one pre-token, of which the first character may be the space mark."""
         found = self.words.get(word)
         if found is not None:
             return found
-        if len(self.forward) > MAX_NODES or len(self.words) > MAX_WORDS:
-            self.clear()
+        if len(self.forward) > MAX_NODES:
+            self.prune()
+        if len(self.words) > MAX_WORDS:
+            self.words.clear()
+        path = [self.forward[0]]
         if len(word) > MAX_STORED:  # scored by itself; it would fill the trie
-            scores = [(0.0, 0)]
             for end in range(1, len(word) + 1):
-                scores.append(self._step(word, end, scores))
-            return scores[-1][1]
-        node, path = 0, [self.forward[0]]
+                path.append(self._step(word, end, path))
+            return path[-1][1]
+        node, children, forward = 0, self.children, self.forward
         for end, letter in enumerate(word, 1):
-            child = self.children.get((node, letter))
-            if child is None:
-                self.forward.append(self._step(word, end, path))
-                child = self.children[node, letter] = len(self.forward) - 1
-            node = child
-            path.append(self.forward[node])
+            key = (node, letter)
+            node = children.get(key)
+            if node is None:
+                forward.append(self._step(word, end, path))
+                node = children[key] = len(forward) - 1
+            path.append(forward[node])
         self.words[word] = path[-1][1]
         return path[-1][1]
 
