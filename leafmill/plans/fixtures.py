@@ -421,3 +421,58 @@ def script_fallback(spark, sf_dir: str) -> DataFrame:
     sections = rows.withColumn("paragraphs", F.array(F.lit("Some words.")))
     found = ports.scenes_or_fallback(sections, seg.scenes(F.col("title"), F.col("paragraphs")))
     return found.select("doc_id", "number", "source", F.explode("scenes").alias("s")).select("doc_id", "number", "source", "s.title", "s.narration")
+
+CLIPS = values("cl", "doc_id, clip_no, seconds, audio_seconds, narration", "(1, 1, CAST(5.0 AS DOUBLE), CAST(4.0 AS DOUBLE), 'One two. Three.')", "(1, 2, CAST(3.0 AS DOUBLE), CAST(2.0 AS DOUBLE), 'Four.')", "(2, 1, CAST(2.5 AS DOUBLE), CAST(2.0 AS DOUBLE), '')", "(2, 2, CAST(2.5 AS DOUBLE), CAST(2.0 AS DOUBLE), 'Five.')")
+
+
+@register("clip_cues", "SELECT * FROM (VALUES (1, 1, 0.2, 2.485714, 'One two.'), (1, 2, 2.485714, 4.2, 'Three.'), (1, 3, 5.2, 7.2, 'Four.'), (2, 1, 2.7, 4.7, 'Five.')) t(doc_id, number, start, stop, cue)")
+def clip_cues(spark, sf_dir: str) -> DataFrame:
+    """[W5, K6] Cues of several clips of a document."""
+    from leafmill.sources import sinks
+
+    (clips,) = frames(spark, CLIPS)
+    return sinks.clip_cues(clips).withColumns({c: F.round(c, 6) for c in ("start", "stop")})
+
+
+LEVELS = values("lv", "doc_id, level", "(1, 1)", "(1, 2)", "(1, 2)", "(1, 3)", "(2, 1)", "(2, 1)", "(3, 2)", "(4, 3)", "(4, 1)")
+
+
+@register("heading_levels", f"WITH {LEVELS}, c AS (SELECT doc_id, level, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY level) AS k FROM lv GROUP BY doc_id, level) SELECT doc_id, CASE WHEN max(n) FILTER (WHERE k = 1) = 1 AND count(*) > 1 THEN max(level) FILTER (WHERE k = 2) ELSE min(level) END AS outline, coalesce(min(level) FILTER (WHERE n >= 2), min(level)) AS repeated FROM c GROUP BY doc_id")
+def heading_levels(spark, sf_dir: str) -> DataFrame:
+    """[A7] The chapter level of documents, by either rule."""
+    (levels,) = frames(spark, LEVELS)
+    outline = structure.heading_level(levels, "outline").withColumnRenamed("level", "outline")
+    return outline.join(structure.heading_level(levels, "repeated").withColumnRenamed("level", "repeated"), "doc_id")
+
+
+PATHS = values("pa", "id, path, chars, images, drawings", "(1, '/a/b.c/My Book.pdf', 10, 1, 0)", "(2, 'x.txt', 10, 0, 21)", "(3, '\"/q d/e.md\"', 30, 5, 50)", "(4, 'file:///tmp/a%20b.txt', 0, 0, 3)", "(5, '/n/.hidden', 0, 0, 0)")
+
+
+@register(
+    "path_intake",
+    "SELECT * FROM (VALUES (1, '/a/b.c/My Book.pdf', '/a/b.c/My Book_audio', true), (2, 'x.txt', 'x_audio', true), (3, '/q d/e.md', '/q d/e_audio', false), (4, '/tmp/a b.txt', '/tmp/a b_audio', false), (5, '/n/.hidden', '/n/.hidden_audio', false)) t(id, path, folder, recognise)",
+)
+def path_intake(spark, sf_dir: str) -> DataFrame:
+    """[S17, X10, F10] Paths as given, output folders, and pages that need character recognition."""
+    from leafmill.sources import sinks
+
+    (rows,) = frames(spark, PATHS)
+    rows = rows.withColumn("path", sinks.local_path(F.col("path")))
+    return rows.select("id", "path", sinks.output_dir(F.col("path"), "audio").alias("folder"), sinks.needs_recognition(F.col("chars"), F.col("images"), F.col("drawings")).alias("recognise"))
+
+
+LISTED = values("li", "id, name, language, locale, gender", "('b', 'Beta', 'en', 'en-US', 'female')", "('a', 'Alpha', 'en', 'en-GB', '')", "('c', 'Cesar', 'es', 'es-ES', 'male')")
+
+
+@register("voice_list", "SELECT * FROM (VALUES ('en', 1, 'b', 'Beta (en-US, female)'), ('en', 2, 'a', 'Alpha (en-GB)'), ('cs', 1, 'b', 'Beta (en-US, female)'), ('cs', 2, 'a', 'Alpha (en-GB)'), ('cs', 3, 'c', 'Cesar (es-ES, male)')) t(wanted, ord, id, label)")
+def voice_list(spark, sf_dir: str) -> DataFrame:
+    """[F14, O1, X27] Voices on offer for a language, the current one first."""
+    (rows,) = frames(spark, LISTED)
+    lists = [catalogs.voices_for(rows, lang, "b").select(F.lit(lang).alias("wanted"), "ord", "id", catalogs.voice_label(F.col("name"), F.col("locale"), F.col("gender")).alias("label")) for lang in ("en", "cs")]
+    return lists[0].unionByName(lists[1])
+
+
+LANGUAGES = values("lg", "language", "('en')", "('cs')", "('xx')")
+register("language_names", "SELECT * FROM (VALUES ('en', 'English', 'eng'), ('cs', 'Czech', 'ces'), ('xx', 'xx', 'eng')) t(language, name, ocr)")(
+    on(LANGUAGES, lambda d: d.select("language", F.coalesce(F.try_element_at(catalogs.text_map(C.LANGUAGE_NAMES), F.col("language")), F.col("language")).alias("name"), F.coalesce(F.try_element_at(catalogs.text_map(C.OCR_CODES), F.col("language")), F.lit("eng")).alias("ocr")))
+)
