@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a chunk at least (the reach of the hash) and at most, bits of the hash that must be zero at a cut,
+#: Bytes of a chunk at least and at most, bits of the hash that must be zero at a cut,
 #: and words that consecutive repeated chunks need to be cut out as one passage.
-LEAST, MOST, CUT_BITS, MIN_WORDS = 32, 512, 2, 20
+LEAST, MOST, CUT_BITS, MIN_WORDS = 24, 512, 2, 15
 
 
 def _gear() -> np.ndarray:
     """The 256 random words of the gear hash, from a fixed rule."""
-    return np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=4, person=b"gear").digest(), "little") for b in range(256)], np.uint32)
+    return np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=2, person=b"gear").digest(), "little") for b in range(256)], np.uint16)
 
 
 GEAR = _gear()
@@ -27,15 +27,16 @@ SPACES[[9, 10, 11, 12, 13, 32]] = True
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
-    """Gear hash after each byte: h = 2 h + gear[byte] modulo 2**32, so a hash sees 32 bytes.
+    """Gear hash after each byte: h = 2 h + gear[byte] modulo 2**16, so a hash sees 16 bytes.
 
-    The sum over the 32 last bytes is built by doubling: 1, 2, 4, 8, 16 and 32 bytes.
+    The sum over the 16 last bytes is built by doubling: 1, 2, 4, 8 and 16 bytes. The short reach lets cuts
+    agree soon after the start of a passage that stands in two texts.
     """
     h = GEAR[data]
-    for reach in (1, 2, 4, 8, 16):
+    for reach in (1, 2, 4, 8):
         if len(h) <= reach:
             break
-        shifted = h[:-reach] << np.uint32(reach)
+        shifted = h[:-reach] << np.uint16(reach)
         h = h.copy()
         h[reach:] += shifted
     return h
@@ -45,13 +46,13 @@ def cuts(data: bytes, least: int = LEAST, most: int = MOST, bits: int = CUT_BITS
     """Ends of the chunks of ``data``.
 
     A chunk ends behind white space where the highest ``bits`` of the hash are zero, so a cut depends
-    on 32 bytes before it only and an insertion moves no later cut; never before ``least`` bytes, and at
+    on 16 bytes before it only and an insertion moves no later cut; never before ``least`` bytes, and at
     ``most`` bytes wherever that is. Together the chunks are the data.
     """
     if len(data) <= least:
         return [len(data)] if data else []
     raw = np.frombuffer(data, np.uint8)
-    at = (np.flatnonzero(SPACES[raw] & (rolling(raw) >> np.uint32(32 - bits) == 0)) + 1).tolist()
+    at = (np.flatnonzero(SPACES[raw] & (rolling(raw) >> np.uint16(16 - bits) == 0)) + 1).tolist()
     out, start = [], 0
     for end in at:
         while end - start > most:
@@ -102,18 +103,18 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     return source.mapInArrow(batches, f"id {id_type}, pos int, length int, words int, digest binary")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, **options: int) -> DataFrame:
-    """(id, spans): byte spans of each document that an earlier place has already.
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, within: bool = False, **options: int) -> DataFrame:
+    """(id, spans): byte spans of each document that an earlier document has already.
 
     Of the chunks with one digest the first (smallest id, then position) stays. A run of neighbouring
     repeated chunks is a passage, and counts if it has ``min_words`` words: shorter ones are turns of
     phrase. Chunks are counted by digest first; only digests that occur twice meet the chunks again,
     in a join whose other side has one row a digest, so Spark can split a digest that a third of all
-    documents share.
+    documents share. With ``within`` a document's own repetitions count too.
     """
     found = chunks(docs, id_col, text_col, **options).where("id is not null")
     first = found.groupBy("digest").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("__digest"), "first")
-    later = found.join(first, F.col("digest") == F.col("__digest")).where(F.struct("id", "pos") != F.col("first")).select("id", F.struct("pos", "length", "words").alias("c"))
+    later = found.join(first, F.col("digest") == F.col("__digest")).where(F.struct("id", "pos") != F.col("first") if within else F.col("id") != F.col("first.id")).select("id", F.struct("pos", "length", "words").alias("c"))
     by_doc = later.groupBy("id").agg(F.array_sort(F.collect_set("c")).alias("c"))
     return by_doc.select("id", _passages("c", min_words).alias("spans")).where(F.size("spans") > 0)
 
@@ -146,19 +147,19 @@ def _cut_out():
     return cut
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, **options: int) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, within: bool = False, **options: int) -> DataFrame:
     """``docs`` with repeated passages cut out of their texts.
 
     Null texts stay null and empty ones empty; rows of null id are not compared and stay as they are;
     rows that repeat an id have its chunks at equal places and are cut alike.
     """
-    spans = repeats(docs, id_col, text_col, min_words, **options).select(F.col("id").alias("__id"), F.col("spans").alias("__spans"))
+    spans = repeats(docs, id_col, text_col, min_words, within, **options).select(F.col("id").alias("__id"), F.col("spans").alias("__spans"))
     joined = docs.join(spans, docs[id_col] == spans["__id"], "left")
     return joined.withColumn(text_col, _cut_out()(F.col(text_col), F.col("__spans"))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_spans, repeated_bytes and repeated_words of every document, and its spans as text."""
+    """doc_id, n_bytes, n_spans, repeated_bytes and repeated_words of every document, its spans as text, and whether there are any."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     spans = repeats(docs).select(F.col("id").alias("__id"), "spans")
     sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
@@ -167,4 +168,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     return joined.select(
         "doc_id", "n_bytes", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), total(lambda s: s["stop"] - s["pos"]).alias("repeated_bytes"),
         total(lambda s: s["words"]).alias("repeated_words"), F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["pos"], s["stop"])), ",").alias("spans"),
+        F.col("spans").isNotNull().alias("repeated"),
     )

@@ -12,28 +12,27 @@ def plain_cuts(data, least=S.LEAST, most=S.MOST, bits=S.CUT_BITS):
     """Byte by byte: the gear hash over the whole text, cut by the rule."""
     out, start, h = [], 0, 0
     for i, b in enumerate(data):
-        h = ((h << 1) + int(S.GEAR[b])) & 0xFFFFFFFF
+        h = ((h << 1) + int(S.GEAR[b])) & 0xFFFF
         size = i + 1 - start
-        if size >= least and i + 1 >= 32 and b in b" \t\n\r\x0b\x0c" and h >> (32 - bits) == 0 or size == most:
+        if size >= least and b in b" \t\n\r\x0b\x0c" and h >> (16 - bits) == 0 or size == most:
             out.append(i + 1)
             start = i + 1
     return out + [len(data)] * (start < len(data))
 
 
-def brute(docs, min_words=S.MIN_WORDS):
+def brute(docs, min_words=S.MIN_WORDS, within=False):
     """{id: spans} from {id: text}."""
     seen, out = {}, {}
     for i in sorted(docs):
         data, start, runs = (docs[i] or "").encode(), 0, []
         for end in plain_cuts(data):
             chunk = data[start:end]
-            if chunk in seen:
+            if chunk in seen and (within or seen[chunk] != i):
                 if runs and runs[-1][1] == start:
                     runs[-1][1] = end
                 else:
                     runs.append([start, end])
-            else:
-                seen[chunk] = i
+            seen.setdefault(chunk, i)
             start = end
         spans = [tuple(r) for r in runs if len(data[r[0] : r[1]].split()) >= min_words]
         if spans:
@@ -81,3 +80,12 @@ def test_shared_passage_is_cut_once(spark):
     for i in range(1, 12):
         assert 80 * 2 <= len(rows[i].split()) < 80 * 2 + 40
     assert S.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_own_repetitions_on_request(spark):
+    line = "one line of nine words that a document repeats "
+    docs = {1: line * 9, 2: "nothing of the kind here", 3: line * 2}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for within in (False, True):
+        got = {r.id: [(s.pos, s.stop) for s in r.spans] for r in S.repeats(df, within=within).collect()}
+        assert got == brute(docs, within=within)
