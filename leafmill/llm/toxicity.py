@@ -284,13 +284,18 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Of the labelled documents that are not held out and have at most ``ROW_CHARS`` characters, those
     with the lowest hashes of id: at most ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` clean ones.
     """
-    wanted = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
+    wanted = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y"))
     short = docs.where(F.length(text_col) <= ROW_CHARS).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = short.join(wanted, F.col("id") == F.col("__id")).select("text", F.col("__y").alias("y"), F.xxhash64("id").alias("h"))
-    sizes = {r.y: r["count"] for r in wanted.groupBy(F.col("__y").alias("y")).count().collect()}
-    rows: list = []
+    known = short.select("id").join(wanted, F.col("id") == F.col("__id")).select("id", "y", F.xxhash64("id").alias("h"))
+    sizes = {r.y: r["count"] for r in wanted.groupBy("y").count().collect()}
+    picked = []  # ids first: what each task sends of its lowest hashes must not hold texts
     for y, most in ((1, TOXIC_ROWS), (0, CLEAN_ROWS)):
-        rows += [(r.text, y) for r in known.where(F.col("y") == y).orderBy("h", "text").limit(most).collect()]
+        picked += [(r.id, y) for r in known.where(F.col("y") == y).select("h", "id").distinct().orderBy("h", "id").limit(most).collect()]
+    rows: list = []
+    if picked:
+        chosen = docs.sparkSession.createDataFrame(picked, f"__id {short.schema['id'].dataType.simpleString()}, y int")
+        found = short.join(F.broadcast(chosen), F.col("id") == F.col("__id")).groupBy("id", "y").agg(F.min("text").alias("text")).collect()
+        rows = [(r.text, r.y) for r in sorted(found, key=lambda r: (-r.y, str(r.id)))]
     toxic = sum(y for _, y in rows)
     clean = len(rows) - toxic
     weight = 1.0 if not toxic or not clean else (sizes[0] / sizes[1]) / (clean / toxic)

@@ -31,11 +31,11 @@ def toy(n, seed=0):
 
 
 def test_learns_a_prefix_and_reruns_agree():
-    net = T.train(toy(240), 1.0)
+    net = T.train(toy(900), 1.0)
     test = toy(150, 9)
     scores = np.array(T.Scorer(net).scores([t for t, _ in test]))
     assert np.mean((scores >= 0.3) == np.array([y for _, y in test])) > 0.9
-    again = T.train(toy(240), 1.0)
+    again = T.train(toy(900), 1.0)
     assert all(np.array_equal(net.p[k], again.p[k]) for k in net.p)
 
 
