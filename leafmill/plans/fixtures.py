@@ -265,7 +265,7 @@ def choice_validation(spark, sf_dir: str) -> DataFrame:
     return figures.choose_images(scenes, images, choices)
 
 
-@register("illustrations_cleaned", "SELECT * FROM (VALUES (1, 'picture', 'a red house', 'zoom_in', 0), (2, NULL, NULL, NULL, NULL), (3, NULL, NULL, NULL, NULL), (4, 'diagram', '', 'reveal', 2), (5, NULL, NULL, NULL, NULL), (6, 'picture', 'a busy street without charts', 'pan', 0)) t(id, kind, prompt, animation, items)")
+@register("illustrations_cleaned", "SELECT * FROM (VALUES (1, 'picture', 'a red house', 'zoom_in', 0), (2, NULL, NULL, NULL, -1), (3, NULL, NULL, NULL, -1), (4, 'diagram', '', 'reveal', 2), (5, NULL, NULL, NULL, -1), (6, 'picture', 'a busy street without charts', 'pan', 0)) t(id, kind, prompt, animation, items)")
 def illustrations_cleaned(spark, sf_dir: str) -> DataFrame:
     """Illustrations repaired or dropped."""
     item = lambda label, detail, value: f"named_struct('label', '{label}', 'detail', '{detail}', 'value', double({value}))"
@@ -275,7 +275,7 @@ def illustrations_cleaned(spark, sf_dir: str) -> DataFrame:
         row(4, "diagram", "x", "pan", "bars", [item(" a ", "", 3), item("b", "", 0), item("c", "", -1), item(" ", "", 5)]), row(5, "diagram", "", "reveal", "cycle", [item("a", "", 1), item("b", "", 1)]), row(6, "picture", "a busy street without charts", "pan", "", []),
     ]
     df = spark.sql(" UNION ALL ".join(rows)).withColumn("c", figures.clean_illustration(F.col("ill")))
-    return df.select("id", "c.kind", "c.prompt", "c.animation", F.when(F.col("c").isNotNull(), F.size("c.items")).alias("items"))
+    return df.select("id", "c.kind", "c.prompt", "c.animation", F.when(F.col("c").isNotNull(), F.size("c.items")).otherwise(-1).alias("items"))
 
 
 VOICES = values("vo", "id, name, quality, code, family, size_bytes, num_speakers", "('cs_CZ-jirka-medium', 'jirka', 'medium', 'cs_CZ', 'cs', 63000000, 1)", "('hu_HU-anna-low', 'anna', 'low', 'hu_HU', 'hu', 0, 1)", "('hu_HU-imre-medium', 'imre', 'medium', 'hu_HU', 'hu', 60000000, 1)", "('hu_HU-multi-medium', 'multi', 'medium', 'hu_HU', 'hu', 1, 4)")
@@ -357,10 +357,10 @@ SECTIONS = values("se", "doc_id, section_no, number, chapter_title", "(1, 1, 2,
 CHAPTERS = values("cs", "doc_id, number, title", "(1, 1, 'A')", "(1, 2, 'B')", "(1, 3, 'B')")
 
 
-@register("section_chapters", f"WITH {SECTIONS}, {CHAPTERS} SELECT s.doc_id, section_no, CASE WHEN s.number <> 0 THEN (SELECT min(number) FROM cs c WHERE c.number = s.number) ELSE (SELECT min(number) FROM cs c WHERE c.title = s.chapter_title) END AS chapter FROM se s")
+@register("section_chapters", f"WITH {SECTIONS}, {CHAPTERS} SELECT s.doc_id, section_no, coalesce(CASE WHEN s.number <> 0 THEN (SELECT min(number) FROM cs c WHERE c.number = s.number) ELSE (SELECT min(number) FROM cs c WHERE c.title = s.chapter_title) END, -1) AS chapter FROM se s")
 def section_chapters(spark, sf_dir: str) -> DataFrame:
     """[J5] The chapter of every section."""
-    return structure.chapters_of_sections(*frames(spark, SECTIONS, CHAPTERS))
+    return structure.chapters_of_sections(*frames(spark, SECTIONS, CHAPTERS)).fillna(-1, ["chapter"])
 
 
 @register("reused_sections", f"WITH {SECTIONS}, {CHAPTERS} SELECT section_no FROM se s WHERE (number <> 0 AND number IN (SELECT number FROM cs)) OR (number = 0 AND chapter_title IN (SELECT title FROM cs))")
