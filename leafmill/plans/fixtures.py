@@ -425,7 +425,7 @@ def script_fallback(spark, sf_dir: str) -> DataFrame:
 CLIPS = values("cl", "doc_id, clip_no, seconds, audio_seconds, narration", "(1, 1, CAST(5.0 AS DOUBLE), CAST(4.0 AS DOUBLE), 'One two. Three.')", "(1, 2, CAST(3.0 AS DOUBLE), CAST(2.0 AS DOUBLE), 'Four.')", "(2, 1, CAST(2.5 AS DOUBLE), CAST(2.0 AS DOUBLE), '')", "(2, 2, CAST(2.5 AS DOUBLE), CAST(2.0 AS DOUBLE), 'Five.')")
 
 
-@register("clip_cues", "SELECT * FROM (VALUES (1, 1, 0.2, 2.485714, 'One two.'), (1, 2, 2.485714, 4.2, 'Three.'), (1, 3, 5.2, 7.2, 'Four.'), (2, 1, 2.7, 4.7, 'Five.')) t(doc_id, number, start, stop, cue)")
+@register("clip_cues", "SELECT doc_id, number, CAST(start AS DOUBLE) AS start, CAST(stop AS DOUBLE) AS stop, cue FROM (VALUES (1, 1, 0.2, 2.485714, 'One two.'), (1, 2, 2.485714, 4.2, 'Three.'), (1, 3, 5.2, 7.2, 'Four.'), (2, 1, 2.7, 4.7, 'Five.')) t(doc_id, number, start, stop, cue)")
 def clip_cues(spark, sf_dir: str) -> DataFrame:
     """[W5, K6] Cues of several clips of a document."""
     from leafmill.sources import sinks
