@@ -185,3 +185,42 @@ def limited_illustrations(spark, sf_dir: str) -> DataFrame:
     kind = F.when(n % 5 == 0, None).when(n % 2 == 0, "picture").otherwise("diagram")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(1).alias("section_no"), F.col("turn").alias("scene_no"), kind.alias("kind"))
     return figures.limit_illustrations(rows).drop("section_no")
+
+
+def _conversation_chapters(spark, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").where("text is not null")
+    title = F.concat(F.lit("Turn "), F.col("turn").cast("string"))
+    return rows.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("number"), title.alias("title"), F.array(text.strip(F.col("text"))).alias("paragraphs"), F.concat(F.lit("Talk "), F.col("conv_id").cast("string")).alias("doc_title"))
+
+
+@register("audiobook_plan")
+def audiobook_plan(spark, sf_dir: str) -> DataFrame:
+    """[K11] Audio files of every conversation, its turns as chapters, in parts of half a minute."""
+    from leafmill.operators import pipelines
+
+    out = pipelines.audiobook_plan(_conversation_chapters(spark, sf_dir), 0.5)
+    return out.withColumn("seconds", F.round("seconds", 4))
+
+
+@register(
+    "script_summary",
+    r"SELECT conv_id AS doc_id, CAST(turn AS INT) AS number, CAST(1 AS BIGINT) AS scenes, CAST(CASE WHEN role = 'user' THEN 1 ELSE 0 END AS BIGINT) AS illustrated, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS words FROM conversations WHERE text IS NOT NULL",
+)
+def script_summary(spark, sf_dir: str) -> DataFrame:
+    """[K13, A12] Scripts of one scene a turn; a user's turn counts as illustrated."""
+    from leafmill.operators import pipelines
+
+    rows = table(spark, sf_dir, "conversations").where("text is not null")
+    return pipelines.script_summary(rows.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("number"), F.col("text").alias("narration"), F.when(F.col("role") == "user", "picture").alias("kind")))
+
+
+@register("video_plan")
+def video_plan(spark, sf_dir: str) -> DataFrame:
+    """[K12, P8] Clips of every conversation's extractive slides, in parts of a minute."""
+    from leafmill.operators import pipelines
+    from leafmill.operators import segmentation as seg
+
+    chapters = _conversation_chapters(spark, sf_dir)
+    scenes = chapters.select("doc_id", "number", F.col("title").alias("chapter_title"), F.posexplode(seg.scenes(F.col("title"), F.col("paragraphs"))).alias("k", "s"))
+    rows = scenes.select("doc_id", "number", "chapter_title", (F.col("k") + 1).alias("scene_no"), "s.title", "s.narration")
+    return pipelines.video_plan(rows, 1.0).withColumns({c: F.round(c, 4) for c in ("audio_seconds", "seconds")})
