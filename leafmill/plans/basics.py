@@ -209,15 +209,6 @@ def srt_cues(spark, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.explode(media.timed_cues(F.col("cues"), F.lit(0.0), F.col("audio"))).alias("x")).select("doc_id", F.col("x.number").alias("number"), timing.srt_time(F.col("x.start")).alias("starts"), timing.srt_time(F.col("x.stop")).alias("ends"), "x.cue")
 
 
-@register("extractive_scenes")
-def extractive_scenes(spark, sf_dir: str) -> DataFrame:
-    """[P8, B1] Slides of every document: title, bullets, narration."""
-    title = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
-    found = seg.scenes(title, seg.document_paragraphs(F.col("text")))
-    df = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("scene_no", "s"))
-    return df.select("doc_id", "scene_no", "s.title", F.array_join("s.bullets", " | ").alias("bullets"), "s.narration")
-
-
 _SCENE_UNITS = r"""
 para_words AS (SELECT *, len(regexp_extract_all(text, '\S+')) AS words FROM paragraphs),
 scene_units AS (SELECT doc_id, para_no, 0 AS k, text, true AS start, words FROM para_words WHERE words <= 170
@@ -241,3 +232,21 @@ def scene_sizes(spark, sf_dir: str) -> DataFrame:
     title = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
     df = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(seg.scenes(title, seg.document_paragraphs(F.col("text")))).alias("scene_no", "s"))
     return df.select("doc_id", "scene_no", "s.title", text.word_count(F.col("s.narration")).cast("long").alias("words"), F.length("s.narration").cast("long").alias("chars"), F.size("s.bullets").cast("long").alias("bullets"))
+
+
+_BULLETS = r"""
+starts AS (SELECT u.doc_id, u.scene_no, list(s.text ORDER BY u.para_no)[1:4] AS b FROM numbered_units u JOIN sentences s ON s.doc_id = u.doc_id AND s.para_no = u.para_no AND s.sent_no = 0 WHERE u.start GROUP BY u.doc_id, u.scene_no),
+told AS (SELECT doc_id, scene_no, string_agg(text, ' ' ORDER BY para_no, k) AS narration, arg_min(text, para_no * 1000000 + k) AS opening FROM numbered_units GROUP BY doc_id, scene_no),
+n AS (SELECT doc_id, max(scene_no) + 1 AS total FROM numbered_units GROUP BY doc_id)
+SELECT doc_id, CAST(scene_no AS INT) AS scene_no, 'Document ' || doc_id || CASE WHEN total > 1 THEN ' (' || (scene_no + 1) || '/' || total || ')' ELSE '' END AS title,
+  array_to_string(list_transform(coalesce(b, [opening]), lambda x: CASE WHEN len(regexp_extract_all(x, '\S+')) <= 14 THEN rtrim(x) ELSE rtrim(array_to_string(regexp_extract_all(x, '\S+')[1:14], ' '), ',;:—-') || '…' END), ' | ') AS bullets, narration
+FROM told JOIN n USING (doc_id) LEFT JOIN starts USING (doc_id, scene_no)"""
+
+
+@register("extractive_scenes", f"WITH {sql.PARAGRAPHS}, {sql.SENTENCES}, {_SCENE_UNITS}, {_BULLETS}")
+def extractive_scenes(spark, sf_dir: str) -> DataFrame:
+    """[P8, B1] Slides of every document: title, bullets, narration."""
+    title = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
+    found = seg.scenes(title, seg.document_paragraphs(F.col("text")))
+    df = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("scene_no", "s"))
+    return df.select("doc_id", "scene_no", "s.title", F.array_join("s.bullets", " | ").alias("bullets"), "s.narration")
