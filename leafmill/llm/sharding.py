@@ -34,8 +34,10 @@ def assigned(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_c
 
     Texts of null count no bytes. A text over the limit is a shard of its own (``+`` and its hash).
     Rows that agree in id and text have one hash, so no bit divides them: where they exceed the limit
-    together they are dealt by row number, each number of rows that fits being a shard.
+    together they are dealt by row number, each number of rows that fits being a shard. Columns of ``docs``
+    with the names of the new ones are replaced.
     """
+    docs = docs.drop("shard", "shard_depth", "shard_row_bytes")
     columns = docs.columns
     rows = docs.withColumn("shard_row_bytes", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")).withColumn("__h", F.xxhash64(id_col, text_col))
     narrow, _ = common.written(rows.where(F.col("shard_row_bytes") <= limit).groupBy("__h").agg(F.sum("shard_row_bytes").alias("b")), "bytes")

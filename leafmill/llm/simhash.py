@@ -117,19 +117,19 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if found.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates([id_col])
     if found.where("id is null").limit(1).count():
-        spare = found.where("id is null and component_id is null").select("fp").distinct()
+        spare = found.where("id is null and component_id is null").select(F.col("fp").alias("__fp")).distinct()
         nameless = docs.where(F.col(id_col).isNull())  # one whose group has a named member goes
-        kept = kept.unionByName(_with_print(nameless, text_col, width, seed).join(spare, "fp", "left_semi").select(*docs.columns))
+        kept = kept.unionByName(_with_print(nameless, text_col, width, seed).join(spare, "__fp", "left_semi").select(*docs.columns))
     return kept
 
 
 def _with_print(docs: DataFrame, text_col: str, width: int, seed: int) -> DataFrame:
-    """``docs`` with a column ``fp``; for the few rows that have no id to join by."""
+    """``docs`` with a column ``__fp``; for the few rows that have no id to join by."""
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, width, seed) for t in texts], np.uint64).view(np.int64))
 
-    return docs.withColumn("fp", prints(F.col(text_col)))
+    return docs.withColumn("__fp", prints(F.col(text_col)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

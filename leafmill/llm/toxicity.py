@@ -302,8 +302,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return rows, float(min(4.0, max(1.0, weight)))
 
 
-def scored(docs: DataFrame, net: Network | float, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``toxicity``; texts without words (null and empty ones too) score 0."""
+def scored(docs: DataFrame, net: Network | float, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``score_col``, which they must not have yet; texts without words (null and empty ones too) score 0."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(net)  # of fixed size, some megabytes
     where = docs.columns.index(text_col)
@@ -312,9 +312,9 @@ def scored(docs: DataFrame, net: Network | float, text_col: str = "text") -> Dat
         scorer = Scorer(sent.value)
         for batch in rows:
             scores = scorer.scores(batch.column(where).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, score_col])
 
-    return docs.mapInArrow(batches, StructType([*docs.schema.fields, StructField("toxicity", DoubleType())]))
+    return docs.mapInArrow(batches, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Network | float:

@@ -48,6 +48,26 @@ def test_each_stage_equals_a_plain_version(spark):
         at = spark.createDataFrame(rows, out.schema)
 
 
+def test_stages_take_nulls_anywhere(spark):
+    long = "ein langes wort und noch eins " * 4000
+    rows = [
+        (1, "a b c d e f", "en", "s", 11, "x", 1), (2, None, None, None, None, None, None), (None, "p q r s t u", "en", None, 11, None, 2), (None, None, "en", "s", 0, "y", 3),
+        (3, "", "de", "s", 0, "z", 4), (4, long, None, "t", len(long), "z", 5), (1, "a b c d e f", "en", "s", 11, "x", 1), (5, "a b c d e f", "fr", "u", None, "x", 6), (None, "p q r s t u", None, None, 11, None, 2),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, toxicity string, shard int, id int, fp int, w int, size int, copies int, hw int"
+    docs = spark.createDataFrame([(*r, 0, 0, 0, 0, 0, 0) for r in rows], schema)
+    at = docs
+    for name, stage in P.STAGES:
+        out = stage(spark, at, SF)
+        if name != "sharding":
+            assert out.columns == docs.columns
+        if name in ("toxicity", "decontamination"):
+            assert out.count() == at.count()
+        at = spark.createDataFrame(out.collect(), out.schema)
+    kept = {r.doc_id for r in at.collect()}
+    assert {2} <= kept and at.where("doc_id = 5").count() == 0 and at.count() > 0
+
+
 def test_run_and_empty_documents(spark, tmp_path):
     for table in ("labels", "benchmark"):
         spark.read.parquet(f"{SF}/{table}.parquet").write.parquet(f"{tmp_path}/{table}.parquet")

@@ -32,7 +32,7 @@ def test_equals_brute_force(spark):
 
 def test_ties_nulls_and_oversized(spark):
     rows = [(1, "same text", 0)] * 400 + [(2, "y" * 5000, 1), (3, None, 2), (None, None, 3), (4, "", 4), (None, "é" * 50, 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int").withColumnRenamed("shard", "depth")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int")
     got = S.assigned(docs, 900).collect()
     total, count = defaultdict(int), defaultdict(int)
     for r in got:
