@@ -71,8 +71,9 @@ def marked_default(wanted: DataFrame, voices: DataFrame, fallback: str = "Samant
     """[A11] The first enhanced voice of the language (or of English), else its first voice, else the fallback."""
     marked = F.when(F.col("name").rlike(r"\((Enhanced|Premium)\)"), 0).otherwise(1)
     best = voices.groupBy("language").agg(F.min_by("id", F.struct(marked.alias("m"), F.col("locale"), F.col("name"))).alias("best"))
-    english = best.where("language = 'en'").select(F.col("best").alias("english"))
-    return wanted.join(best, "language", "left").join(F.broadcast(english), F.lit(True), "left").select("language", F.coalesce("best", "english", F.lit(fallback)).alias("voice"))
+    english = best.select(F.col("language").alias("__en"), F.col("best").alias("english"))
+    keyed = wanted.withColumn("__en", F.lit("en")).join(best, "language", "left").join(english, "__en", "left")
+    return keyed.select("language", F.coalesce("best", "english", F.lit(fallback)).alias("voice"))
 
 
 def voices_for(voices: DataFrame, language: str, current: str | None = None) -> DataFrame:
