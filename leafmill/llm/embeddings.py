@@ -249,3 +249,14 @@ def query(spark, sf_dir: str) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
     return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+#: All pairs of a label, in DuckDB's SQL; for tables small enough for that.
+SQL = f"""
+WITH RECURSIVE v AS (SELECT * FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)
+  WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {COSINE}),
+r(u, w) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, l.w FROM r JOIN l ON r.w = l.u),
+n AS (SELECT u, count(*) AS n FROM l GROUP BY u), c AS (SELECT u, min(w) AS c FROM r GROUP BY u)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.c AS component_id, e.vec_id = c.c AS kept FROM embeddings e JOIN c ON c.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id
+"""

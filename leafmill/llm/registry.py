@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_decontamination": decontaminate.SQL}
+    return {"op2_decontamination": decontaminate.SQL, "op3_warc": warc.SQL, "op6_embedding_near_dedup": embeddings.SQL}

@@ -142,8 +142,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         system, root = _file_system(folder)
         system.create_dir(root, recursive=True)
         out, done, name, count, size = None, [], "", 0, 0
-        for batch in batches:
-            for page_id, url, data, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for part in (b.slice(low, 64) for b in batches for low in range(0, b.num_rows, 64)):  # copies few payloads at a time
+            for page_id, url, data, refers_to in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if out is None:
                     name, count, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = system.open_output_stream(f"{root}/{name}", compression=None)
@@ -202,3 +202,11 @@ def query(spark, sf_dir: str) -> DataFrame:
     files = write_archives(pages, common.scratch_path(spark, "warc"))
     found = read_archives(spark, files, with_payload=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The same from the pages alone, in DuckDB's SQL.
+SQL = f"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, CASE WHEN n >= {LEAST_REVISIT} THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
