@@ -22,7 +22,7 @@ EPOCHS, BATCH, RATE, SEED = 6, 96, 0.02, 11
 #: Score from which a text is predicted toxic.
 THRESHOLD = 0.3
 #: Words a task remembers before it starts afresh, and windows scored together.
-REMEMBER, TOGETHER = 150_000, 4096
+REMEMBER, TOGETHER = 100_000, 2048
 
 TOKEN = re.compile(r"[^\W_]+")
 
@@ -311,7 +311,9 @@ def scored(docs: DataFrame, net: Network | float, text_col: str = "text", score_
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in rows:
-            scores = scorer.scores(batch.column(where).to_pylist())
+            scores: list[float] = []
+            for low in range(0, batch.num_rows, 500):  # so many texts are copied at a time
+                scores += scorer.scores(batch.column(where).slice(low, 500).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, score_col])
 
     return docs.mapInArrow(batches, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
