@@ -39,9 +39,9 @@ def timed_cues(cues: Column, offset: Column, audio: Column) -> Column:
     def build(c: Column) -> Column:
         grown = lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + F.length(x)))
         ends = F.aggregate(c, F.array().cast("array<int>"), grown)
-        total = F.greatest(F.lit(1), F.aggregate(c, F.lit(0), lambda a, y: a + F.length(y)))
 
         def of(stops: Column) -> Column:
+            total = F.greatest(F.lit(1), F.get(stops, F.size(stops) - 1))
             at = lambda n: offset + C.AUDIO_DELAY + audio * n / total
             return F.transform(c, lambda x, i: F.struct((i + 1).alias("number"), at(stops[i] - F.length(x)).alias("start"), at(stops[i]).alias("stop"), x.alias("cue")))
 

@@ -27,10 +27,10 @@ def paragraphs(lines: Column, compose: bool = False) -> Column:
     of the typical line, the one at 0.8 of the lengths in order. A hyphen at a line's end is glued to
     a lower-case start; page numbers are left out.
     """
-    clean = F.transform(lines, lambda x: F.regexp_replace(T.normalize(x, compose), r"(?U)\s+$", ""))
+    clean = F.transform(lines, lambda x: T.rstrip(T.normalize(x, compose)))
 
     def fold(rows: Column) -> Column:
-        lengths = F.array_sort(F.transform(F.filter(rows, lambda x: x.rlike(r"(?U)\S")), F.length))
+        lengths = F.array_sort(F.transform(F.filter(rows, lambda x: x != ""), F.length))
         typical = F.coalesce(F.get(lengths, F.floor(F.size(lengths) * F.lit(0.8)).cast("int")), F.lit(0))
 
         def step(s: Column, raw: Column) -> Column:
@@ -38,7 +38,7 @@ def paragraphs(lines: Column, compose: bool = False) -> Column:
                 glued = F.concat(F.substring(s["cur"], 1, F.length(s["cur"]) - 1), line)
                 plain = F.when(s["cur"] == "", line).otherwise(F.concat(s["cur"], F.lit(" "), line))
                 joined = F.when(s["cur"].endswith("-") & line.rlike(r"^\p{Ll}"), glued).otherwise(plain)
-                ends = (typical > 0) & line.rlike(r'[.!?:…"”]$') & (F.length(line) < typical * F.lit(0.75))
+                ends = (typical > 0) & F.substring(line, -1, 1).isin(*'.!?:…"”') & (F.length(line) < typical * F.lit(0.75))
                 keep = F.struct(s["out"].alias("out"), joined.alias("cur"))
                 flush = lambda cur: F.struct(F.concat(s["out"], F.array(cur)).alias("out"), F.lit("").alias("cur"))
                 return F.when(line == "", flush(s["cur"])).when(T.is_page_number(line), s).when(ends, flush(joined)).otherwise(keep)
@@ -109,7 +109,7 @@ def chapter_chunks(title: Column, paras: Column, most: int) -> Column:
 def segments(paras: Column, most: int = C.SEGMENT_CHARS) -> Column:
     """[P7] Chunk texts for a model's context; an empty chapter is one empty segment."""
     found = F.transform(chunks(paras, most), lambda c: c["text"])
-    return F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found)
+    return T.let(found, lambda s: F.when(F.size(s) == 0, F.array(F.lit(""))).otherwise(s))
 
 
 def plan_parts(durations: Column, ends: Column, most: Column | float) -> Column:

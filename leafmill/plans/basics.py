@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,6 +13,14 @@ from leafmill.plans import sql
 from leafmill.plans.catalog import register
 from leafmill.session import table
 
+def _not_empty(docs: DataFrame, found: Column, name: str, *more: str) -> DataFrame:
+    """``docs`` with an array column, without the rows where it is empty.
+
+    The filter is a generator: a plain one would be pushed below the projection and compute the array a second time.
+    """
+    return docs.select("doc_id", *more, F.explode(F.filter(F.array(found), lambda x: F.size(x) > 0)).alias(name))
+
+
 _WORDS = r"len(regexp_extract_all(text, '\S+'))"
 
 
@@ -61,7 +69,7 @@ def sentences(spark, sf_dir: str) -> DataFrame:
 def sentence_stats(spark, sf_dir: str) -> DataFrame:
     """[A1, A12] Sentences, their longest and their words, by document; summed within the row."""
     found = F.flatten(F.transform(seg.document_paragraphs(F.col("text")), lambda p: text.sentences(p)))
-    df = table(spark, sf_dir, "documents").select("doc_id", found.alias("s")).where(F.size("s") > 0)
+    df = _not_empty(table(spark, sf_dir, "documents"), found, "s")
     total = lambda f: F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + f(x))
     return df.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"), total(text.word_count).alias("words"))
 
@@ -118,7 +126,7 @@ parts AS (SELECT doc_id, s.out[k] AS part_no, d[k] AS seconds, k - 1 AS chunk_no
 
 def _timed_chunks(spark, sf_dir: str) -> DataFrame:
     """(doc_id, c, d): chunks of a document and their seconds with the gap behind each."""
-    df = table(spark, sf_dir, "documents").select("doc_id", seg.chunks(seg.document_paragraphs(F.col("text")), 900).alias("c")).where(F.size("c") > 0)
+    df = _not_empty(table(spark, sf_dir, "documents"), seg.chunks(seg.document_paragraphs(F.col("text")), 900), "c")
     return df.withColumn("d", F.transform("c", lambda c: timing.estimate_seconds(text.word_count(c["text"])) + C.CHUNK_GAP))
 
 
@@ -168,7 +176,7 @@ def track_numbers(spark, sf_dir: str) -> DataFrame:
 
     Only (source, document, number of parts) is sorted within a source; tracks follow from running sums.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", seg.chunks(seg.document_paragraphs(F.col("text")), 900).alias("c")).where(F.size("c") > 0)
+    docs = _not_empty(table(spark, sf_dir, "documents"), seg.chunks(seg.document_paragraphs(F.col("text")), 900), "c", "source")
     d = F.transform("c", lambda c: timing.estimate_seconds(text.word_count(c["text"])) + C.CHUNK_GAP)
     counts = docs.select("doc_id", "source", F.array_max(seg.plan_parts(d, F.transform("c", lambda c: c["ends_paragraph"]), 60.0)).alias("last"))
     before = F.coalesce(F.sum(F.col("last") + 1).over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
