@@ -24,8 +24,7 @@ def detect_language(text: Column, sample: int = 20_000) -> Column:
             F.struct(_count(words, stops).alias("n"), F.lit(-k).alias("order"), F.lit(lang).alias("lang"))
             for k, (lang, stops) in enumerate((lang, sorted(set(s.split()))) for lang, s in C.STOP_WORDS.items())
         ]
-        top = F.array_max(F.array(*scores))
-        return F.when(top["n"] > 0, top["lang"]).otherwise("en")
+        return let(F.array_max(F.array(*scores)), lambda top: F.when(top["n"] > 0, top["lang"]).otherwise("en"))
 
     return let(found, best)
 
