@@ -112,9 +112,12 @@ def segments_20k(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(seg.segments(seg.document_paragraphs(F.col("text")))).alias("segment_no", "text"))
 
 
-_PARTS = """
+_SPOKEN = """
 spoken AS (SELECT doc_id, chunk_no, ends_paragraph, len(regexp_extract_all(text, '\\S+')) / 175.0 * 60 + 0.25 AS seconds FROM chunks),
-lists AS (SELECT doc_id, list(seconds ORDER BY chunk_no) AS d, list(ends_paragraph ORDER BY chunk_no) AS e, list_reduce(list(seconds ORDER BY chunk_no), lambda a, b: a + b) AS total FROM spoken GROUP BY doc_id),
+lists AS (SELECT doc_id, list(seconds ORDER BY chunk_no) AS d, list(ends_paragraph ORDER BY chunk_no) AS e, list_reduce(list(seconds ORDER BY chunk_no), lambda a, b: a + b) AS total FROM spoken GROUP BY doc_id),"""
+
+#: (doc_id, chunk_no, part_no, seconds) from lists (doc_id, d, e, total).
+PLANNED = """
 planned AS (SELECT doc_id, d, list_reduce(list_transform(range(1, len(d) + 1), lambda i: {{'out': CAST([] AS INT[]), 'rest': total, 'target': 0.0::DOUBLE, 'elapsed': d[i], 'part': 0, 'empty': true, 'ended': e[i]}}), lambda s, x:
   CASE WHEN NOT s.empty AND total > {most} AND (s.elapsed + x.elapsed > {most} OR (s.elapsed + x.elapsed - s.target > 0 AND s.target - s.elapsed < (CASE WHEN s.ended THEN 2.0 ELSE 1.0 END) * (s.elapsed + x.elapsed - s.target)))
   THEN {{'out': list_append(s.out, s.part + 1), 'rest': s.rest - s.elapsed, 'target': CASE WHEN s.rest - s.elapsed > {most} THEN (s.rest - s.elapsed) / ceil((s.rest - s.elapsed) / {most}) ELSE s.rest - s.elapsed END,
@@ -135,7 +138,7 @@ def _parts(spark, sf_dir: str, most: float) -> DataFrame:
     return df.select("doc_id", F.posexplode(F.arrays_zip("p", "d")).alias("chunk_no", "x")).select("doc_id", "chunk_no", F.col("x.p").alias("part_no"), F.col("x.d").alias("seconds"))
 
 
-_PARTS_60 = f"WITH {sql.PARAGRAPHS}, {sql.SENTENCES}, {_UNITS.format(most=900)}, {_PARTS.format(most='60.0')}"
+_PARTS_60 = f"WITH {sql.PARAGRAPHS}, {sql.SENTENCES}, {_UNITS.format(most=900)}, {_SPOKEN}{PLANNED.format(most='60.0')}"
 
 
 @register("parts_plan", f"{_PARTS_60} SELECT doc_id, CAST(chunk_no AS INT) AS chunk_no, CAST(part_no AS INT) AS part_no, round(seconds, 6) AS seconds FROM parts")

@@ -13,6 +13,7 @@ from leafmill.functions import timing
 from leafmill.operators import catalogs, figures, media, structure
 from leafmill.operators import segmentation as seg
 from leafmill.plans import sql
+from leafmill.plans.basics import PLANNED
 from leafmill.plans.catalog import register
 
 
@@ -112,9 +113,14 @@ register("bar_lengths", f"WITH {BARS} SELECT diagram_id, item, value, greatest(6
 PLAN = values("pl", "id, k, d, e", *[f"({i}, {k}, CAST({d} AS DOUBLE), {str(e).lower()})" for i, ds in ((1, [10, 20, 30]), (2, [60] * 25), (3, [31, 47, 12, 88, 5, 64, 90, 23, 71, 40] * 4), (4, [700, 20, 20]), (5, [0.5])) for k, d in enumerate(ds) for e in [i != 3 or k % 3 == 2]])
 
 
-@register("parts_fixture")
+def _plan_sql(ids: str, most: str) -> str:
+    lists = f"lists AS (SELECT id AS doc_id, list(d ORDER BY k) AS d, list(e ORDER BY k) AS e, list_reduce(list(d ORDER BY k), lambda a, b: a + b) AS total FROM pl WHERE {ids} GROUP BY id)"
+    return f"(WITH {PLAN}, {lists}, {PLANNED.format(most=most)} SELECT doc_id AS id, CAST(chunk_no AS INT) AS k, CAST(part_no AS INT) AS part FROM parts)"
+
+
+@register("parts_fixture", f"SELECT * FROM {_plan_sql('id <> 3', '600.0')} UNION ALL SELECT * FROM {_plan_sql('id = 3', '300.0')}")
 def parts_fixture(spark, sf_dir: str) -> DataFrame:
-    """[W1] Parts of fixed durations; the tests check the numbers."""
+    """[W1] Parts of fixed durations."""
     (rows,) = frames(spark, PLAN)
     lists = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "d", "e"))).alias("x"))
     most = F.when(F.col("id") == 3, 300.0).otherwise(600.0)
