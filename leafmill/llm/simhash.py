@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,12 +46,17 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
     """(id, fp) per row of ``docs``; fp holds the 64 bits as a signed long."""
+    return with_prints(docs, id_col, text_col, lambda t: fingerprint(t, width, seed))
+
+
+def with_prints(docs: DataFrame, id_col: str, text_col: str, of: Callable[[str | None], int]) -> DataFrame:
+    """(id, fp) per row of ``docs``, by any function from a text to 64 unsigned bits."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            prints = np.fromiter((fingerprint(t.as_py(), width, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
+            prints = np.fromiter((of(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "fp"])
 
     return source.mapInArrow(batches, f"id {id_type}, fp long")
@@ -97,8 +102,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     returned as often as they occur; an empty table gives no rows.
     """
     prints, _ = common.written(with_fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
+    return joined_groups(prints, links)
+
+
+def joined_groups(prints: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``groups`` from written (id, fp) and a function from distinct fp to linked pairs (u, v)."""
     nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    found = common.connected_components(links(nodes.select("fp")))
+    found = common.connected_components(linked(nodes.select("fp")))
     labelled = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = labelled.select("fp", "component").join(smallest, "component").select(F.col("fp").alias("node"), "component_id")
@@ -110,7 +120,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Rows that repeat an id collapse to one. Rows with a null id in a group of null ids only stay.
     """
-    found, _ = common.written(groups(docs, id_col, text_col, width, seed), "groups")
+    return one_a_group(docs, groups(docs, id_col, text_col, width, seed), id_col, text_col, lambda t: fingerprint(t, width, seed))
+
+
+def one_a_group(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str, of: Callable[[str | None], int]) -> DataFrame:
+    """``deduplicated`` by the rows of ``joined_groups``; ``of`` gives the fp of a text."""
+    found, _ = common.written(grouped, "groups")
     drop = found.where(F.col("component_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__drop")).distinct()
     named = docs.where(F.col(id_col).isNotNull())
     kept = named.join(drop, named[id_col] == drop["__drop"], "left_anti")
@@ -119,15 +134,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if found.where("id is null").limit(1).count():
         spare = found.where("id is null and component_id is null").select(F.col("fp").alias("__fp")).distinct()
         nameless = docs.where(F.col(id_col).isNull())  # one whose group has a named member goes
-        kept = kept.unionByName(_with_print(nameless, text_col, width, seed).join(spare, "__fp", "left_semi").select(*docs.columns))
+        kept = kept.unionByName(_with_print(nameless, text_col, of).join(spare, "__fp", "left_semi").select(*docs.columns))
     return kept
 
 
-def _with_print(docs: DataFrame, text_col: str, width: int, seed: int) -> DataFrame:
+def _with_print(docs: DataFrame, text_col: str, of: Callable[[str | None], int]) -> DataFrame:
     """``docs`` with a column ``__fp``; for the few rows that have no id to join by."""
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, width, seed) for t in texts], np.uint64).view(np.int64))
+        return pd.Series(np.array([of(t) for t in texts], np.uint64).view(np.int64))
 
     return docs.withColumn("__fp", prints(F.col(text_col)))
 
