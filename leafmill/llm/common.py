@@ -5,25 +5,38 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Longs of a bitmap at most: 2**24 bits, 2 MB, whatever it has to hold.
+BITMAP_WORDS = 1 << 18
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Where it is unset (a single-machine session, as in tests) a temporary folder is set and used.
+    Where neither is set and the master is local (a single machine, as in tests) a temporary folder is
+    set and used. Anywhere else that folder would be another one on each machine, so it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = folder.get() if folder.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="leafmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/leafmill-{uuid.uuid4().hex}/{name}"
+    """A new path below the shared folder; its folder is deleted when the driver ends."""
+    folder = f"{shared_dir(spark)}/leafmill-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return f"{folder}/{name}"
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -44,6 +57,36 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def bitmap(keys: DataFrame, words: int = BITMAP_WORDS) -> DataFrame:
+    """One row, ``bits`` (array<long>): two bits for each long of the first column of ``keys``.
+
+    The bits are gathered by word on the executors; one task orders the ``words`` longs, a number that
+    does not grow with the keys.
+    """
+    h = F.col(keys.columns[0])
+    spot = lambda low, bit: F.struct((F.shiftrightunsigned(h, low).bitwiseAND(F.lit(words - 1))).alias("w"), F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(63)).cast("int").alias("b"))
+    set_bits = keys.where(h.isNotNull()).select(F.explode(F.array(spot(0, 36), spot(18, 42))).alias("s")).groupBy(F.col("s.w").alias("w")).agg(F.expr("bit_or(shiftleft(1L, s.b))").alias("x"))
+    none = keys.sparkSession.range(words).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("x"))
+    return set_bits.union(none).groupBy("w").agg(F.bit_or("x").alias("x")).agg(F.array_sort(F.collect_list(F.struct("w", "x"))).alias("l")).select(F.expr("l.x").alias("bits"))
+
+
+def may_hold(bits: Column, h: Column, words: int = BITMAP_WORDS) -> Column:
+    """False if the long ``h`` is surely not among the keys of the bitmap; null is not."""
+    hit = lambda low, bit: F.getbit(F.get(bits, F.shiftrightunsigned(h, low).bitwiseAND(F.lit(words - 1)).cast("int")), F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(63)).cast("int")) == 1
+    return F.coalesce(hit(0, 36) & hit(18, 42), F.lit(False))
+
+
+def parted(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose key is surely not in the one column of ``keys``, and the others with their key as ``__key``.
+
+    A bitmap of fixed size decides row by row, so wide rows that no key concerns are not shuffled. Beyond some
+    ten million keys it lets more and more rows through to the join that must follow; none are lost.
+    """
+    bits, _ = written(bitmap(keys.select(F.xxhash64(keys.columns[0]))), "bitmap")
+    marked = rows.withColumn("__key", key).withColumn("__maybe", F.col("__key").isNotNull() & may_hold(bits.scalar(), F.xxhash64("__key")))
+    return marked.where(~F.col("__maybe")).drop("__key", "__maybe"), marked.where("__maybe").drop("__maybe")
+
+
 def connected_components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

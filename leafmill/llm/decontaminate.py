@@ -10,8 +10,6 @@ from leafmill.llm import common
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words before case is folded; words are runs of 0-9, A-Z, a-z and anything past ASCII.
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Windows in a set that is sent to every task; beyond this the windows are joined instead.
-MAX_SET = 200_000
 
 
 def words(text: Column) -> Column:
@@ -25,7 +23,7 @@ def folded(text: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = 10) -> DataFrame:
-    """(item_id, size, gram): each distinct window of ``n`` consecutive words of each item.
+    """(item_id, size, gram, h): each distinct window of ``n`` consecutive words of each item, and its hash.
 
     An item of fewer words, but not of none, is one window of its own size.
     """
@@ -35,6 +33,7 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
         .select("item_id", F.least(F.size("w"), F.lit(n)).alias("size"), "w")
         .select("item_id", "size", F.explode(F.expr("transform(sequence(1, size(w) - size + 1), i -> array_join(slice(w, i, size), ' '))")).alias("gram"))
         .distinct()
+        .withColumn("h", F.xxhash64(F.transform(F.split("gram", " "), lambda x: F.xxhash64(F.lower(x)))))
     )
 
 
@@ -43,82 +42,55 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _hits(w: Column, hw: Column, size: int, grams: list[str], hashes: list[int]) -> Column:
-    """First and last word of each window of the set in the words ``w``.
+def candidates(docs: DataFrame, windows: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with __n_words and __found: (first, last, h, gram) of the windows whose hash may be in the set.
 
-    The hash of the window's lower-cased words is looked up first; each hit is verified by the
-    window's own text, so that neither a hash nor full case folding decides.
+    The set of the benchmark's window hashes goes to all tasks as a bitmap of fixed size, as the value of a
+    scalar subquery, however many windows there are. Each document is scanned in its own row. What
+    passes is verified later by the window's own text, so that neither a hash nor full case folding decides.
     """
-    at = F.sequence(F.lit(1), F.size(w) - (size - 1))
-    is_hit = lambda i: F.xxhash64(F.slice(hw, i, F.lit(size))).isin(hashes) & folded(F.array_join(F.slice(w, i, F.lit(size)), " ")).isin(grams)
-    hits = F.when(F.size(w) >= size, F.filter(at, is_hit)).otherwise(F.array().cast("array<int>"))
-    return F.transform(hits, lambda i: F.struct(i.alias("first"), (i + (size - 1)).alias("last")))
+    bits, _ = common.written(common.bitmap(windows.select("h")), "bitmap")
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most n
 
+    def of_size(b: Column, w: Column, hw: Column, size: int) -> Column:
+        at = F.sequence(F.lit(1), F.size(w) - (size - 1))
+        window = lambda i: F.struct(i.alias("first"), (i + (size - 1)).alias("last"), F.xxhash64(F.slice(hw, i, F.lit(size))).alias("h"))
+        hits = F.filter(F.transform(at, window), lambda x: common.may_hold(b, x["h"]))
+        named = F.transform(hits, lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), x["h"].alias("h"), folded(F.array_join(F.slice(w, x["first"], F.lit(size)), " ")).alias("gram")))
+        return F.when(F.size(w) >= size, named).otherwise(F.array().cast("array<struct<first:int,last:int,h:bigint,gram:string>>"))
 
-def scan(docs: DataFrame, windows: DataFrame, text_col: str = "text", max_set: int = MAX_SET) -> DataFrame:
-    """``docs`` with __n_words, __spans (first and last word of each occurrence, in order) and
-    __grams (the hashes of the distinct windows that occur).
+    def scanned(b: Column, w: Column, hw: Column) -> Column:
+        parts = [of_size(b, w, hw, size) for size in sizes]
+        found = F.concat(*parts) if parts else F.array().cast("array<struct<first:int,last:int,h:bigint,gram:string>>")
+        return F.struct(F.size(w).alias("n_words"), found.alias("found"))
 
-    ``windows`` (size, gram) is sent to all tasks as a hash set if it has at most ``max_set`` rows,
-    counted before; otherwise see :func:`_scan_by_join`.
-    """
-    distinct = windows.select("size", "gram").distinct()
-    hashed = distinct.select("size", "gram", F.xxhash64(F.transform(F.split("gram", " "), lambda x: F.xxhash64(F.lower(x)))).alias("h"))
-    found = hashed.limit(max_set + 1).collect()
-    if len(found) > max_set:
-        return _scan_by_join(docs, hashed, text_col)
-    by_size: dict[int, list] = {}
-    for row in found:
-        by_size.setdefault(row["size"], []).append(row)
-    rows = [(size, [r.gram for r in of_size], sorted({r.h for r in of_size})) for size, of_size in sorted(by_size.items())]
-
-    def found_in(w: Column, hw: Column) -> Column:
-        spans = F.array_sort(F.concat(*[_hits(w, hw, *x) for x in rows])) if rows else F.array().cast("array<struct<first:int,last:int>>")
-        gram = lambda s: F.xxhash64(folded(F.array_join(F.slice(w, s["first"], s["last"] - s["first"] + 1), " ")))
-        return _let(spans, lambda x: F.struct(F.size(w).alias("n_words"), x.alias("spans"), F.array_sort(F.array_distinct(F.transform(x, gram))).alias("grams")))
-
-    scanned = _let(words(F.col(text_col)), lambda w: _let(F.transform(w, lambda x: F.xxhash64(F.lower(x))), lambda hw: found_in(w, hw)))
-    out = docs.withColumn("__scan", scanned)
-    return out.withColumns({f"__{k}": F.col(f"__scan.{k}") for k in ("n_words", "spans", "grams")}).drop("__scan")
-
-
-def _scan_by_join(docs: DataFrame, hashed: DataFrame, text_col: str) -> DataFrame:
-    """The same for a set of any size: the corpus' windows are joined to the set by hash.
-
-    Equal texts have equal results, so texts are first made distinct by digest and a passage's copies
-    meet the set once.
+    # each value is bound once: a reference would be copied into the lambdas, and a subquery may not stand in one
+    scan = _let(F.col("__bits"), lambda b: _let(words(F.col(text_col)), lambda w: _let(F.transform(w, lambda x: F.xxhash64(F.lower(x))), lambda hw: scanned(b, w, hw))))
+    out = docs.withColumn("__bits", bits.scalar()).withColumn("__scan", scan).drop("__bits")
+    return out.withColumns({"__n_words": F.col("__scan.n_words"), "__found": F.col("__scan.found")}).drop("__scan")
+
+
+def verified(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """(__key, spans, grams): the windows that do occur in each text; from (__key, __found) of texts with candidates.
+
+    Copies of a text are looked at once. The join is by hash and window text; its other side has a row a window, so
+    a passage that a third of the texts hold can be split.
     """
-    keyed = docs.withColumn("__key", F.sha2(F.col(text_col), 256))
-    sizes = [r["size"] for r in hashed.select("size").distinct().collect()]  # at most n sizes
-    texts = keyed.where(F.col("__key").isNotNull()).groupBy("__key").agg(F.first(text_col).alias("t")).withColumn("w", words(F.col("t")))
-    texts, _ = common.written(texts.withColumn("hw", F.transform("w", lambda x: F.xxhash64(F.lower(x)))), "texts")
-    parts = [_joined(texts, hashed.where(F.col("size") == size).select(F.col("h").alias("hh"), "gram"), size) for size in sizes]
-    hits = parts[0]
-    for part in parts[1:]:
-        hits = hits.union(part)
-    found = hits.groupBy("__key").agg(
-        F.array_sort(F.collect_set(F.struct("first", "last"))).alias("__spans"), F.array_sort(F.collect_set("gh")).alias("__grams")
-    )
+    texts = found.groupBy("__key").agg(F.first("__found").alias("f"))
+    hits = texts.select("__key", F.explode("f").alias("x")).select("__key", "x.*")
+    known = windows.select(F.col("h").alias("__h"), F.col("gram").alias("__gram")).distinct()
     return (
-        keyed.join(found, "__key", "left")
-        .withColumn("__n_words", F.size(words(F.col(text_col))))
-        .withColumn("__spans", F.coalesce("__spans", F.array().cast("array<struct<first:int,last:int>>")))
-        .withColumn("__grams", F.coalesce("__grams", F.array().cast("array<bigint>")))
-        .drop("__key")
-    )
-
+        hits.join(known, (F.col("h") == F.col("__h")) & (F.col("gram") == F.col("__gram"))).groupBy("__key")
+        .agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"), F.array_sort(F.collect_set(F.xxhash64("gram"))).alias("grams"))
+    )
 
-def _joined(texts: DataFrame, windows: DataFrame, size: int) -> DataFrame:
-    def window(i: Column) -> Column:
-        gram = folded(F.array_join(F.slice("w", i, F.lit(size)), " "))
-        return F.struct(i.alias("first"), (i + (size - 1)).alias("last"), F.xxhash64(F.slice("hw", i, F.lit(size))).alias("h"), gram.alias("g"))
 
-    at = F.sequence(F.lit(1), F.size("w") - (size - 1))
-    rows = texts.where(F.size("w") >= size).select("__key", F.explode(F.transform(at, window)).alias("x")).select("__key", "x.*")
-    return rows.join(windows, (rows.h == windows.hh) & (rows.g == windows.gram)).select("__key", "first", "last", F.xxhash64("g").alias("gh"))
+def _key(text_col: str) -> Column:
+    """What stands for a text: copies share it, and so do their results."""
+    return F.sha2(F.col(text_col), 256)
 
 
-def n_hit(spans: str = "__spans") -> Column:
+def n_hit(spans: str = "spans") -> Column:
     """Words inside any span; spans come in order of their first word."""
     return F.expr(
         f"aggregate({spans}, struct(0L as n, 0 as upto), (a, s) -> struct(a.n + greatest(0, s.last - greatest(a.upto, s.first - 1)) as n, "
@@ -126,48 +98,55 @@ def n_hit(spans: str = "__spans") -> Column:
     )
 
 
-def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 10, max_set: int = MAX_SET) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 10) -> DataFrame:
     """A row per document: id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words; repeated rows are reported as often as they occur; an empty
-    benchmark contaminates nothing. Items are looked up once for each distinct set of windows found,
-    so a passage that a third of the documents share is joined once.
+    benchmark contaminates nothing; other columns, whatever their names, are left out. Items are looked up once
+    for each distinct set of windows found, so a passage that a third of the documents share is joined once.
     """
     windows, _ = common.written(item_windows(benchmark, text_col="text", n=n), "windows")
-    narrow = scan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), windows, "text", max_set).select(
-        "doc_id", F.col("__n_words").cast("long").alias("n_words"), n_hit().alias("n_hit"), F.col("__grams").alias("grams")
-    )
-    found, _ = common.written(narrow, "hits")
-    sets = found.where("n_hit > 0").select("grams").distinct().withColumn("set", F.sha2(F.array_join("grams", ",").cast("binary"), 256))
+    narrow = candidates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), windows)
+    narrow = narrow.select("doc_id", F.col("__n_words").cast("long").alias("n_words"), F.when(F.size("__found") > 0, _key("text")).alias("__key"), "__found")
+    scanned, _ = common.written(narrow, "scan")
+    hits, _ = common.written(verified(scanned.where("__key is not null").select("__key", "__found"), windows), "hits")
+    named = hits.withColumn("set", F.sha2(F.array_join("grams", ",").cast("binary"), 256))
     by_item = windows.select(F.xxhash64("gram").alias("gram"), F.col("item_id").cast("string").alias("item"))
+    sets = named.groupBy("set").agg(F.first("grams").alias("grams"))
     items = sets.select("set", F.explode("grams").alias("gram")).join(by_item, "gram").groupBy("set").agg(F.array_sort(F.collect_set("item")).alias("items"))
     digests = items.select("set", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
-    hit = found.where("n_hit > 0").withColumn("set", F.sha2(F.array_join("grams", ",").cast("binary"), 256)).join(digests, "set", "left")
-    clean = found.where("n_hit = 0").withColumns({"n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit("").cast("binary"), 256)})
-    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"]
-    return hit.select(*columns).unionByName(clean.select(*columns)).withColumn("contaminated", F.col("n_hit") > 0).withColumnRenamed("doc_id", id_col)
+    facts = named.join(digests, "set", "left").select(F.col("__key").alias("__hit"), n_hit().alias("n_hit"), "n_items", "items_sha256")
+    some = scanned.where("__key is not null").join(facts, F.col("__key") == F.col("__hit"), "left")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    some = some.select("doc_id", "n_words", *[F.coalesce(c, d).alias(c) for c, d in (("n_hit", F.lit(0).cast("long")), ("n_items", F.lit(0).cast("long")), ("items_sha256", nothing))])
+    clean = scanned.where("__key is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), nothing.alias("items_sha256"))
+    return some.unionByName(clean).withColumn("contaminated", F.col("n_hit") > 0).withColumnRenamed("doc_id", id_col)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", n: int = 10, remove: str = "documents", max_set: int = MAX_SET) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", n: int = 10, remove: str = "documents") -> DataFrame:
     """``docs`` without benchmark passages.
 
     ``remove="documents"`` drops each document in which a window occurs; ``remove="spans"`` keeps it
-    and cuts the words of the occurrences out, with the separator before each of them.
+    and cuts the words of the occurrences out, with the separator before each of them. Documents that no
+    found key concerns pass in their own row; only the others are shuffled, by the digest of their text.
+    Null and empty texts stay; repeated rows are treated alike; all columns are kept.
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is {remove!r}; use 'documents' or 'spans'")
     columns = docs.columns
     windows, _ = common.written(item_windows(benchmark, n=n), "windows")
-    found = scan(docs, windows, text_col, max_set)
+    some = candidates(docs.select(F.col(text_col).alias("text")), windows).where(F.size("__found") > 0).select(_key("text").alias("__key"), "__found")
+    scanned, _ = common.written(some, "scan")
+    hits, _ = common.written(verified(scanned, windows).select(F.col("__key").alias("__hit"), F.col("spans").alias("__spans")), "hits")
+    clean, maybe = common.parted(docs, _key(text_col), hits.select("__hit"))
+    joined = lambda how: maybe.join(hits, F.col("__key") == F.col("__hit"), how)
     if remove == "documents":
-        return found.where(F.size("__spans") == 0).select(*columns)
+        return clean.unionByName(joined("left_anti").select(*columns))
     pieces = F.split(F.col(text_col), r"(?<=[0-9A-Za-z\u0080-\x{10FFFF}])(?=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])|(?<=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[0-9A-Za-z\u0080-\x{10FFFF}])")
-    offset = F.when(F.col("__pieces")[0].rlike(r"^[0-9A-Za-z\u0080-\x{10FFFF}]"), 3).otherwise(2)
-    cut = F.expr(
-        "array_join(filter(__pieces, (p, j) -> not exists(__spans, s -> (j + __offset) div 2 between s.first and s.last)), '')"
-    )
-    text = F.when(F.size("__spans") > 0, cut).otherwise(F.col(text_col))
-    return found.withColumn("__pieces", F.when(F.size("__spans") > 0, pieces)).withColumn("__offset", offset).withColumn(text_col, text).select(*columns)
+    offset = F.when(F.get(F.col("__pieces"), F.lit(0)).rlike(r"^[0-9A-Za-z\u0080-\x{10FFFF}]"), 3).otherwise(2)
+    cut = F.expr("array_join(filter(__pieces, (p, j) -> not exists(__spans, s -> (j + __offset) div 2 between s.first and s.last)), '')")
+    text = F.when(F.col("__spans").isNotNull(), cut).otherwise(F.col(text_col))
+    return clean.unionByName(joined("left").withColumn("__pieces", F.when(F.col("__spans").isNotNull(), pieces)).withColumn("__offset", offset).withColumn(text_col, text).select(*columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -45,11 +45,10 @@ def rows(df):
     return sorted((tuple(r[c] for c in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("max_set", [D.MAX_SET, 3])
-def test_edges_equal_brute_force(spark, max_set):
+def test_edges_equal_brute_force(spark):
     docs = spark.createDataFrame([(*d, 1) for d in DOCS], "doc_id long, text string, w int")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    assert rows(D.report(docs, items, max_set=max_set)) == brute(DOCS, ITEMS)
+    assert rows(D.report(docs, items)) == brute(DOCS, ITEMS)
 
 
 def test_query_equals_sql_and_brute_force(spark):
@@ -84,6 +83,33 @@ def test_empty_tables(spark):
     assert D.decontaminated(some, items).count() == 4
 
 
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "kurz und gut", *"abcdefgh")], "doc_id long, text string, spans string, h string, gram string, set string, size string, found string, grams string, first string")
+    items = spark.createDataFrame([(2, "kurz und gut", "x", "y")], "item_id long, text string, h string, size string")
+    assert rows(D.report(docs, items)) == brute([(1, "kurz und gut")], [(2, "kurz und gut")])
+    assert D.decontaminated(docs, items).count() == 0
+    assert D.decontaminated(docs, items, remove="spans").first().spans == "a"
+
+
+def test_windows_in_any_number(spark):
+    """One plan however large the set: the windows stand in tables, not in the plan."""
+    from pyspark.sql import functions as F
+
+    items = spark.range(40).select(F.col("id").alias("item_id"), F.expr("array_join(transform(sequence(1, 5000), i -> concat('w', id, 'x', i)), ' ')").alias("text"))
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(id * 80, id * 80 + 30), i -> concat('w', id, 'x', i)), ' ')").alias("text"))
+    plan = D.report(docs, items)
+    assert len(plan._jdf.queryExecution().analyzed().toString()) < 100_000
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in plan.collect()}
+    assert all(got[k] == ((31 if k else 30, 1) if k < 40 else (0, 0)) for k in range(60))
+
+
 def test_native_plan(spark):
-    plan = D.report(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet"))
-    assert not re.search("Python|Pandas|Arrow", plan._jdf.queryExecution().executedPlan().toString())
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    windows = D.item_windows(items)
+    scan = D.candidates(docs, windows)
+    texts = scan.select(D._key("text").alias("__key"), "__found")
+    for df in (windows, scan, D.verified(texts, windows), D.report(docs, items), D.decontaminated(docs, items), D.decontaminated(docs, items, remove="spans")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoopJoin", plan)
+    # the bitmap is bound in one projection, never a column of rows
+    assert "__bits" not in scan.select("doc_id", "__found")._jdf.queryExecution().executedPlan().toString()
