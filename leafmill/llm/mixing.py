@@ -5,18 +5,17 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm import common
 
 #: Weights of the sources in order of their names, repeating; tokens to share, as a part of all; most copies of a document.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-#: Groups (sources) whose totals the driver may hold.
-MAX_GROUPS = 100_000
-#: Documents in a rounding cell, on average.
-CELL = 512
+#: Newton rounds for one multiplier, the most it changes in a round, and bits of a row's draw that one pass of the rounding looks at.
+ROUNDS, STEP, BITS = 200, 1.0, 10
+#: The fractional part of its multiples spreads evenly, whatever rows are skipped.
+GOLDEN = 0.6180339887498949
 
 
 def size_of(text: Column) -> Column:
@@ -25,26 +24,45 @@ def size_of(text: Column) -> Column:
     return F.size(F.array_remove(gaps, "")).cast("long")
 
 
-def targets(sizes: dict, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> dict:
-    """Tokens each source should give: weights repeat over the sources by code point, null last.
+def with_targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """``sources`` (source, total), a row each, with target: the tokens each should give.
 
-    A target stops at ``most`` times its source's size; what is over is shared again by weight
-    among the others, until none is above.
+    Weights repeat over the sources by code point, null last. A target stops at ``most`` times its source's
+    total; what is over is shared again by weight among the others, until none is above. Sources are
+    ranked by range partitions and the row's place in its own, and each round of sharing is one aggregation of
+    which the driver sees four numbers, so there may be any number of sources.
     """
-    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
-    out: dict = {}
-    rest = share * sum(sizes.values())
-    free = list(names)
-    while free:
-        total = sum(weight[s] for s in free)
-        above = [s for s in free if rest * weight[s] / total > most * sizes[s]]
-        if not above:
-            return out | {s: rest * weight[s] / total for s in free}
-        out |= {s: float(most * sizes[s]) for s in above}
-        rest -= sum(most * sizes[s] for s in above)
-        free = [s for s in free if s not in out]
-    return out
+    ordered = sources.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    place = F.monotonically_increasing_id()
+    placed, _ = common.written(ordered.select("source", "total", F.spark_partition_id().alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "sources")
+    sizes = sorted((r.part, r.n) for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row a partition
+    before, rows = 0, []
+    for part, n in sizes:
+        rows.append((part, before))
+        before += n
+    offsets = sources.sparkSession.createDataFrame(rows, "part int, before long")
+    table = F.array(*[F.lit(float(w)) for w in weights])
+    ranked, _ = common.written(placed.join(offsets, "part").select("source", "total", F.get(table, F.expr(f"cast((at + before) % {len(weights)} as int)")).alias("weight")), "sources")
+    full = float(most) * F.col("total")
+    scale, done = None, -1
+    while True:
+        above = F.lit(False) if scale is None else F.lit(scale) * F.col("weight") > full
+        spent = ranked.agg(F.sum("total").alias("all"), F.sum(F.when(above, full)).alias("used"), F.sum(F.when(~above, F.col("weight"))).alias("w"), F.count(F.when(above, 1)).alias("n")).first()
+        rest, weight = share * (spent["all"] or 0) - (spent["used"] or 0.0), spent["w"] or 0.0
+        if spent["n"] == done:
+            break
+        done, scale = spent["n"], rest / weight if weight else math.inf
+    return ranked.select("source", "total", F.when(above, full).otherwise(F.lit(rest) * F.col("weight") / F.lit(weight or 1.0)).alias("target"))
+
+
+def multiplier(ratio: Column, rounds: int = ROUNDS) -> Column:
+    """The dual's multiplier of a constraint that meets no other, by Newton steps of bounded length.
+
+    Where each document is under one constraint, as with sources, the Hessian is diagonal and the dual falls
+    apart into one problem a source: find m with total * exp(m) = target, by m - 1 + ratio * exp(-m).
+    """
+    step = lambda m, _: m + F.greatest(F.lit(-STEP), F.least(F.lit(STEP), ratio * F.exp(-m) - 1))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(0.0), step)
 
 
 def balance(cells: DataFrame, goals: list[float], rounds: int = 60, tolerance: float = 1e-10) -> np.ndarray:
@@ -102,71 +120,109 @@ def _newton(pairs: dict, gradient: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(hessian, -gradient, rcond=None)[0]
 
 
-def _rounded(table: pa.Table) -> pa.Table:
-    """Whole copies for one cell: each rate's whole part, and its rest by error diffusion.
+def draw(id_col: str, text_col: str, source_col: str) -> Column:
+    """63 bits that order the documents of a source as if at random, alike in every run."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(source_col).cast("string"), F.col(text_col)), 1)
 
-    Rows go from large to small; what is still owed decides, so the cell ends within half of its
-    smallest documents of what the rates ask for.
+
+def _pivots(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, pivot, fraction, tied): of ``sources`` (source, extra) the draw up to which rows get one copy more.
+
+    ``rows``: (source, size, draw). Rows below the pivot together have the ``extra`` tokens but for the rows at the pivot,
+    which get ``fraction`` of their tokens. The draws are summed by their first bits; only the cell in which the sum is
+    reached is looked at again with more bits. A pass gives at most 2**BITS small rows a source, however large it is.
     """
-    order = table.sort_by([("size", "descending"), ("tie", "ascending")])
-    owed, copies = 0.0, []
-    for size, n, rate in zip(*(order.column(c).to_pylist() for c in ("size", "n", "rate")), strict=True):
-        base = math.floor(rate + 1e-9)
-        part = max(0.0, rate - base)
-        owed += part * size * n
-        extra = part > 1e-9 and owed >= size * n / 2
-        owed -= size * n if extra else 0
-        copies.append(base + extra)
-    return order.append_column("copies", pa.array(copies, pa.int64())).drop_columns(["n", "rate", "tie"]).append_column("n", order.column("n"))
-
-
-def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """(id, source, size, n, copies, source_size, target): what the mix does with each document.
-
-    Documents of equal id, source and size are one row with their number ``n``, so repeated rows and
-    rows of null id are treated alike. Sizes are summed by source before anything moves; the driver
-    gets one row a source, and refuses more than ``MAX_GROUPS``. Rounding runs in cells of about
-    512 documents, dealt by the hash of id and size, however large a source is.
+    found, _ = common.written(sources.where("extra > 0").select("source", F.col("extra").alias("need"), F.lit(0).cast("long").alias("cell")), "pivots")
+    above, shift = 63, 63
+    while True:
+        above, shift = shift, max(0, shift - BITS)
+        asked = found.select(F.col("source").alias("__source"), "need", F.col("cell").alias("__cell"))
+        inside = rows.where("size > 0").join(asked, F.col("source").eqNullSafe(F.col("__source")) & (F.shiftrightunsigned("draw", above) == F.col("__cell")))
+        cells = inside.groupBy("source", "need", F.shiftrightunsigned("draw", shift).alias("cell")).agg(F.sum("size").alias("tokens"), F.count("*").alias("n"), F.min("draw").alias("least"), F.max("draw").alias("last"))
+        so_far = cells.withColumn("upto", F.sum("tokens").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)))
+        row = F.struct("cell", "need", "upto", "tokens", "n", "least", "last")
+        reached = so_far.groupBy("source").agg(F.coalesce(F.min(F.when(F.col("upto") >= F.col("need"), row)), F.max(row)).alias("r")).select("source", "r.*")
+        found, _ = common.written(reached.select("source", (F.col("need") - F.col("upto") + F.col("tokens")).alias("need"), "cell", "tokens", "n", "least", "last"), "pivots")
+        if shift == 0 or not found.where("least < last").limit(1).count():
+            break
+    part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("need") / F.col("tokens")))
+    return found.select("source", F.col("least").alias("pivot"), F.when(F.col("n") > 1, part).otherwise(F.round(part)).alias("fraction"), (F.col("n") > 1).alias("tied"))
+
+
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """Narrow rows (id, source, size, draw), one a document, and (source, source_size, target, base, pivot, fraction, tied), one a source."""
+    source = F.col(source_col).cast("string")
+    narrow, _ = common.written(docs.select(F.col(id_col).alias("id"), source.alias("source"), size_of(F.col(text_col)).alias("size"), draw(id_col, text_col, source_col).alias("draw")), "sizes")
+    sources = with_targets(narrow.groupBy("source").agg(F.sum("size").alias("total")), weights, share, most)
+    rate = F.when(F.col("total") > 0, F.least(F.lit(float(most)), F.exp(multiplier(F.col("target") / F.col("total"))))).otherwise(1.0)
+    goals = sources.withColumn("rate", rate).withColumn("base", F.floor(F.col("rate") + 1e-9).cast("int"))
+    goals, _ = common.written(goals.withColumn("extra", F.when(F.col("rate") - F.col("base") > 1e-9, (F.col("rate") - F.col("base")) * F.col("total")).otherwise(0.0)), "goals")
+    pivots = _pivots(narrow, goals).withColumnRenamed("source", "__source")
+    facts = goals.join(pivots, F.col("source").eqNullSafe(F.col("__source")), "left")
+    facts, _ = common.written(facts.select("source", F.col("total").alias("source_size"), "target", "base", "pivot", "fraction", F.coalesce("tied", F.lit(False)).alias("tied")), "mix")
+    return narrow, facts
+
+
+def _with_copies(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """``rows`` with columns __source, __size and __draw joined to their source's facts, and __copies.
+
+    Rows at the pivot that agree in id, source and text are dealt singly: the fraction is spread over them by
+    the multiples of the golden ratio, a phase for each partition, so no group of repeated rows moves or meets.
+    """
+    named = facts.select([F.col(c).alias(f"__of_{c}") for c in facts.columns])
+    joined = rows.join(named, F.col("__source").eqNullSafe(F.col("__of_source")))
+    more = F.when(F.col("__draw") < F.col("__of_pivot"), 1).when(F.col("__draw") > F.col("__of_pivot"), 0).otherwise(F.coalesce("__of_fraction", F.lit(0.0)).cast("int"))
+    out = joined.withColumn("__copies", F.col("__of_base") + F.coalesce(more, F.lit(0)))
+    if facts.where("tied").limit(1).count():
+        tied = F.col("__of_tied") & (F.col("__draw") == F.col("__of_pivot"))
+        phase = F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(1 << 20)) / (1 << 20)
+        turn = F.pmod(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) * GOLDEN + phase, F.lit(1.0))
+        dealt = joined.where(tied).withColumn("__copies", F.col("__of_base") + (turn < F.col("__of_fraction")).cast("int"))
+        out = out.where(F.coalesce(~tied, F.lit(True))).unionByName(dealt)
+    return out
+
+
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """(id, source, size, source_size, target, copies), a row a document: what the mix does with it.
+
+    A document gets the whole part of its source's rate, and one copy more if its draw is below the source's pivot, so
+    the tokens taken meet the target but for half a document. Null ids, sources and texts are values like any other;
+    repeated rows are decided singly; a document without words has the copies of its rate, none of which counts;
+    an empty table gives no rows; other columns are left out.
     """
-    spark = docs.sparkSession
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size")).groupBy("id", "source", "size").agg(F.count("*").alias("n"))
-    narrow, _ = common.written(narrow, "sizes")
-    rows = narrow.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.count("*").alias("rows")).limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} sources")
-    sizes = {r.source: r.total for r in rows}
-    goal = targets(sizes, weights, share, most)
-    names = [s for s in goal if sizes[s] > 0]  # nothing to balance in a source without words
-    at = {s: k for k, s in enumerate(names)}
-    schema = "name string, isnull boolean, k int"
-    index = spark.createDataFrame([(s, s is None, at[s]) for s in names], schema) if names else spark.createDataFrame([], schema)
-    cells = (
-        narrow.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("double").alias("tokens"))
-        .join(F.broadcast(index), F.col("source").eqNullSafe(F.col("name"))).select(F.array("k").alias("idx"), "tokens")
-    )
-    cells, _ = common.written(cells, "cells")
-    multipliers = balance(cells, [goal[s] for s in names])
-    facts = [(r.source, int(r.total), float(goal[r.source]), float(min(most, math.exp(multipliers[at[r.source]]))) if r.source in at else 1.0, max(1, -(-r["rows"] // CELL))) for r in rows]
-    facts = spark.createDataFrame(facts, "name string, source_size long, target double, rate double, cells long")
-    dealt = narrow.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("name"))).withColumn("tie", F.xxhash64("id", "size")).withColumn("cell", F.expr("pmod(tie, cells)"))
-    id_type = narrow.schema["id"].dataType.simpleString()
-    out = dealt.select("source", "cell", "id", "size", "n", "rate", "tie", "source_size", "target")
-    return (
-        out.groupBy("source", "cell").applyInArrow(_rounded, f"source string, cell long, id {id_type}, size long, source_size long, target double, copies long, n long")
-        .drop("cell")
-    )
+    narrow, facts = plan(docs, id_col, text_col, source_col, **options)
+    rows = narrow.select("id", "source", "size", F.col("source").alias("__source"), F.col("draw").alias("__draw"))
+    return _with_copies(rows, facts).select("id", "source", "size", F.col("__of_source_size").alias("source_size"), F.col("__of_target").alias("target"), F.col("__copies").cast("long").alias("copies"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """``docs`` with each document as often as the mix takes it; those of no words as they are."""
+    """``docs`` with each document as often as the mix takes it; those of no words as they are.
+
+    Each row is decided where it stands by the facts of its source, so texts are not shuffled while the sources' table is
+    small enough for Spark to send it to the tasks, by its measured size. All columns are kept, whatever their names.
+    """
     columns = docs.columns
-    found, _ = common.written(decisions(docs, id_col, text_col, source_col, **options).select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("__copies")), "mix")
-    sized = docs.withColumn("__n", size_of(F.col(text_col)))
-    on = sized[id_col].eqNullSafe(found["__id"]) & sized[source_col].cast("string").eqNullSafe(found["__source"]) & (sized["__n"] == found["__size"])
-    return sized.join(found.where("__copies > 0"), on).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*columns)
+    _, facts = plan(docs, id_col, text_col, source_col, **options)
+    rows = docs.withColumns({"__source": F.col(source_col).cast("string"), "__draw": draw(id_col, text_col, source_col), "__words": size_of(F.col(text_col))})
+    found = _with_copies(rows, facts).withColumn("__copies", F.when(F.col("__words") == 0, 1).otherwise(F.col("__copies")))
+    return found.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target and taken words of every document, and its copies."""
     found = decisions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("row")).drop("row")
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+#: What SQL can say of the query, in DuckDB's: sizes and targets. Rounds of sharing: enough for the sources of the tables.
+TARGETS_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size) AS total, (ARRAY[{", ".join(f"{w}.0" for w in WEIGHTS)}])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS weight FROM d GROUP BY source),
+shared(round, scale) AS (
+  SELECT 0, CAST({SHARE} * sum(total) / sum(weight) AS DOUBLE) FROM s
+  UNION ALL
+  SELECT round + 1, (SELECT CAST(({SHARE} * sum(total) - coalesce(sum(CASE WHEN scale * weight > {MOST} * total THEN {MOST} * total END), 0))
+                     / sum(CASE WHEN scale * weight > {MOST} * total THEN 0 ELSE weight END) AS DOUBLE) FROM s) FROM shared WHERE round < 50)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(total AS BIGINT) AS source_size,
+       least({MOST}.0 * total, weight * (SELECT scale FROM shared WHERE round = 50)) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+"""
