@@ -8,12 +8,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of a chunk at least and at most, bits of the hash that must be zero at a cut,
-#: and words that consecutive repeated chunks need to be cut out as one passage.
-LEAST, MOST, CUT_BITS, MIN_WORDS = 24, 512, 2, 15
+from leafmill.llm import common
+
+#: A cut is a word end whose gear hash is the least among so many word ends before and behind it; bytes of a chunk at most;
+#: words, or bytes, that consecutive repeated chunks need to be cut out as one passage.
+REACH, MOST, MIN_WORDS, MIN_BYTES = 3, 512, 25, 250
+#: Bytes without white space behind which characters may end a word, and bits of the hash that must be zero there.
+UNSPACED, UNSPACED_BITS = 64, 4
+#: A digest is hot if it has more than 1 / (HOT * shuffle partitions) of all chunks, so there are at most that many; never with fewer chunks than LEAST_HOT.
+HOT, LEAST_HOT = 8, 1000
 
 
 def _gear() -> np.ndarray:
@@ -42,91 +48,129 @@ def rolling(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(data: bytes, least: int = LEAST, most: int = MOST, bits: int = CUT_BITS) -> list[int]:
-    """Ends of the chunks of ``data``.
+def _word_ends(raw: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places where a word ends: behind white space; in text that has had none for long, behind some characters, by the hash."""
+    space = SPACES[raw]
+    places = np.arange(len(raw))
+    last = np.maximum.accumulate(np.where(space, places, -1))
+    if len(raw) > UNSPACED and (places - last).max() >= UNSPACED:
+        whole = np.append(raw[1:] & 0xC0 != 0x80, True)  # the next byte begins a character
+        space = space | ((places - last >= UNSPACED) & whole & (h >> np.uint16(16 - UNSPACED_BITS) == 0))
+    return np.flatnonzero(space) + 1
+
 
-    A chunk ends behind white space where the highest ``bits`` of the hash are zero, so a cut depends
-    on 16 bytes before it only and an insertion moves no later cut; never before ``least`` bytes, and at
-    ``most`` bytes wherever that is. Together the chunks are the data.
+def cuts(data: bytes, reach: int = REACH, most: int = MOST) -> list[int]:
+    """Ends of the chunks of ``data``; together the chunks are the data.
+
+    A word end is a cut if its gear hash is not above those of the ``reach`` word ends before it and behind it; where a
+    word repeats, each of its ends is. So a cut depends on a few words around it only: an insertion moves no cut farther
+    away, and a passage in two texts is cut alike but for a few words at its ends. Chunks have 2 * reach + 1 words
+    on average; a longer one than ``most`` bytes is cut there, at the character before.
     """
-    if len(data) <= least:
-        return [len(data)] if data else []
+    if not data:
+        return []
     raw = np.frombuffer(data, np.uint8)
-    at = (np.flatnonzero(SPACES[raw] & (rolling(raw) >> np.uint16(16 - bits) == 0)) + 1).tolist()
+    h = rolling(raw)
+    at = _word_ends(raw, h)
+    value = h[at - 1].astype(np.int32)
+    least = np.ones(len(at), bool)
+    for k in range(1, reach + 1):
+        if len(at) > k:
+            least[k:] &= value[k:] <= value[:-k]
+            least[:-k] &= value[:-k] <= value[k:]
     out, start = [], 0
-    for end in at:
+    for end in [*at[least].tolist(), len(data)]:
         while end - start > most:
-            start += most
-            out.append(start)
-        if end - start >= least:
+            stop = start + most
+            while stop > start + 1 and data[stop] & 0xC0 == 0x80:
+                stop -= 1
+            out.append(stop)
+            start = stop
+        if end > start:
             out.append(end)
             start = end
-    while len(data) - start > most:
-        start += most
-        out.append(start)
-    if start < len(data):
-        out.append(len(data))
     return out
 
 
-def _n_words(chunk: bytes) -> int:
-    return len(chunk.split())
-
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, most: int = MOST) -> DataFrame:
+    """(id, pos, length, words, d1, d2) of every chunk; pos in bytes of the UTF-8 text, words those that begin in it.
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, most: int = MOST, bits: int = CUT_BITS) -> DataFrame:
-    """(id, pos, length, words, digest) of every chunk; pos in bytes of the UTF-8 text.
-
-    The digest is 16 bytes of BLAKE2b, so that equal digests are equal chunks at any scale.
+    The digest is 16 bytes of BLAKE2b as two longs, so that equal digests are equal chunks at any scale.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     id_type = source.schema["id"].dataType.simpleString()
+    names = ["id", "pos", "length", "words", "d1", "d2"]
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for low in range(0, batch.num_rows, 256):  # a batch of long texts makes many chunks
-                part = batch.slice(low, 256)
-                take, pos, length, words, digest = [], [], [], [], []
-                for k, text in enumerate(part.column(1)):
-                    data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                    start = 0
-                    for end in cuts(data, least, most, bits):
-                        chunk = data[start:end]
-                        take.append(k)
-                        pos.append(start)
-                        length.append(end - start)
-                        words.append(_n_words(chunk))
-                        digest.append(hashlib.blake2b(chunk, digest_size=16).digest())
-                        start = end
-                arrays = [part.column(0).take(pa.array(take, pa.int32())), pa.array(pos, pa.int32()), pa.array(length, pa.int32()), pa.array(words, pa.int32()), pa.array(digest, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "pos", "length", "words", "digest"])
-
-    return source.mapInArrow(batches, f"id {id_type}, pos int, length int, words int, digest binary")
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, within: bool = False, **options: int) -> DataFrame:
-    """(id, spans): byte spans of each document that an earlier document has already.
+            take, parts, held = [], [], 0
+
+            def flush(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(take))), *map(pa.array, columns)], names)
+
+            for k, text in enumerate(batch.column(1)):
+                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                ends = cuts(data, reach, most)
+                if not ends:
+                    continue
+                starts = [0, *ends[:-1]]
+                digests = b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(starts, ends, strict=True)])
+                d = np.frombuffer(digests, "<i8").reshape(-1, 2)
+                space = SPACES[np.frombuffer(data, np.uint8)]
+                begins = np.concatenate(([0], np.cumsum(~space & np.concatenate(([True], space[:-1])))))
+                first, last = np.array(starts, np.int64), np.array(ends, np.int64)
+                take.append(np.full(len(ends), k, np.int32))
+                parts.append((first.astype(np.int32), (last - first).astype(np.int32), (begins[last] - begins[first]).astype(np.int32), d[:, 0], d[:, 1]))
+                held += len(ends)
+                if held > 50_000:  # bounds the rows made of a batch of long texts
+                    yield flush()
+                    take, parts, held = [], [], 0
+            if held:
+                yield flush()
+
+    return source.mapInArrow(batches, f"id {id_type}, pos int, length int, words int, d1 long, d2 long")
+
+
+def _later(found: DataFrame) -> DataFrame:
+    """Chunks that are not the first of their digest (smallest id, then position), with ``own``: the first is in the same document.
+
+    Hot digests are found in two counts, by cells of the digest and then exactly in the cells that are large; by their
+    definition they are few, whatever the input, so their firsts go to all tasks and their chunks are not
+    shuffled. All others are shuffled once, by digest, in groups of bounded size.
+    """
+    spark = found.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = 1 << max(14, (32 * partitions - 1).bit_length())
+    counts, _ = common.written(found.groupBy(F.col("d1").bitwiseAND(F.lit(cells - 1)).alias("cell")).count(), "cells")
+    bound = max(LEAST_HOT, (counts.agg(F.sum("count")).first()[0] or 0) // (HOT * partitions))
+    large = counts.where(F.col("count") > bound).select(F.col("cell").alias("__cell"))
+    place = F.struct("id", "pos")
+    inside = found.join(F.broadcast(large), F.col("d1").bitwiseAND(F.lit(cells - 1)) == F.col("__cell"), "left_semi")  # at most HOT * partitions cells
+    hot = inside.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where(F.col("n") > bound)
+    hot, _ = common.written(hot.select(F.col("d1").alias("__d1"), F.col("d2").alias("__d2"), "first"), "hot")
+    on = (F.col("d1") == F.col("__d1")) & (F.col("d2") == F.col("__d2"))
+    of_hot = found.join(F.broadcast(hot), on).drop("__d1", "__d2")  # at most HOT * partitions digests
+    of_rest = found.join(F.broadcast(hot), on, "left_anti").withColumn("first", F.min(place).over(Window.partitionBy("d1", "d2")))
+    return of_hot.unionByName(of_rest).where(place != F.col("first")).select("id", "pos", "length", "words", (F.col("id") == F.col("first.id")).alias("own"))
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES, **options: int) -> DataFrame:
+    """(id, spans, own): spans (pos, stop, words) in bytes of each document that an earlier document has already, and that it has itself before.
 
     Of the chunks with one digest the first (smallest id, then position) stays. A run of neighbouring
-    repeated chunks is a passage, and counts if it has ``min_words`` words: shorter ones are turns of
-    phrase. Chunks are counted by digest first; only digests that occur twice meet the chunks again,
-    in a join whose other side has one row a digest, so Spark can split a digest that a third of all
-    documents share. With ``within`` a document's own repetitions count too.
+    repeated chunks is a passage, and counts if it has ``min_words`` words or ``min_bytes`` bytes: shorter
+    ones are turns of phrase. Texts are read and cut once. Runs are numbered by a window over a document's
+    repeated chunks, so a very long text is no array that grows.
     """
-    found = chunks(docs, id_col, text_col, **options).where("id is not null")
-    first = found.groupBy("digest").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("__digest"), "first")
-    later = found.join(first, F.col("digest") == F.col("__digest")).where(F.struct("id", "pos") != F.col("first") if within else F.col("id") != F.col("first.id")).select("id", F.struct("pos", "length", "words").alias("c"))
-    by_doc = later.groupBy("id").agg(F.array_sort(F.collect_set("c")).alias("c"))
-    return by_doc.select("id", _passages("c", min_words).alias("spans")).where(F.size("spans") > 0)
-
-
-def _passages(column: str, min_words: int) -> Column:
-    """Runs of neighbouring chunks, in one pass over a document's repeated chunks in order of position."""
-    return F.expr(
-        f"""filter(aggregate({column}, cast(array() as array<struct<pos:int,stop:int,words:int>>), (a, x) ->
-            if(size(a) > 0 and element_at(a, -1).stop = x.pos,
-               concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).pos as pos, x.pos + x.length as stop, element_at(a, -1).words + x.words as words))),
-               concat(a, array(struct(x.pos as pos, x.pos + x.length as stop, x.words as words))))), s -> s.words >= {int(min_words)})"""
-    )
+    found, _ = common.written(chunks(docs, id_col, text_col, **options), "chunks")
+    of_doc = Window.partitionBy("id", "own").orderBy("pos")
+    later = _later(found).repartition("id").dropDuplicates(["id", "pos"]).withColumn("before", F.lag(F.col("pos") + F.col("length")).over(of_doc))
+    runs = later.withColumn("run", F.sum(F.when(F.col("before") == F.col("pos"), 0).otherwise(1)).over(of_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    passages = runs.groupBy("id", "own", "run").agg(F.min("pos").alias("pos"), F.max(F.col("pos") + F.col("length")).alias("stop"), F.sum("words").cast("int").alias("words"))
+    long = passages.where((F.col("words") >= min_words) | (F.col("stop") - F.col("pos") >= min_bytes))
+    span = F.struct("pos", "stop", "words")
+    return long.groupBy("id").agg(F.array_sort(F.collect_list(F.when(~F.col("own"), span))).alias("spans"), F.array_sort(F.collect_list(F.when(F.col("own"), span))).alias("own"))
 
 
 def _cut_out():
@@ -147,26 +191,33 @@ def _cut_out():
     return cut
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, within: bool = False, **options: int) -> DataFrame:
-    """``docs`` with repeated passages cut out of their texts.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", within: bool = True, **options: int) -> DataFrame:
+    """``docs`` with repeated passages cut out of their texts; with ``within`` a document's own repetitions too.
 
     Null texts stay null and empty ones empty; rows of null id are not compared and stay as they are;
-    rows that repeat an id have its chunks at equal places and are cut alike.
+    rows that repeat an id have its chunks at equal places and are cut alike; all columns are kept. Only
+    documents with passages are shuffled (and as many more as a bitmap of their ids lets through).
     """
-    spans = repeats(docs, id_col, text_col, min_words, within, **options).select(F.col("id").alias("__id"), F.col("spans").alias("__spans"))
-    joined = docs.join(spans, docs[id_col] == spans["__id"], "left")
-    return joined.withColumn(text_col, _cut_out()(F.col(text_col), F.col("__spans"))).select(*docs.columns)
+    columns = docs.columns
+    both = F.array_sort(F.concat("spans", "own")) if within else F.col("spans")
+    spans, _ = common.written(repeats(docs, id_col, text_col, **options).select(F.col("id").alias("__id"), both.alias("__spans")).where(F.size("__spans") > 0), "spans")
+    clean, maybe = common.parted(docs, F.col(id_col), spans.select("__id"))
+    joined = maybe.join(spans, F.col("__key") == F.col("__id"), "left")
+    return clean.unionByName(joined.withColumn(text_col, _cut_out()(F.col(text_col), F.col("__spans"))).select(*columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_spans, repeated_bytes and repeated_words of every document, its spans as text, and whether there are any."""
+    """doc_id, n_bytes; n_spans, repeated_bytes, repeated_words, spans as text and whether there are any, of passages that an earlier document has; n_own_spans, own_words and own_spans of those that it has before itself."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    spans = repeats(docs).select(F.col("id").alias("__id"), "spans")
+    found = repeats(docs).select(F.col("id").alias("__id"), "spans", "own")
     sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    joined = sizes.join(spans, F.col("doc_id") == F.col("__id"), "left")
-    total = lambda of: F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + of(s)), F.lit(0).cast("long"))
+    joined = sizes.join(found, F.col("doc_id") == F.col("__id"), "left")
+    none = F.array().cast("array<struct<pos:int,stop:int,words:int>>")
+    joined = joined.withColumns({"spans": F.coalesce("spans", none), "own": F.coalesce("own", none)})
+    total = lambda column, of: F.aggregate(column, F.lit(0).cast("long"), lambda a, s: a + of(s))
+    as_text = lambda column: F.array_join(F.transform(column, lambda s: F.concat_ws("-", s["pos"], s["stop"])), ",")
     return joined.select(
-        "doc_id", "n_bytes", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), total(lambda s: s["stop"] - s["pos"]).alias("repeated_bytes"),
-        total(lambda s: s["words"]).alias("repeated_words"), F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["pos"], s["stop"])), ",").alias("spans"),
-        F.col("spans").isNotNull().alias("repeated"),
+        "doc_id", "n_bytes", F.size("spans").cast("long").alias("n_spans"), total("spans", lambda s: s["stop"] - s["pos"]).alias("repeated_bytes"),
+        total("spans", lambda s: s["words"]).alias("repeated_words"), as_text("spans").alias("spans"), (F.size("spans") > 0).alias("repeated"),
+        F.size("own").cast("long").alias("n_own_spans"), total("own", lambda s: s["words"]).alias("own_words"), as_text("own").alias("own_spans"),
     )
