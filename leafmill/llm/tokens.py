@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A file of pieces, where no other is named.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: What a character without a piece costs below the worst piece.
 UNKNOWN = 10.0
@@ -20,9 +22,12 @@ MISSING = object()
 
 
 def read_pieces(data: bytes) -> dict[str, float]:
-    """{piece: score} of the ordinary pieces of a serialized piece model.
+    """{piece: log-probability} of the ordinary pieces of a serialized piece model.
 
-    Field 1 of the message is a piece: 1 its text, 2 its score (float), 3 its type (1, ordinary, if absent).
+    Field 1 of the message is a piece: 1 its text, 2 its score (float), 3 its type (1, ordinary, if absent). Field 2
+    says how the model was made: 3 its kind (1, unigram, if absent). A unigram model's scores are log-probabilities
+    and stay as they are. Those of any other kind only rank the pieces (minus the number of the merge), which no
+    sum of scores may be made of; see :func:`zipf`.
     """
 
     def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -49,12 +54,36 @@ def read_pieces(data: bytes) -> dict[str, float]:
                 at += length
 
     out: dict[str, float] = {}
+    kind = 1
     for field, value in fields(data):
+        if field == 2:
+            kind = dict(fields(value)).get(3, 1)
         if field == 1:
             piece = dict(fields(value))
             if piece.get(3, 1) == 1:
                 out[piece[1].decode()] = struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0
-    return out
+    return out if kind == 1 else zipf(out)
+
+
+def zipf(ranked: dict[str, float]) -> dict[str, float]:
+    """Log-probabilities of pieces of which only an order is known, the best score first: by Zipf's law, 1 / rank over their sum."""
+    order = sorted(ranked, key=ranked.get, reverse=True)  # stable: equal scores keep the file's order
+    total = math.log(sum(1 / k for k in range(1, len(order) + 1)))
+    return {piece: -math.log(k) - total for k, piece in enumerate(order, 1)}
+
+
+class Words(dict):
+    """{word: tokens} of the words met so far, without their space mark; a missing one is counted."""
+
+    def __init__(self, count: Callable[[str], int]):
+        super().__init__()
+        self.make = count
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MAX_WORDS:
+            self.clear()
+        found = self[word] = self.make(SPACE + word)
+        return found
 
 
 class Counter:
@@ -74,7 +103,7 @@ class Counter:
             for end in range(1, len(piece)):
                 self.pieces.setdefault(piece[:end])
         self.pieces |= pieces
-        self.words: dict[str, int] = {}
+        self.words = Words(self.count)
         self.prune()
 
     def prune(self) -> None:
@@ -104,13 +133,8 @@ class Counter:
 
     def count(self, word: str) -> int:
         """Tokens of one pre-token, of which the first character may be the space mark."""
-        found = self.words.get(word)
-        if found is not None:
-            return found
         if len(self.forward) > MAX_NODES:
             self.prune()
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
         path = [self.forward[0]]
         if len(word) > MAX_STORED:  # scored by itself; it would fill the trie
             for end in range(1, len(word) + 1):
@@ -124,33 +148,28 @@ class Counter:
                 forward.append(self._step(word, end, path))
                 node = children[key] = len(forward) - 1
             path.append(forward[node])
-        self.words[word] = path[-1][1]
         return path[-1][1]
 
     def text(self, text: str | None) -> tuple[int, int]:
-        """(tokens, pre-tokens) of a text; white space divides pre-tokens and is their space mark."""
+        """(tokens, pre-tokens) of a text; white space divides pre-tokens and is their space mark.
+
+        Each distinct word goes through the trie once; its occurrences are looked up without any Python code of their own.
+        """
         words = text.split() if text else []
-        known = self.words
-        total = 0
-        for word in words:
-            marked = SPACE + word
-            found = known.get(marked)
-            if found is None:
-                found = self.count(marked)
-                known = self.words
-            total += found
-        return total, len(words)
-
-
-def with_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+        return sum(map(self.words.__getitem__, words)), len(words)
+
+
+def with_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(id, n_tokens, n_pretokens) for each row of ``docs``.
 
-    Null, empty and blank texts have 0 of both; repeated rows are returned as often as they occur.
-    No shuffle: each task counts its own rows, with a trie bounded in nodes. ``vocabulary`` is a path
-    on the driver; the pieces (a file of fixed size) go to the tasks once, as a broadcast.
+    A token is a piece of the segmentation of highest probability under the vocabulary as a unigram model; no
+    tokenizer is trained. Null, empty and blank texts have 0 of both; repeated rows are returned as often as they occur.
+    Other columns, whatever their names, are left out. No shuffle: each task counts its own rows, with a trie bounded in nodes. ``vocabulary`` is a path
+    on the driver, else what the session's ``spark.leafmill.vocabulary`` says; the pieces (a file of fixed size) go to the tasks once, as a broadcast.
     """
     spark = docs.sparkSession
-    pieces = spark.sparkContext.broadcast(read_pieces(Path(vocabulary).read_bytes()))
+    path = vocabulary or spark.conf.get("spark.leafmill.vocabulary", VOCABULARY)
+    pieces = spark.sparkContext.broadcast(read_pieces(Path(path).read_bytes()))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
 
