@@ -9,7 +9,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm import common
@@ -17,7 +17,7 @@ from leafmill.llm import common
 #: Least cosine of a link.
 COSINE = 0.98
 #: Caps a vector should lie in on average, and at least; code words a block at least and at most; seed of the codes.
-CAPS, LEAST_CAPS, CODES, SEED = 24, 8, (64, 4096), 7
+CAPS, LEAST_CAPS, CODES, SEED = 8, 10, (64, 4096), 7
 #: Rows of a bucket that one task compares among themselves or with as many others.
 BLOCK = 512
 
@@ -121,11 +121,11 @@ def _decoded(classes: DataFrame, kind: str, codes: int, caps: float, least: int,
                     order = np.lexsort((cap, row))
                     row, cap = row[order], cap[order]
                     bounds = np.searchsorted(row, np.arange(len(mine) + 1))
-                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(cap, pa.int64()))
+                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(cap, pa.int32()))
                     taken = part.take(pa.array(mine[row]))
-                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cap, pa.int64()), lists.take(pa.array(row))], ["id", "label", "weight", "vec", "cap", "caps"])
+                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cap, pa.int32()), lists.take(pa.array(row))], ["id", "label", "weight", "vec", "cap", "caps"])
 
-    return classes.mapInArrow(batches, f"id {id_type}, label {label_type}, weight long, vec binary, cap long, caps array<long>")
+    return classes.mapInArrow(batches, f"id {id_type}, label {label_type}, weight long, vec binary, cap int, caps array<int>")
 
 
 def _compared(rows: DataFrame, kind: str, cosine: float) -> DataFrame:
@@ -207,6 +207,31 @@ def _compared(rows: DataFrame, kind: str, cosine: float) -> DataFrame:
     return rows.mapInArrow(batches, f"id {id_type}, links long, root long")
 
 
+def _dealt(buckets: DataFrame, block: int) -> DataFrame:
+    """A row for each block, or pair of blocks lo and hi, in which a row of a cap is compared.
+
+    A cap of at most ``block`` rows is one block. A larger one is cut into blocks of which every two meet. Rows of which
+    half a block or more begin their lists with the same other cap have met there: they get blocks of their own, and
+    these meet neither each other nor themselves. So a dense group that lies in the same caps is compared in the first only.
+    """
+    first = F.element_at("caps", 1)
+    of_cap = Window.partitionBy("label_key", "cap")
+    sizes = buckets.groupBy("label_key", "cap", first.alias("first")).count().withColumn("total", F.sum("count").over(of_cap)).where(F.col("total") > block)
+    sizes, _ = common.written(sizes.withColumn("group", F.when(F.col("count") * 2 >= block, F.col("first")).otherwise(-1)), "sizes")
+    parts = sizes.groupBy("label_key", "cap", "group").agg(F.ceil(F.sum("count") / block).cast("int").alias("parts"))
+    before = F.sum("parts").over(of_cap.orderBy("group").rowsBetween(Window.unboundedPreceding, 0)) - F.col("parts")
+    parts = parts.withColumns({"start": before.cast("int"), "all": F.sum("parts").over(of_cap).cast("int")})
+    hot = sizes.join(parts, ["label_key", "cap", "group"]).select(F.col("label_key").alias("__l"), F.col("cap").alias("__c"), F.col("first").alias("__f"), "group", "parts", "start", "all")
+    hot, _ = common.written(hot, "hot")  # its size is known then, and Spark sends it to the tasks if it is small
+    on = (F.col("label_key") == F.col("__l")) & (F.col("cap") == F.col("__c")) & (first == F.col("__f"))
+    cut = buckets.join(hot, on, "left").withColumn("side", F.when(F.col("all").isNull(), 0).otherwise(F.col("start") + F.expr("cast(pmod(xxhash64(id), parts) as int)")))
+    met = (F.col("group") >= 0) & (F.col("group") < F.col("cap"))
+    others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda b: ~met | (b < F.col("start")) | (b >= F.col("start") + F.col("parts")))
+    partner = F.when(F.col("all").isNull(), F.array(F.lit(0))).otherwise(others)
+    dealt = cut.withColumn("other", F.explode(partner)).withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
+    return dealt.select("id", "weight", "vec", "caps", "label_key", "cap", "lo", "hi", "side")
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, caps: float = CAPS, least: int = LEAST_CAPS, block: int = BLOCK, codes: int | None = None, seed: int = SEED) -> DataFrame:
     """(id, n_links, component_id) for each row of ``vectors``.
 
@@ -217,7 +242,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Equal vectors of a label become one class with a weight. Classes meet in the caps that both lie in;
     cosines are computed in numpy a bucket at a time and only sums and spanning links leave it. Buckets
-    over ``block`` rows are cut into blocks and pairs of blocks, so a task holds two blocks at most. The
+    over ``block`` rows are cut into blocks and pairs of blocks (see :func:`_dealt`), so a task holds two blocks at most;
+    other columns are left out, whatever their names; an empty table gives no rows. The
     number of code words follows the number of classes, which keeps buckets small at any size.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
@@ -228,11 +254,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     if codes is None:
         codes = min(CODES[1], max(CODES[0], 1 << math.ceil(math.log2(math.sqrt(max(1, classes.count())) / 2 + 1))))
     buckets, _ = common.written(_decoded(classes.select("id", "label", "weight", "vec"), kind, codes, caps, least, seed).withColumn("label_key", F.xxhash64("label")), "caps")
-    hot = buckets.groupBy("label_key", "cap").count().where(F.col("count") > block).select(F.col("label_key").alias("__l"), F.col("cap").alias("__c"), F.ceil(F.col("count") / block).cast("int").alias("parts"))
-    cut = buckets.join(hot, (F.col("label_key") == F.col("__l")) & (F.col("cap") == F.col("__c")), "left").withColumn("side", F.when(F.col("parts").isNull(), 0).otherwise(F.expr("cast(pmod(xxhash64(id), parts) as int)")))
-    partner = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = cut.withColumn("other", F.explode(partner)).withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
-    dealt = dealt.select("id", "weight", "vec", "caps", "label_key", "cap", "lo", "hi", "side").repartition("label_key", "cap", "lo", "hi").sortWithinPartitions("label_key", "cap", "lo", "hi")
+    dealt = _dealt(buckets, block).repartition("label_key", "cap", "lo", "hi").sortWithinPartitions("label_key", "cap", "lo", "hi")
     found, _ = common.written(_compared(dealt, kind, cosine), "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = common.connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))

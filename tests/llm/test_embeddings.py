@@ -49,6 +49,32 @@ def test_recall_and_precision(spark, block):
     assert sum(got[i][1] == want[i][1] for i in want) >= 0.995 * len(want)
 
 
+@pytest.mark.parametrize("codes", [1024, 4096])
+def test_recall_at_the_edge_with_many_codes(spark, codes):
+    """As many code words as far larger tables get; pairs of a cosine just above the least."""
+    rng = np.random.default_rng(9)
+    u = rng.standard_normal((800, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    r = rng.standard_normal((800, 64))
+    r -= (r * u).sum(1, keepdims=True) * u
+    r /= np.linalg.norm(r, axis=1, keepdims=True)
+    v = 0.9805 * u + np.sqrt(1 - 0.9805**2) * r
+    rows = [(k, x.tolist(), 1) for k, x in enumerate(np.concatenate([u, v]))]
+    got = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), codes=codes).where("n_links > 0").count()
+    assert got >= 0.98 * 1600
+
+
+def test_dense_groups_meet_once(spark):
+    """A dense group in caps it shares is compared in the first of them only, and nothing is lost."""
+    rng = np.random.default_rng(2)
+    centre = rng.standard_normal(64)
+    rows = [(k, (centre + 0.02 * rng.standard_normal(64)).astype(np.float32).tolist(), 1) for k in range(300)] + [(1000 + k, v, g) for k, v, g in made(300, 64, 0.12, 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.id: (r.n_links, r.component_id) for r in E.near_duplicates(df, block=32).collect()}
+    want = brute(rows)
+    assert sum(got[i] == want[i] for i in want) >= 0.995 * len(want) and all(got[k] == want[k] for k in range(300))
+
+
 def test_query_on_table(spark):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     got = {r.vec_id: (r.n_links, r.component_id) for r in E.query(spark, SF).collect()}
