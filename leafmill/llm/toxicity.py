@@ -58,6 +58,17 @@ def windows(n: int) -> list[tuple[int, int]]:
     return [(a, min(n, a + WINDOW)) for a in starts]
 
 
+def _added(rows: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Zeros of so many rows to which ``values`` are added at the rows ``at``: sorted and summed by runs."""
+    out = np.zeros((rows, values.shape[1]), values.dtype)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        ranked = at[order]
+        starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        out[ranked[starts]] = np.add.reduceat(values[order], starts, axis=0)
+    return out
+
+
 class Network:
     """Word and character inputs -> two gated recurrent layers -> attention -> one logit a window.
 
@@ -134,7 +145,7 @@ class Network:
         dhidden = a[..., None] * dpooled + de[..., None] * p["att"]
         dstates = np.stack((dhidden[..., :STATE], dhidden[::-1, :, STATE:]))
         dh = np.zeros_like(dstates[:, 0])
-        dtable = np.zeros((2, len(known), 3 * STATE), np.float32)
+        steps: list = [None] * at.shape[1]
         for t in range(at.shape[1] - 1, -1, -1):
             h, r, u, gc, c, real = keep[t]
             total = dh + dstates[:, t]
@@ -146,15 +157,16 @@ class Network:
             dg = np.concatenate((dr, du, dc * r), axis=2)
             d["U"] += np.matmul(h.transpose(0, 2, 1), dg)
             dh = np.where(real, live * u, total) + np.matmul(dg, p["U"].transpose(0, 2, 1))
-            for k in (0, 1):
-                np.add.at(dtable[k], both[k, :, t], dx[k])  # past the end dx is 0
+            steps[t] = dx  # past the end it is 0
+        dxs = np.stack(steps, axis=2).reshape(2, -1, 3 * STATE)
+        dtable = np.stack([_added(len(known), both[k].reshape(-1), dxs[k]) for k in (0, 1)])
         d["W"][:] = np.matmul(inputs.T[None], dtable)
         d["b"][:] = dtable.sum(1, keepdims=True)
         dinputs = np.matmul(dtable, p["W"].transpose(0, 2, 1)).sum(0)
-        np.add.at(d["word"], known, dinputs[:, :EMBED])
+        d["word"] = _added(len(p["word"]), known, dinputs[:, :EMBED])
         d["word"][0] = 0
         count = np.diff(np.append(starts, len(grams)))
-        np.add.at(d["char"], grams, np.repeat(dinputs[:, EMBED:] / count[:, None], count, axis=0))
+        d["char"] = _added(len(p["char"]), grams, np.repeat(dinputs[:, EMBED:] / count[:, None], count, axis=0))
         return d
 
 

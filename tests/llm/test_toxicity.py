@@ -39,6 +39,50 @@ def test_learns_a_prefix_and_reruns_agree():
     assert all(np.array_equal(net.p[k], again.p[k]) for k in net.p)
 
 
+def test_held_out_recall_and_precision(spark):
+    """On sf0.1, of labelled documents of which no label was learned."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in T.query(spark, sf).collect() if r.held_out and labels.get(r.doc_id) is not None]
+    toxic = [r for r in rows if labels[r.doc_id] == 1]
+    caught, alarms = sum(r.predicted for r in toxic), sum(r.predicted for r in rows if labels[r.doc_id] == 0)
+    assert len(toxic) >= 100 and caught >= 0.9 * len(toxic) and alarms <= 0.02 * (len(rows) - len(toxic)) and caught >= 0.85 * (caught + alarms)
+
+
+def plain_score(net, text):
+    """The largest probability of the windows of one text, word by word and gate by gate."""
+    words = T.words_of(text)
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+    best = 0.0
+    for a, b in T.windows(len(words)) if words else []:
+        table = net.projected(net.inputs(words[a:b])[3])
+        hidden = []
+        for k in (0, 1):
+            h, states = np.zeros(T.STATE), []
+            for i in range(b - a) if k == 0 else range(b - a - 1, -1, -1):
+                x, g = table[k, i], h @ net.p["U"][k]
+                r, u = (sigmoid(x[j * T.STATE : (j + 1) * T.STATE] + g[j * T.STATE : (j + 1) * T.STATE]) for j in (0, 1))
+                c = np.tanh(x[2 * T.STATE :] + r * g[2 * T.STATE :])
+                h = u * h + (1 - u) * c
+                states.append(h)
+            hidden.append(states if k == 0 else states[::-1])
+        both = np.concatenate((np.array(hidden[0]), np.array(hidden[1])), axis=1)
+        e = both @ net.p["att"]
+        weight = np.exp(e - e.max())
+        best = max(best, sigmoid((weight / weight.sum()) @ both @ net.p["out"] + net.p["bias"][0]))
+    return float(best)
+
+
+def test_scores_equal_a_plain_network(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    net = T.trained(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.score for r in T.query(spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == texts.keys()
+    for i in sorted(texts)[::5]:
+        assert got[i] == pytest.approx(plain_score(net, texts[i]), abs=1e-4)
+
+
 def test_gradient_equals_differences():
     net = T.Network({"aa": 1, "bcd": 2}, 3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
