@@ -9,6 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def hash_of(*columns: str) -> Column:
+    """The first 64 bits of the MD5 of the columns as text, with colons between; null is like empty."""
+    text = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 16), 16, -10).cast("long")
+
+
 #: Longs of a bitmap at most: 2**24 bits, 2 MB, whatever it has to hold.
 BITMAP_WORDS = 1 << 18
 

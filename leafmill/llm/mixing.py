@@ -122,7 +122,7 @@ def _newton(pairs: dict, gradient: np.ndarray) -> np.ndarray:
 
 def draw(id_col: str, text_col: str, source_col: str) -> Column:
     """63 bits that order the documents of a source as if at random, alike in every run."""
-    return F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(source_col).cast("string"), F.col(text_col)), 1)
+    return F.shiftrightunsigned(common.hash_of(id_col, source_col, text_col), 1)
 
 
 def _pivots(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     sources = with_targets(narrow.groupBy("source").agg(F.sum("size").alias("total")), weights, share, most)
     rate = F.when(F.col("total") > 0, F.least(F.lit(float(most)), F.exp(multiplier(F.col("target") / F.col("total"))))).otherwise(1.0)
     goals = sources.withColumn("rate", rate).withColumn("base", F.floor(F.col("rate") + 1e-9).cast("int"))
-    goals, _ = common.written(goals.withColumn("extra", F.when(F.col("rate") - F.col("base") > 1e-9, (F.col("rate") - F.col("base")) * F.col("total")).otherwise(0.0)), "goals")
+    goals, _ = common.written(goals.withColumn("extra", F.when(F.col("rate") - F.col("base") > 1e-9, F.col("target") - F.col("base") * F.col("total")).otherwise(0.0)), "goals")
     pivots = _pivots(narrow, goals).withColumnRenamed("source", "__source")
     facts = goals.join(pivots, F.col("source").eqNullSafe(F.col("__source")), "left")
     facts, _ = common.written(facts.select("source", F.col("total").alias("source_size"), "target", "base", "pivot", "fraction", F.coalesce("tied", F.lit(False)).alias("tied")), "mix")
@@ -214,15 +214,20 @@ def query(spark, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-#: What SQL can say of the query, in DuckDB's: sizes and targets. Rounds of sharing: enough for the sources of the tables.
-TARGETS_SQL = rf"""
-WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
-s AS (SELECT source, sum(size) AS total, (ARRAY[{", ".join(f"{w}.0" for w in WEIGHTS)}])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS weight FROM d GROUP BY source),
-shared(round, scale) AS (
-  SELECT 0, CAST({SHARE} * sum(total) / sum(weight) AS DOUBLE) FROM s
+#: The same in DuckDB's SQL, for tables in which no two rows agree in id, source and text. Fifty rounds of sharing, enough for the sources of the tables.
+SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  CAST('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', coalesce(source, ''), ':', coalesce(text, ''))), 1, 16) AS UBIGINT) >> 1 AS draw FROM documents),
+s AS (SELECT source, sum(size) AS total, (ARRAY[{", ".join(f"{w}.0" for w in WEIGHTS)}])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1]::DOUBLE AS weight FROM d GROUP BY source),
+shared(round, rest, free) AS (
+  SELECT 0, CAST({SHARE} * sum(total) AS DOUBLE), sum(weight) FROM s
   UNION ALL
-  SELECT round + 1, (SELECT CAST(({SHARE} * sum(total) - coalesce(sum(CASE WHEN scale * weight > {MOST} * total THEN {MOST} * total END), 0))
-                     / sum(CASE WHEN scale * weight > {MOST} * total THEN 0 ELSE weight END) AS DOUBLE) FROM s) FROM shared WHERE round < 50)
-SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(total AS BIGINT) AS source_size,
-       least({MOST}.0 * total, weight * (SELECT scale FROM shared WHERE round = 50)) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+  SELECT round + 1, (SELECT CAST({SHARE} * sum(total) - coalesce(sum(CASE WHEN rest / free * weight > {MOST} * total THEN {MOST} * total END), 0) AS DOUBLE) FROM s),
+         (SELECT coalesce(sum(CASE WHEN rest / free * weight > {MOST} * total THEN 0 ELSE weight END), 0) FROM s) FROM shared WHERE round < 50),
+goals AS (SELECT source, total, CASE WHEN rest / free * weight > {MOST} * total THEN {MOST}.0::DOUBLE * total ELSE rest * weight / free END AS target FROM s, shared WHERE round = 50),
+rates AS (SELECT *, floor(target / greatest(total, 1) + 1e-9) AS base, target - floor(target / greatest(total, 1) + 1e-9) * total AS extra FROM goals),
+drawn AS (SELECT d.*, total, target, CASE WHEN total = 0 THEN 1 ELSE base END AS base, CASE WHEN extra > 1e-9 * total THEN extra ELSE 0 END AS extra,
+          sum(size) OVER (PARTITION BY d.source ORDER BY draw) AS upto FROM d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(total AS BIGINT) AS source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies
+FROM (SELECT *, base + CASE WHEN extra = 0 THEN 0 WHEN upto < extra THEN 1 WHEN upto - size >= extra THEN 0 WHEN size > 0 AND (extra - (upto - size)) / size >= 0.5 THEN 1 ELSE 0 END AS copies FROM drawn)
 """

@@ -21,4 +21,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_decontamination": decontaminate.SQL, "op3_warc": warc.SQL, "op6_embedding_near_dedup": embeddings.SQL}
+    return {
+        "op2_decontamination": decontaminate.SQL,
+        "op3_warc": warc.SQL,
+        "op4_sharding": sharding.SQL,
+        "op6_embedding_near_dedup": embeddings.SQL,
+        "op7_mixing": mixing.SQL,
+    }

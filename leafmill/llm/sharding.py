@@ -35,11 +35,11 @@ def assigned(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_c
     Texts of null count no bytes. A text over the limit is a shard of its own (``+`` and its hash).
     Rows that agree in id and text have one hash, so no bit divides them: where they exceed the limit
     together they are dealt by row number, each number of rows that fits being a shard. Columns of ``docs``
-    with the names of the new ones are replaced.
+    with the names of the new ones are kept as ``given_`` and their name. An empty table gives no rows.
     """
-    docs = docs.drop("shard", "shard_depth", "shard_row_bytes")
+    docs = docs.withColumnsRenamed({c: f"given_{c}" for c in ("shard", "shard_depth", "shard_row_bytes") if c in docs.columns})
     columns = docs.columns
-    rows = docs.withColumn("shard_row_bytes", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")).withColumn("__h", F.xxhash64(id_col, text_col))
+    rows = docs.withColumn("shard_row_bytes", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")).withColumn("__h", common.hash_of(id_col, text_col))
     narrow, _ = common.written(rows.where(F.col("shard_row_bytes") <= limit).groupBy("__h").agg(F.sum("shard_row_bytes").alias("b")), "bytes")
     total = narrow.agg(F.sum("b")).first()[0] or 0
     depth = min(64, max(0, math.ceil(math.log2(max(1, total) / limit)) + FINER)) if total > limit else 0
@@ -76,7 +76,22 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     assigned(docs, limit, id_col, text_col).repartition("shard").write.partitionBy("shard").parquet(path)
 
 
-def query(spark, sf_dir: str) -> DataFrame:
+def query(spark, sf_dir: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, shard and its depth for every document."""
-    found = assigned(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = assigned(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), limit)
     return found.select("doc_id", F.col("shard_row_bytes").alias("n_bytes"), "shard", "shard_depth")
+
+
+def sql(limit: int = LIMIT) -> str:
+    """The same in DuckDB's SQL, but for texts over the limit and equal rows over it together."""
+    return f"""
+WITH d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n,
+  lpad(bin(CAST('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', coalesce(text, ''))), 1, 16) AS UBIGINT)), 64, '0') AS bits FROM documents),
+p AS (SELECT doc_id, n, bits, depth, substr(bits, 1, depth) AS prefix FROM d, (SELECT unnest(range(0, 65)) AS depth) WHERE n <= {limit}),
+f AS (SELECT depth, prefix FROM p GROUP BY depth, prefix HAVING sum(n) <= {limit}),
+x AS (SELECT doc_id, n, bits, min(depth) AS depth FROM p JOIN f USING (depth, prefix) GROUP BY doc_id, n, bits)
+SELECT doc_id, n AS n_bytes, CASE WHEN depth = 0 THEN 'all' ELSE substr(bits, 1, depth) END AS shard, CAST(depth AS INT) AS shard_depth FROM x
+"""
+
+
+SQL = sql()

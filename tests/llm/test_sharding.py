@@ -1,8 +1,11 @@
+import hashlib
 import random
 from collections import defaultdict
 
-from pyspark.sql import functions as F
+import duckdb
+import pytest
 
+from leafmill.llm import common
 from leafmill.llm import sharding as S
 
 
@@ -24,7 +27,7 @@ def test_equals_brute_force(spark):
     rows = [(i, "wort " * rng.choice([1, 3, 50, 700])) for i in range(700)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for limit in (5000, 20_000, 10**9):
-        got = S.assigned(docs, limit).withColumn("h", F.xxhash64("doc_id", "text")).collect()
+        got = S.assigned(docs, limit).withColumn("h", common.hash_of("doc_id", "text")).collect()
         assert len(got) == len(rows)
         assert {r.h: r.shard for r in got} == brute([(r.h, r.shard_row_bytes) for r in got], limit)
         assert all(r.shard_row_bytes == len(r.text) for r in got)
@@ -38,7 +41,7 @@ def test_ties_nulls_and_oversized(spark):
     for r in got:
         total[r.shard] += r.shard_row_bytes
         count[r.shard] += 1
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and sorted({r.given_shard for r in got}) == [0, 1, 2, 3, 4, 5]
     assert all(t <= 900 or (count[s] == 1 and t == 5000) for s, t in total.items())
     assert [r.shard_row_bytes for r in got if r.doc_id is None and r.text] == [100]
 
@@ -52,3 +55,18 @@ def test_written_shards_hold_every_row(spark, tmp_path):
     S.write_shards(docs, f"file://{tmp_path}/out", 4000)
     back = spark.read.parquet(f"file://{tmp_path}/out")
     assert back.count() == 200 and back.select("shard").distinct().count() > 4
+
+
+@pytest.mark.parametrize("limit", [9_000, 60_000, S.LIMIT])
+def test_query_equals_sql_and_brute_force(spark, limit):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    texts = {i: t or "" for i, t in con.sql("select doc_id, text from documents").fetchall()}
+    got = {(r.doc_id, r.n_bytes, r.shard, r.shard_depth) for r in S.query(spark, sf, limit).collect()}
+    whole = {r for r in got if not r[2].startswith("+")}
+    assert whole == set(con.sql(f"select doc_id, n_bytes, shard, shard_depth from ({S.sql(limit)})").fetchall())
+    h = {i: int(hashlib.md5(f"{i}:{t}".encode()).hexdigest()[:16], 16) for i, t in texts.items()}
+    want = brute([(h[i], len(t.encode())) for i, t in texts.items() if len(t.encode()) <= limit], limit)
+    assert {i: s for i, _, s, _ in whole} == {i: want[h[i]] for i, t in texts.items() if len(t.encode()) <= limit}
+    assert len(got) == len(texts) and (limit == S.LIMIT or len({s for _, _, s, _ in got}) > 3)
