@@ -78,6 +78,9 @@ def links(prints: DataFrame) -> DataFrame:
     difference of one bit is thus asked for from one side only. The third condition and the full
     Hamming check stand in the join condition, so only true links leave the join. A key has 34 bits,
     so candidates stay proportional to the fingerprints where 16-bit bands would grow with the square.
+    Fingerprints are distinct, so even in a dense ball one has at most C(64, 1) + C(64, 2) + C(64, 3) = 43,744
+    links, and any set of which all are linked to all at most 128 members: links grow with the number of distinct
+    fingerprints, not with its square, however many documents have them.
     """
     turned = prints.select("fp", F.posexplode(F.array(*[F.expr(_rotated("fp", k)) for k in range(SEGMENTS)])).alias("k", "turned"))
     keyed = turned.select("fp", "turned", F.col("k").cast("long").alias("k"), F.expr("shiftrightunsigned(turned, 32)").alias("head"))
@@ -124,11 +127,16 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def one_a_group(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str, of: Callable[[str | None], int]) -> DataFrame:
-    """``deduplicated`` by the rows of ``joined_groups``; ``of`` gives the fp of a text."""
+    """``deduplicated`` by the rows of ``joined_groups``; ``of`` gives the fp of a text.
+
+    Rows whose id no dropped row has pass where they stand, by a bitmap of the dropped ids; only the
+    others, most of which go, are shuffled by id. Where ids repeat, their rows collapse in a shuffle of all.
+    """
     found, _ = common.written(grouped, "groups")
     drop = found.where(F.col("component_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__drop")).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    kept = named.join(drop, named[id_col] == drop["__drop"], "left_anti")
+    drop, _ = common.written(drop, "dropped")
+    clean, maybe = common.parted(docs.where(F.col(id_col).isNotNull()), F.col(id_col), drop)
+    kept = clean.unionByName(maybe.join(drop, F.col("__key") == F.col("__drop"), "left_anti").select(*docs.columns))
     if found.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates([id_col])
     if found.where("id is null").limit(1).count():
