@@ -15,8 +15,8 @@ def hash_of(*columns: str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 16), 16, -10).cast("long")
 
 
-#: Longs of a bitmap at most: 2**24 bits, 2 MB, whatever it has to hold.
-BITMAP_WORDS = 1 << 18
+#: Longs of a bitmap at least and at most: 2**24 bits, 2 MB, whatever it has to hold; 32 bits a key between.
+BITMAP_WORDS = (1 << 8, 1 << 18)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,21 +63,25 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def bitmap(keys: DataFrame, words: int = BITMAP_WORDS) -> DataFrame:
-    """One row, ``bits`` (array<long>): two bits for each long of the first column of ``keys``.
+def bitmap(keys: DataFrame) -> tuple[DataFrame, int]:
+    """One row, ``bits`` (array<long>), written, and the number of its longs: two bits for each long of the one column of ``keys``.
 
-    The bits are gathered by word on the executors; one task orders the ``words`` longs, a number that
-    does not grow with the keys.
+    The bits are gathered by word on the executors, then by 64 words; the last task orders a few thousand rows at
+    most, a number that does not grow with the keys.
     """
     h = F.col(keys.columns[0])
+    words = min(BITMAP_WORDS[1], max(BITMAP_WORDS[0], 1 << (keys.count() // 2).bit_length()))
     spot = lambda low, bit: F.struct((F.shiftrightunsigned(h, low).bitwiseAND(F.lit(words - 1))).alias("w"), F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(63)).cast("int").alias("b"))
     set_bits = keys.where(h.isNotNull()).select(F.explode(F.array(spot(0, 36), spot(18, 42))).alias("s")).groupBy(F.col("s.w").alias("w")).agg(F.expr("bit_or(shiftleft(1L, s.b))").alias("x"))
     none = keys.sparkSession.range(words).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("x"))
-    return set_bits.union(none).groupBy("w").agg(F.bit_or("x").alias("x")).agg(F.array_sort(F.collect_list(F.struct("w", "x"))).alias("l")).select(F.expr("l.x").alias("bits"))
+    by_word = set_bits.union(none).groupBy("w").agg(F.bit_or("x").alias("x"))
+    ordered = lambda a, b: F.array_sort(F.collect_list(F.struct(a, b)))
+    parts = by_word.groupBy(F.shiftright("w", 6).alias("g")).agg(ordered("w", "x").alias("l")).select("g", F.expr("l.x").alias("part"))
+    return written(parts.agg(ordered("g", "part").alias("l")).select(F.flatten(F.expr("l.part")).alias("bits")), "bitmap")[0], words
 
 
-def may_hold(bits: Column, h: Column, words: int = BITMAP_WORDS) -> Column:
-    """False if the long ``h`` is surely not among the keys of the bitmap; null is not."""
+def may_hold(bits: Column, h: Column, words: int) -> Column:
+    """False if the long ``h`` is surely not among the keys of the bitmap of so many longs; null is not."""
     hit = lambda low, bit: F.getbit(F.get(bits, F.shiftrightunsigned(h, low).bitwiseAND(F.lit(words - 1)).cast("int")), F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(63)).cast("int")) == 1
     return F.coalesce(hit(0, 36) & hit(18, 42), F.lit(False))
 
@@ -85,11 +89,11 @@ def may_hold(bits: Column, h: Column, words: int = BITMAP_WORDS) -> Column:
 def parted(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``rows`` whose key is surely not in the one column of ``keys``, and the others with their key as ``__key``.
 
-    A bitmap of fixed size decides row by row, so wide rows that no key concerns are not shuffled. Beyond some
+    A bitmap of bounded size decides row by row, so wide rows that no key concerns are not shuffled. Beyond some
     ten million keys it lets more and more rows through to the join that must follow; none are lost.
     """
-    bits, _ = written(bitmap(keys.select(F.xxhash64(keys.columns[0]))), "bitmap")
-    marked = rows.withColumn("__key", key).withColumn("__maybe", F.col("__key").isNotNull() & may_hold(bits.scalar(), F.xxhash64("__key")))
+    bits, words = bitmap(keys.select(F.xxhash64(keys.columns[0])))
+    marked = rows.withColumn("__key", key).withColumn("__maybe", F.col("__key").isNotNull() & may_hold(bits.scalar(), F.xxhash64("__key"), words))
     return marked.where(~F.col("__maybe")).drop("__key", "__maybe"), marked.where("__maybe").drop("__maybe")
 
 

@@ -45,17 +45,17 @@ def _let(value: Column, body) -> Column:
 def candidates(docs: DataFrame, windows: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with __n_words and __found: (first, last, h, gram) of the windows whose hash may be in the set.
 
-    The set of the benchmark's window hashes goes to all tasks as a bitmap of fixed size, as the value of a
+    The set of the benchmark's window hashes goes to all tasks as a bitmap of bounded size, as the value of a
     scalar subquery, however many windows there are. Each document is scanned in its own row. What
     passes is verified later by the window's own text, so that neither a hash nor full case folding decides.
     """
-    bits, _ = common.written(common.bitmap(windows.select("h")), "bitmap")
+    bits, longs = common.bitmap(windows.select("h"))
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most n
 
     def of_size(b: Column, w: Column, hw: Column, size: int) -> Column:
         at = F.sequence(F.lit(1), F.size(w) - (size - 1))
         window = lambda i: F.struct(i.alias("first"), (i + (size - 1)).alias("last"), F.xxhash64(F.slice(hw, i, F.lit(size))).alias("h"))
-        hits = F.filter(F.transform(at, window), lambda x: common.may_hold(b, x["h"]))
+        hits = F.filter(F.transform(at, window), lambda x: common.may_hold(b, x["h"], longs))
         named = F.transform(hits, lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), x["h"].alias("h"), folded(F.array_join(F.slice(w, x["first"], F.lit(size)), " ")).alias("gram")))
         return F.when(F.size(w) >= size, named).otherwise(F.array().cast("array<struct<first:int,last:int,h:bigint,gram:string>>"))
 
