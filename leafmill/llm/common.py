@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system: workers live on from stage to stage, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def hash_of(*columns: str) -> Column:
     """The first 64 bits of the MD5 of the columns as text, with colons between; null is like empty."""
     text = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 16), 16, -10).cast("long")
 
 
-#: Longs of a bitmap at least and at most: 2**24 bits, 2 MB, whatever it has to hold; 32 bits a key between.
+#: Longs of a bitmap at least and at most: 2**24 bits, 2 MB, whatever it has to hold; 128 bits a key between.
 BITMAP_WORDS = (1 << 8, 1 << 18)
 
 
@@ -70,7 +80,7 @@ def bitmap(keys: DataFrame) -> tuple[DataFrame, int]:
     most, a number that does not grow with the keys.
     """
     h = F.col(keys.columns[0])
-    words = min(BITMAP_WORDS[1], max(BITMAP_WORDS[0], 1 << (keys.count() // 2).bit_length()))
+    words = min(BITMAP_WORDS[1], max(BITMAP_WORDS[0], 1 << (keys.count() * 2).bit_length()))
     spot = lambda low, bit: F.struct((F.shiftrightunsigned(h, low).bitwiseAND(F.lit(words - 1))).alias("w"), F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(63)).cast("int").alias("b"))
     set_bits = keys.where(h.isNotNull()).select(F.explode(F.array(spot(0, 36), spot(18, 42))).alias("s")).groupBy(F.col("s.w").alias("w")).agg(F.expr("bit_or(shiftleft(1L, s.b))").alias("x"))
     none = keys.sparkSession.range(words).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("x"))

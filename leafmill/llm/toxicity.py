@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from leafmill.llm import common
+
 #: Words of a window and words from one window to the next.
 WINDOW, STRIDE = 32, 24
 #: The bound of the training sample: labelled rows of each class, and characters of a row.
@@ -22,7 +24,7 @@ EPOCHS, BATCH, RATE, SEED = 6, 96, 0.02, 11
 #: Score from which a text is predicted toxic.
 THRESHOLD = 0.3
 #: Words a task remembers before it starts afresh, and windows scored together.
-REMEMBER, TOGETHER = 100_000, 2048
+REMEMBER, TOGETHER = 60_000, 1024
 
 TOKEN = re.compile(r"[^\W_]+")
 
@@ -232,8 +234,8 @@ class Scorer:
         if len(self.index) > REMEMBER:
             self.clear()
         new = [w for w in dict.fromkeys(w for ws in texts for w in ws) if w not in self.index]
-        for low in range(0, len(new), 20_000):
-            part = new[low : low + 20_000]
+        for low in range(0, len(new), 4_000):
+            part = new[low : low + 4_000]
             rows = self.net.projected(self.net.inputs(part)[3])
             need = self.used + len(part)
             if need > self.table.shape[1]:
@@ -324,8 +326,9 @@ def scored(docs: DataFrame, net: Network | float, text_col: str = "text", score_
         scorer = Scorer(sent.value)
         for batch in rows:
             scores: list[float] = []
-            for low in range(0, batch.num_rows, 500):  # so many texts are copied at a time
-                scores += scorer.scores(batch.column(where).slice(low, 500).to_pylist())
+            for low in range(0, batch.num_rows, 200):  # so many texts are copied at a time
+                scores += scorer.scores(batch.column(where).slice(low, 200).to_pylist())
+            common.give_back()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, score_col])
 
     return docs.mapInArrow(batches, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
