@@ -52,7 +52,7 @@ register(
 MENTIONS = values("ms", "id, body", "(1, 'See Figure 2.1 and Fig. 3, then figures 4')", "(2, 'Table 4-2 beside Abb. 5; obr. 6.1')", "(3, 'configuration of tables')", "(4, 'as in fig 7–2.')", "(5, '')")
 register(
     "figure_refs",
-    f"""WITH {MENTIONS}, m AS (SELECT id, unnest(regexp_extract_all(body, '(?i)\\b(?:{C.FIGURE_WORDS}|{C.TABLE_WORDS})\\.?\\s*\\d+(?:[.–-]\\d+)*')) AS r, unnest(range(0, len(regexp_extract_all(body, '(?i)\\b(?:{C.FIGURE_WORDS}|{C.TABLE_WORDS})\\.?\\s*\\d+(?:[.–-]\\d+)*')))) AS pos FROM ms)
+    f"""WITH {MENTIONS}, m AS (SELECT id, unnest(regexp_extract_all(body, '(?i)\\b(?:{C.REFERENCE_WORDS})\\.?\\s*\\d+(?:[.–-]\\d+)*')) AS r, unnest(range(0, len(regexp_extract_all(body, '(?i)\\b(?:{C.REFERENCE_WORDS})\\.?\\s*\\d+(?:[.–-]\\d+)*')))) AS pos FROM ms)
 SELECT id, CAST(pos AS INT) AS pos, CASE WHEN lower(r) LIKE 'tab%' THEN 'table ' ELSE 'figure ' END || regexp_replace(regexp_extract(r, '\\d.*$'), '[–-]', '.', 'g') AS key FROM m""",
 )(on(MENTIONS, lambda d: d.select("id", F.posexplode(T.figure_refs(F.col("body"))).alias("pos", "key"))))
 

@@ -22,7 +22,7 @@ def one(spark, value, column, kind="string"):
 def plain_sentences(t):
     t = " ".join(t.split())
     out, start = [], 0
-    for m in re.finditer(rf"([{C.TERMINATORS}]+[{C.CLOSERS}]*)\s+(?=[{C.OPENERS}]?[{C.CAPITALS}])", t):
+    for m in re.finditer(C.SENTENCE_END.replace("SPACE", r"\s"), t):
         piece = t[start : m.end(1)]
         last = piece.split(" ")[-1].rstrip(".").lower()
         if last in C.ABBREVIATIONS or len(last) == 1 and last.isalpha():
