@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.scratch import remove, scratch_path, shared_dir, written
+
+__all__ = ["BITMAP_WORDS", "bitmap", "connected_components", "give_back", "hash_of", "may_hold", "parted", "remove", "scratch_path", "shared_dir", "written"]
+
 
 def give_back() -> None:
     """Return freed memory of a Python worker to the system: workers live on from stage to stage, beside the JVM."""
@@ -29,50 +31,6 @@ def hash_of(*columns: str) -> Column:
 BITMAP_WORDS = (1 << 8, 1 << 18)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
-
-    Where neither is set and the master is local (a single machine, as in tests) a temporary folder is
-    set and used. Anywhere else that folder would be another one on each machine, so it is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = folder.get() if folder.isDefined() else None
-    if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="leafmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; its folder is deleted when the driver ends."""
-    folder = f"{shared_dir(spark)}/leafmill-{uuid.uuid4().hex}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return f"{folder}/{name}"
-
-
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it again.
-
-    A lost executor then costs a read of finished files, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def bitmap(keys: DataFrame) -> tuple[DataFrame, int]:
     """One row, ``bits`` (array<long>), written, and the number of its longs: two bits for each long of the one column of ``keys``.
 
