@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from leafmill.scratch import remove, scratch_path, shared_dir, written
 
-__all__ = ["BITMAP_WORDS", "bitmap", "connected_components", "give_back", "hash_of", "may_hold", "parted", "remove", "scratch_path", "shared_dir", "written"]
+__all__ = ["BITMAP_WORDS", "CRC32", "bitmap", "connected_components", "give_back", "hash_of", "may_hold", "parted", "remove", "scratch_path", "shared_dir", "written"]
+
+#: crc32 of a text in DuckDB's SQL, unsigned: bytes and their bits one by one.
+CRC32 = """xor(list_reduce(list_transform(range(1, strlen({0}) + 1), lambda i: CAST(ord(substr({0}, i, 1)) AS BIGINT)), lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295), 4294967295)"""
 
 
 def give_back() -> None:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.common import CRC32
 from leafmill.scratch import written
 
 #: Edits that a pair may be apart, and chunks that the shorter side must share whatever these edits are.
@@ -133,15 +134,15 @@ def pairs(indexed: DataFrame, probing: DataFrame, max_edits: int = MAX_EDITS) ->
     condition, so that names made of the same parts do not leave it; the exact distance of the others is counted.
     Names that are too short to have so many chunks are handled exhaustively: two names within max_edits edits are equal
     when up to max_edits characters are left out of each, and all ways to do so are the keys of a second equi-join.
-    No pair is missed, and no name stands in a group with all others: the join's sides are shuffled by key, and Spark
-    splits the keys that many names have.
+    No pair is missed, and no name stands in a group with all others: both sides of each join are shuffled by key, never
+    sent to all tasks, and Spark splits the keys that many names have.
     """
     short = 2 * max_edits + SHARED - 1
     described = lambda t: t.select("name", F.length("name").alias("n"), parity(F.col("name")).alias("bits"))
     left, right = described(indexed), described(probing)
     close = F.bit_count(F.col("i.bits").bitwiseXOR(F.col("p.bits"))) <= 2 * max_edits
     on = (F.col("i.key") == F.col("p.key")) & close
-    of = lambda a, b: a.alias("i").join(b.alias("p"), on).select(F.col("i.name").alias("indexed"), F.col("p.name").alias("probing"))
+    of = lambda a, b: a.alias("i").join(b.alias("p").hint("merge"), on).select(F.col("i.name").alias("indexed"), F.col("p.name").alias("probing"))
     long_pairs = of(_indexed(left, max_edits), _probing(right, max_edits))
     short_pairs = of(_shortened(left.where(F.col("n") <= short), max_edits, short), _shortened(right, max_edits, short + max_edits))
     found = long_pairs.unionByName(short_pairs).distinct()
@@ -162,8 +163,8 @@ def joined(clients: DataFrame, vendors: DataFrame, id_col: str = "client_id", ve
     mine, _ = written(mine.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.coalesce(F.sum(crc), F.lit(0).cast("long")).alias("crc")), "clients")
     theirs, _ = written(vendors.select(F.col(vendor_col).alias("vendor_id"), F.col(vendor_name_col).cast("string").alias("name")).where("name <> ''"), "vendors")
     found, _ = written(pairs(theirs.select("name").distinct(), mine.select("name"), max_edits), "pairs")
-    sums = found.join(mine, found.probing == mine.name).groupBy("indexed", "distance").agg(F.sum("n").alias("n_clients"), F.min("least").alias("first_client_id"), F.sum("crc").alias("clients_crc"))
-    return theirs.join(sums, theirs.name == sums.indexed).select("vendor_id", "distance", "n_clients", "first_client_id", "clients_crc")
+    sums = found.join(mine.hint("merge"), found.probing == mine.name).groupBy("indexed", "distance").agg(F.sum("n").alias("n_clients"), F.min("least").alias("first_client_id"), F.sum("crc").alias("clients_crc"))
+    return theirs.join(sums.hint("merge"), theirs.name == sums.indexed).select("vendor_id", "distance", "n_clients", "first_client_id", "clients_crc")
 
 
 def misspelt(vendor_id: Column, name: Column) -> Column:
@@ -180,9 +181,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     return joined(spark.read.parquet(f"{sf_dir}/clients.parquet"), vendors)
 
 
-#: crc32 of a text in DuckDB's SQL, unsigned: bytes and their bits one by one.
-CRC32 = """xor(list_reduce(list_transform(range(1, strlen({0}) + 1), lambda i: CAST(ord(substr({0}, i, 1)) AS BIGINT)), lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295), 4294967295)"""
-
 #: The same in DuckDB's SQL for one edit: names that are equal, or equal with one code point left out of one or of both at
 #: the same place, or with two neighbours exchanged.
 SQL = f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmill.llm import decontaminate, embeddings, mixing, names, sharding, simhash, substrings, tokens, toxicity, urls, warc
+from leafmill.llm import conversations, decontaminate, embeddings, mixing, names, neighbours, sharding, simhash, substrings, tokens, toxicity, urls, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_toxicity": toxicity.query,
         "op9_url_filter": urls.query,
         "op10_token_counts": tokens.query,
+        "op11_prefix_trie": conversations.query,
+        "op12_nearest_neighbours": neighbours.query,
         "op13_name_join": names.query,
     }
 
@@ -28,5 +30,6 @@ def oracle_sql() -> dict:
         "op4_sharding": sharding.SQL,
         "op6_embedding_near_dedup": embeddings.SQL,
         "op7_mixing": mixing.SQL,
+        "op11_prefix_trie": conversations.SQL,
         "op13_name_join": names.SQL,
     }
