@@ -51,7 +51,7 @@ def directions(dim: int, count: int = PROJECTIONS, seed: int = SEED) -> np.ndarr
 def _vectors(column: pa.Array) -> list[np.ndarray | None]:
     """Usable vectors in double precision; None for null, zero, or with a null or non-finite component."""
     flat = column.flatten()
-    ends = np.cumsum([len(x) if x is not None else 0 for x in column]) if flat.null_count else np.cumsum(np.nan_to_num(np.asarray(column.value_lengths().to_numpy(zero_copy_only=False), float))).astype(int)
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
     values = np.array(flat.to_numpy(zero_copy_only=False), float)
     out = []
     for ok, a, b in zip(column.is_valid().to_pylist(), np.concatenate(([0], ends[:-1])), ends, strict=True):
