@@ -5,15 +5,17 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm import common
 
 #: Weights of the sources in order of their names, repeating; tokens to share, as a part of all; most copies of a document.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-#: Newton rounds for one multiplier, the most it changes in a round, and bits of a row's draw that one pass of the rounding looks at.
-ROUNDS, STEP, BITS = 200, 1.0, 10
+#: Newton rounds at most, the most a multiplier changes in a round, the largest change after which they end (the error then is its square), and constraints that may meet.
+ROUNDS, STEP, TOLERANCE, MEETING = 100, 1.0, 1e-9, 1000
+#: Bits of a row's draw that one pass of the rounding looks at.
+BITS = 10
 #: The fractional part of its multiples spreads evenly, whatever rows are skipped.
 GOLDEN = 0.6180339887498949
 
@@ -55,14 +57,37 @@ def with_targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     return ranked.select("source", "total", F.when(above, full).otherwise(F.lit(rest) * F.col("weight") / F.lit(weight or 1.0)).alias("target"))
 
 
-def multiplier(ratio: Column, rounds: int = ROUNDS) -> Column:
-    """The dual's multiplier of a constraint that meets no other, by Newton steps of bounded length.
+def multipliers(cells: DataFrame, goals: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """(name, multiplier) of each constraint of ``goals`` (name, goal), by Newton rounds on the dual that are one aggregation each.
 
-    Where each document is under one constraint, as with sources, the Hessian is diagonal and the dual falls
-    apart into one problem a source: find m with total * exp(m) = target, by m - 1 + ratio * exp(-m).
+    ``cells``: (names array<string>, tokens), the tokens of all documents that fall under the same constraints. The dual is
+    the sum of tokens * exp(multipliers of the cell) less goal * multiplier; its gradient and Hessian are sums over the
+    cells. Where each cell is under one constraint, as with sources, the Hessian is diagonal: the multipliers are a
+    table that each round joins, sums up and writes again, of any number of rows, and the driver sees the largest step. Constraints that
+    meet in a cell, at most ``MEETING`` of them, have a full Hessian, which the driver solves (see :func:`balance`).
     """
-    step = lambda m, _: m + F.greatest(F.lit(-STEP), F.least(F.lit(STEP), ratio * F.exp(-m) - 1))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(0.0), step)
+    spark = cells.sparkSession
+    cells, _ = common.written(cells.select("names", F.col("tokens").cast("double").alias("tokens")), "cells")
+    if cells.where(F.size("names") > 1).limit(1).count():
+        named = [(r.name, r.goal) for r in goals.orderBy("name").limit(MEETING + 1).collect()]
+        if len(named) > MEETING:
+            raise ValueError(f"more than {MEETING} constraints that meet")
+        at = F.create_map(*[F.lit(x) for k, (n, _) in enumerate(named) for x in (n, k)])
+        found = balance(cells.select(F.transform("names", lambda n: at[n]).alias("idx"), "tokens").groupBy("idx").agg(F.sum("tokens").alias("tokens")), [g for _, g in named])
+        return spark.createDataFrame([(n, float(m)) for (n, _), m in zip(named, found, strict=True)], "name string, multiplier double")
+    mine = cells.select(F.get("names", F.lit(0)).alias("name"), "tokens")
+    state, path = common.written(goals.select(F.col("name").alias("__name"), F.col("goal").cast("double").alias("goal"), F.lit(0.0).alias("multiplier")), "multipliers")
+    for _ in range(rounds):
+        tilted = mine.join(state, F.col("name").eqNullSafe(F.col("__name"))).groupBy("__name", "goal", "multiplier").agg(F.sum(F.col("tokens") * F.exp("multiplier")).alias("mass"))
+        step = F.greatest(F.lit(-STEP), F.least(F.lit(STEP), F.when(F.col("mass") > 0, F.col("goal") / F.col("mass") - 1).otherwise(0.0)))
+        seen = Observation()
+        moved = tilted.withColumn("step", step).observe(seen, F.max(F.abs("step")).alias("most"))
+        state, new_path = common.written(moved.select("__name", "goal", (F.col("multiplier") + F.col("step")).alias("multiplier")), "multipliers")
+        common.remove(spark, path)
+        path = new_path
+        if (seen.get["most"] or 0.0) <= tolerance:
+            break
+    return state.select(F.col("__name").alias("name"), "multiplier")
 
 
 def balance(cells: DataFrame, goals: list[float], rounds: int = 60, tolerance: float = 1e-10) -> np.ndarray:
@@ -149,28 +174,53 @@ def _pivots(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return found.select("source", F.col("least").alias("pivot"), F.when(F.col("n") > 1, part).otherwise(F.round(part)).alias("fraction"), (F.col("n") > 1).alias("tied"))
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """Narrow rows (id, source, size, draw), one a document, and (source, source_size, target, base, pivot, fraction, tied), one a source."""
+def cell_of(source_col: str, shares: dict | None) -> Column:
+    """What names the cell of a document: its source, and with ``shares`` its values in those columns, as text."""
+    return F.to_json(F.array(*[F.col(c).cast("string") for c in (source_col, *shares)])) if shares else F.col(source_col).cast("string")
+
+
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, shares: dict[str, dict[str, float]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Narrow rows (id, source, cell, size, draw), one a document, and (cell, source_size, target, base, pivot, fraction, tied), one a cell.
+
+    A cell is a source; with ``shares``, parts that the values of more columns should have of all tokens taken, it is a source
+    and a value of each of these columns. Values that are not named there are free. Rates are the exponential tilt of the cell's constraints.
+    """
     source = F.col(source_col).cast("string")
-    narrow, _ = common.written(docs.select(F.col(id_col).alias("id"), source.alias("source"), size_of(F.col(text_col)).alias("size"), draw(id_col, text_col, source_col).alias("draw")), "sizes")
+    more = list(shares or {})
+    narrow, _ = common.written(docs.select(F.col(id_col).alias("id"), source.alias("source"), cell_of(source_col, shares).alias("cell"), *[F.col(c).cast("string").alias(f"__{c}") for c in more], size_of(F.col(text_col)).alias("size"), draw(id_col, text_col, source_col).alias("draw")), "sizes")
     sources = with_targets(narrow.groupBy("source").agg(F.sum("size").alias("total")), weights, share, most)
-    rate = F.when(F.col("total") > 0, F.least(F.lit(float(most)), F.exp(multiplier(F.col("target") / F.col("total"))))).otherwise(1.0)
-    goals = sources.withColumn("rate", rate).withColumn("base", F.floor(F.col("rate") + 1e-9).cast("int"))
-    goals, _ = common.written(goals.withColumn("extra", F.when(F.col("rate") - F.col("base") > 1e-9, F.col("target") - F.col("base") * F.col("total")).otherwise(0.0)), "goals")
-    pivots = _pivots(narrow, goals).withColumnRenamed("source", "__source")
-    facts = goals.join(pivots, F.col("source").eqNullSafe(F.col("__source")), "left")
-    facts, _ = common.written(facts.select("source", F.col("total").alias("source_size"), "target", "base", "pivot", "fraction", F.coalesce("tied", F.lit(False)).alias("tied")), "mix")
+    name = F.concat(F.lit("source:"), F.coalesce(F.col("source"), F.lit(""))) if more else F.col("source")
+    goals = sources.where("total > 0").select(F.when(F.col("source").isNull() & F.lit(bool(more)), "source").otherwise(name).alias("name"), F.col("target").alias("goal"))
+    cells = narrow.groupBy("cell", "source", *[f"__{c}" for c in more]).agg(F.sum("size").alias("tokens"))
+    names = F.array(F.when(F.col("source").isNull() & F.lit(bool(more)), "source").otherwise(name))
+    if more:
+        taken = sources.agg(F.sum("target")).first()[0] or 0.0
+        rows = [(f"{c}:{v}", float(part) * taken) for c, parts in shares.items() for v, part in parts.items()]
+        goals = goals.unionByName(docs.sparkSession.createDataFrame(rows, "name string, goal double"))
+        names = F.concat(names, F.array_compact(F.array(*[F.when(F.col(f"__{c}").isin(*shares[c]), F.concat(F.lit(f"{c}:"), F.col(f"__{c}"))) for c in more])))
+    cells, _ = common.written(cells.withColumn("names", names), "cells")
+    solved = multipliers(cells.where("tokens > 0").select("names", "tokens"), goals).select(F.col("name").alias("__name"), "multiplier")
+    tilt = cells.where("tokens > 0").select("cell", F.explode("names").alias("n")).join(solved, F.col("n").eqNullSafe(F.col("__name"))).groupBy("cell").agg(F.sum("multiplier").alias("tilt")).withColumnRenamed("cell", "__cell")
+    facts = cells.join(tilt, F.col("cell").eqNullSafe(F.col("__cell")), "left").join(sources.select(F.col("source").alias("__s"), "total", "target"), F.col("source").eqNullSafe(F.col("__s")))
+    rate = F.when(F.col("tokens") > 0, F.exp("tilt")).otherwise(1.0)
+    rate = rate if more else F.least(F.lit(float(most)), rate)
+    goals = facts.withColumn("rate", rate).withColumn("base", F.floor(F.col("rate") + 1e-9).cast("int"))
+    wanted = F.col("rate") * F.col("tokens") if more else F.col("target")
+    goals, _ = common.written(goals.withColumn("extra", F.when(F.col("rate") - F.col("base") > 1e-9, wanted - F.col("base") * F.col("tokens")).otherwise(0.0)), "goals")
+    pivots = _pivots(narrow.select(F.col("cell").alias("source"), "size", "draw"), goals.select(F.col("cell").alias("source"), "extra")).withColumnRenamed("source", "__source")
+    facts = goals.join(pivots, F.col("cell").eqNullSafe(F.col("__source")), "left")
+    facts, _ = common.written(facts.select("cell", F.col("total").alias("source_size"), "target", "base", "pivot", "fraction", F.coalesce("tied", F.lit(False)).alias("tied")), "mix")
     return narrow, facts
 
 
 def _with_copies(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    """``rows`` with columns __source, __size and __draw joined to their source's facts, and __copies.
+    """``rows`` with columns __cell, __size and __draw joined to their cell's facts, and __copies.
 
     Rows at the pivot that agree in id, source and text are dealt singly: the fraction is spread over them by
     the multiples of the golden ratio, a phase for each partition, so no group of repeated rows moves or meets.
     """
     named = facts.select([F.col(c).alias(f"__of_{c}") for c in facts.columns])
-    joined = rows.join(named, F.col("__source").eqNullSafe(F.col("__of_source")))
+    joined = rows.join(named, F.col("__cell").eqNullSafe(F.col("__of_cell")))
     more = F.when(F.col("__draw") < F.col("__of_pivot"), 1).when(F.col("__draw") > F.col("__of_pivot"), 0).otherwise(F.coalesce("__of_fraction", F.lit(0.0)).cast("int"))
     out = joined.withColumn("__copies", F.col("__of_base") + F.coalesce(more, F.lit(0)))
     if facts.where("tied").limit(1).count():
@@ -191,7 +241,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     an empty table gives no rows; other columns are left out.
     """
     narrow, facts = plan(docs, id_col, text_col, source_col, **options)
-    rows = narrow.select("id", "source", "size", F.col("source").alias("__source"), F.col("draw").alias("__draw"))
+    rows = narrow.select("id", "source", "size", F.col("cell").alias("__cell"), F.col("draw").alias("__draw"))
     return _with_copies(rows, facts).select("id", "source", "size", F.col("__of_source_size").alias("source_size"), F.col("__of_target").alias("target"), F.col("__copies").cast("long").alias("copies"))
 
 
@@ -203,7 +253,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """
     columns = docs.columns
     _, facts = plan(docs, id_col, text_col, source_col, **options)
-    rows = docs.withColumns({"__source": F.col(source_col).cast("string"), "__draw": draw(id_col, text_col, source_col), "__words": size_of(F.col(text_col))})
+    rows = docs.withColumns({"__cell": cell_of(source_col, options.get("shares")), "__draw": draw(id_col, text_col, source_col), "__words": size_of(F.col(text_col))})
     found = _with_copies(rows, facts).withColumn("__copies", F.when(F.col("__words") == 0, 1).otherwise(F.col("__copies")))
     return found.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*columns)
 

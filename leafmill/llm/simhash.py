@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm import common
@@ -98,10 +98,10 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp, component_id) for each row: the smallest id that links lead to.
+    """(id, fp, component_id, kept_fp) for each row: the smallest id that links lead to, and the smallest fingerprint that this id has there.
 
     Rows of equal fingerprint are one node, however many they are; only distinct fingerprints are
-    joined. Null ids are never a component_id unless a group has no other; repeated rows are
+    joined. Null ids are never a component_id unless a group has no other; rows that repeat an id are linked by their own texts; repeated rows are
     returned as often as they occur; an empty table gives no rows.
     """
     prints, _ = common.written(with_fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
@@ -113,15 +113,16 @@ def joined_groups(prints: DataFrame, linked: Callable[[DataFrame], DataFrame]) -
     nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
     found = common.connected_components(linked(nodes.select("fp")))
     labelled = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = labelled.select("fp", "component").join(smallest, "component").select(F.col("fp").alias("node"), "component_id")
-    return prints.join(by_print, prints.fp == by_print.node, "left").select("id", "fp", "component_id")
+    smallest = labelled.groupBy("component").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("k")).select("component", F.col("k.least").alias("component_id"), F.col("k.fp").alias("kept_fp"))
+    by_print = labelled.select("fp", "component").join(smallest, "component").select(F.col("fp").alias("node"), "component_id", "kept_fp")
+    return prints.join(by_print, prints.fp == by_print.node, "left").select("id", "fp", "component_id", "kept_fp")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
     """``docs`` with one document of each group: that with the smallest id.
 
-    Rows that repeat an id collapse to one. Rows with a null id in a group of null ids only stay.
+    A row is a document, whatever other rows have its id: rows of one id whose texts are not linked both stay. Of
+    rows that agree in id and fingerprint, or have no id in a group of null ids only, the one of the smallest text stays, then of the smallest hash of all columns.
     """
     return one_a_group(docs, groups(docs, id_col, text_col, width, seed), id_col, text_col, lambda t: fingerprint(t, width, seed))
 
@@ -130,20 +131,29 @@ def one_a_group(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str,
     """``deduplicated`` by the rows of ``joined_groups``; ``of`` gives the fp of a text.
 
     Rows whose id no dropped row has pass where they stand, by a bitmap of the dropped ids; only the
-    others, most of which go, are shuffled by id. Where ids repeat, their rows collapse in a shuffle of all.
+    others, most of which go, are shuffled by id. An id that several rows have does not say which of them goes: such rows, and
+    those without id, get their fp again and are decided by both.
     """
     found, _ = common.written(grouped, "groups")
-    drop = found.where(F.col("component_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__drop")).distinct()
-    drop, _ = common.written(drop, "dropped")
-    clean, maybe = common.parted(docs.where(F.col(id_col).isNotNull()), F.col(id_col), drop)
+    stays = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("kept_fp"))
+    repeated, _ = common.written(found.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("__id")), "repeated")
+    drop, _ = common.written(found.where(F.col("id").isNotNull() & ~stays).select(F.col("id").alias("__drop")).distinct(), "dropped")
+    named = docs.where(F.col(id_col).isNotNull())
+    special = docs.where(F.col(id_col).isNull()) if found.where("id is null").limit(1).count() else None
+    if not repeated.isEmpty():
+        once, more = common.parted(named, F.col(id_col), repeated)
+        named = once.unionByName(more.join(repeated, F.col("__key") == F.col("__id"), "left_anti").select(*docs.columns))
+        again = more.join(repeated, F.col("__key") == F.col("__id"), "left_semi").select(*docs.columns)
+        special = again if special is None else special.unionByName(again)
+    clean, maybe = common.parted(named, F.col(id_col), drop)
     kept = clean.unionByName(maybe.join(drop, F.col("__key") == F.col("__drop"), "left_anti").select(*docs.columns))
-    if found.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
-    if found.where("id is null").limit(1).count():
-        spare = found.where("id is null and component_id is null").select(F.col("fp").alias("__fp")).distinct()
-        nameless = docs.where(F.col(id_col).isNull())  # one whose group has a named member goes
-        kept = kept.unionByName(_with_print(nameless, text_col, of).join(spare, "__fp", "left_semi").select(*docs.columns))
-    return kept
+    if special is None:
+        return kept
+    keep = found.where(stays).select(F.col("id").alias("__id"), F.col("fp").alias("__kept")).distinct()
+    rows = _with_print(special, text_col, of)
+    rows = rows.join(keep, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept")), "left_semi")
+    first = Window.partitionBy(id_col, "__fp").orderBy(F.col(text_col).asc_nulls_first(), F.xxhash64(*docs.columns))
+    return kept.unionByName(rows.withColumn("__turn", F.row_number().over(first)).where("__turn = 1").select(*docs.columns))
 
 
 def _with_print(docs: DataFrame, text_col: str, of: Callable[[str | None], int]) -> DataFrame:

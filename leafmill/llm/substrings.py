@@ -20,6 +20,8 @@ REACH, MOST, MIN_WORDS, MIN_BYTES = 3, 512, 25, 250
 UNSPACED, UNSPACED_BITS = 64, 4
 #: A digest is hot if it has more than 1 / (HOT * shuffle partitions) of all chunks, so there are at most that many; never with fewer chunks than LEAST_HOT.
 HOT, LEAST_HOT = 8, 1000
+#: What names a document.
+DOCUMENT = ["id", "text_key"]
 
 
 def _gear() -> np.ndarray:
@@ -93,13 +95,15 @@ def cuts(data: bytes, reach: int = REACH, most: int = MOST) -> list[int]:
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, most: int = MOST) -> DataFrame:
-    """(id, pos, length, words, d1, d2) of every chunk; pos in bytes of the UTF-8 text, words those that begin in it.
+    """(id, text_key, pos, length, words, d1, d2) of every chunk; pos in bytes of the UTF-8 text, words those that begin in it.
+
+    id and text_key, a hash of the text, name a document together: rows that share an id without sharing a text are others.
 
     The digest is 16 bytes of BLAKE2b as two longs, so that equal digests are equal chunks at any scale.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).where("id is not null")
     id_type = source.schema["id"].dataType.simpleString()
-    names = ["id", "pos", "length", "words", "d1", "d2"]
+    names = ["id", "text_key", "pos", "length", "words", "d1", "d2"]
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -107,9 +111,10 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
 
             def flush(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
                 columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(take))), *map(pa.array, columns)], names)
+                at = pa.array(np.concatenate(take))
+                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, columns)], names)
 
-            for k, text in enumerate(batch.column(1)):
+            for k, text in enumerate(batch.column(2)):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 ends = cuts(data, reach, most)
                 if not ends:
@@ -129,11 +134,11 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
             if held:
                 yield flush()
 
-    return source.mapInArrow(batches, f"id {id_type}, pos int, length int, words int, d1 long, d2 long")
+    return source.mapInArrow(batches, f"id {id_type}, text_key long, pos int, length int, words int, d1 long, d2 long")
 
 
 def _later(found: DataFrame) -> DataFrame:
-    """Chunks that are not the first of their digest (smallest id, then position), with ``own``: the first is in the same document.
+    """Chunks that are not the first of their digest (smallest id, then hash of the text, then position), with ``own``: the first is in the same document.
 
     Hot digests are found in two counts, by cells of the digest and then exactly in the cells that are large; by their
     definition they are few, whatever the input, so their firsts go to all tasks and their chunks are not
@@ -145,32 +150,32 @@ def _later(found: DataFrame) -> DataFrame:
     counts, _ = common.written(found.groupBy(F.col("d1").bitwiseAND(F.lit(cells - 1)).alias("cell")).count(), "cells")
     bound = max(LEAST_HOT, (counts.agg(F.sum("count")).first()[0] or 0) // (HOT * partitions))
     large = counts.where(F.col("count") > bound).select(F.col("cell").alias("__cell"))
-    place = F.struct("id", "pos")
+    place = F.struct("id", "text_key", "pos")
     inside = found.join(F.broadcast(large), F.col("d1").bitwiseAND(F.lit(cells - 1)) == F.col("__cell"), "left_semi")  # at most HOT * partitions cells
     hot = inside.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where(F.col("n") > bound)
     hot, _ = common.written(hot.select(F.col("d1").alias("__d1"), F.col("d2").alias("__d2"), "first"), "hot")
     on = (F.col("d1") == F.col("__d1")) & (F.col("d2") == F.col("__d2"))
     of_hot = found.join(F.broadcast(hot), on).drop("__d1", "__d2")  # at most HOT * partitions digests
     of_rest = found.join(F.broadcast(hot), on, "left_anti").withColumn("first", F.min(place).over(Window.partitionBy("d1", "d2")))
-    return of_hot.unionByName(of_rest).where(place != F.col("first")).select("id", "pos", "length", "words", (F.col("id") == F.col("first.id")).alias("own"))
+    return of_hot.unionByName(of_rest).where(place != F.col("first")).select(*DOCUMENT, "pos", "length", "words", ((F.col("id") == F.col("first.id")) & (F.col("text_key") == F.col("first.text_key"))).alias("own"))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES, **options: int) -> DataFrame:
-    """(id, spans, own): spans (pos, stop, words) in bytes of each document that an earlier document has already, and that it has itself before.
+    """(id, text_key, spans, own): spans (pos, stop, words) in bytes of each document that an earlier document has already, and that it has itself before.
 
-    Of the chunks with one digest the first (smallest id, then position) stays. A run of neighbouring
+    Of the chunks with one digest the first (smallest id, then hash of the text, then position) stays. A run of neighbouring
     repeated chunks is a passage, and counts if it has ``min_words`` words or ``min_bytes`` bytes: shorter
     ones are turns of phrase. Texts are read and cut once. Runs are numbered by a window over a document's
     repeated chunks, so a very long text is no array that grows.
     """
     found, _ = common.written(chunks(docs, id_col, text_col, **options), "chunks")
-    of_doc = Window.partitionBy("id", "own").orderBy("pos")
-    later = _later(found).repartition("id").dropDuplicates(["id", "pos"]).withColumn("before", F.lag(F.col("pos") + F.col("length")).over(of_doc))
+    of_doc = Window.partitionBy(*DOCUMENT, "own").orderBy("pos")
+    later = _later(found).repartition(*DOCUMENT).dropDuplicates([*DOCUMENT, "pos"]).withColumn("before", F.lag(F.col("pos") + F.col("length")).over(of_doc))
     runs = later.withColumn("run", F.sum(F.when(F.col("before") == F.col("pos"), 0).otherwise(1)).over(of_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    passages = runs.groupBy("id", "own", "run").agg(F.min("pos").alias("pos"), F.max(F.col("pos") + F.col("length")).alias("stop"), F.sum("words").cast("int").alias("words"))
+    passages = runs.groupBy(*DOCUMENT, "own", "run").agg(F.min("pos").alias("pos"), F.max(F.col("pos") + F.col("length")).alias("stop"), F.sum("words").cast("int").alias("words"))
     long = passages.where((F.col("words") >= min_words) | (F.col("stop") - F.col("pos") >= min_bytes))
     span = F.struct("pos", "stop", "words")
-    return long.groupBy("id").agg(F.array_sort(F.collect_list(F.when(~F.col("own"), span))).alias("spans"), F.array_sort(F.collect_list(F.when(F.col("own"), span))).alias("own"))
+    return long.groupBy(*DOCUMENT).agg(F.array_sort(F.collect_list(F.when(~F.col("own"), span))).alias("spans"), F.array_sort(F.collect_list(F.when(F.col("own"), span))).alias("own"))
 
 
 def _cut_out():
@@ -195,23 +200,23 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` with repeated passages cut out of their texts; with ``within`` a document's own repetitions too.
 
     Null texts stay null and empty ones empty; rows of null id are not compared and stay as they are;
-    rows that repeat an id have its chunks at equal places and are cut alike; all columns are kept. Only
-    documents with passages are shuffled (and as many more as a bitmap of their ids lets through).
+    rows that agree in id and text are one document and are cut alike, rows that share an id only are documents of their own;
+    all columns are kept. Only documents with passages are shuffled (and as many more as a bitmap of their ids lets through).
     """
     columns = docs.columns
     both = F.array_sort(F.concat("spans", "own")) if within else F.col("spans")
-    spans, _ = common.written(repeats(docs, id_col, text_col, **options).select(F.col("id").alias("__id"), both.alias("__spans")).where(F.size("__spans") > 0), "spans")
-    clean, maybe = common.parted(docs, F.col(id_col), spans.select("__id"))
-    joined = maybe.join(spans, F.col("__key") == F.col("__id"), "left")
+    spans, _ = common.written(repeats(docs, id_col, text_col, **options).select(F.struct(*DOCUMENT).alias("__document"), both.alias("__spans")).where(F.size("__spans") > 0), "spans")
+    clean, maybe = common.parted(docs, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key")), spans.select("__document"))
+    joined = maybe.join(spans, F.col("__key") == F.col("__document"), "left")
     return clean.unionByName(joined.withColumn(text_col, _cut_out()(F.col(text_col), F.col("__spans"))).select(*columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes; n_spans, repeated_bytes, repeated_words, spans as text and whether there are any, of passages that an earlier document has; n_own_spans, own_words and own_spans of those that it has before itself."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = repeats(docs).select(F.col("id").alias("__id"), "spans", "own")
-    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    joined = sizes.join(found, F.col("doc_id") == F.col("__id"), "left")
+    found = repeats(docs).select(F.col("id").alias("__id"), F.col("text_key").alias("__text_key"), "spans", "own")
+    sizes = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    joined = sizes.join(found, (F.col("doc_id") == F.col("__id")) & (F.col("text_key") == F.col("__text_key")), "left")
     none = F.array().cast("array<struct<pos:int,stop:int,words:int>>")
     joined = joined.withColumns({"spans": F.coalesce("spans", none), "own": F.coalesce("own", none)})
     total = lambda column, of: F.aggregate(column, F.lit(0).cast("long"), lambda a, s: a + of(s))

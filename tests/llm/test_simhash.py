@@ -100,3 +100,13 @@ def test_empty_table(spark, schema):
 def test_repeated_id_collapses(spark):
     docs = spark.createDataFrame([(8, "p q r s"), (8, "p q r s"), (9, "t u v w")], "doc_id long, text string")
     assert simhash.deduplicated(docs).where(F.col("doc_id") == 8).count() == 1
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    """An id says nothing of a text: what is like nothing else stays, in whatever order the rows come."""
+    t, x = "p q r s t u", "quite other words that are like nothing else"
+    rows = [(1, t, 0), (2, t, 1), (2, x, 2), (3, "a b c d", 3), (3, "e f g h", 4), (None, x, 5), (None, "zz yy xx", 6), (4, "a b c d", 7), (2, x, 2)]
+    want = [(None, "zz yy xx", 6), (1, t, 0), (2, x, 2), (3, "a b c d", 3), (3, "e f g h", 4)]
+    for order in (rows, rows[::-1]):
+        kept = simhash.deduplicated(spark.createDataFrame(order, "doc_id long, text string, n int"))
+        assert sorted([tuple(r) for r in kept.collect()], key=lambda r: (r[0] or 0, r[2])) == want

@@ -143,3 +143,20 @@ def test_own_repetitions(spark):
     kept = {r.doc_id: r.text for r in S.deduplicated(df).collect()}
     assert len(kept[1]) <= 3 * len(line) and kept[2] == docs[2] and len(kept[4]) < 40
     assert {r.doc_id: r.text for r in S.deduplicated(df, within=False).collect()}[4] == docs[4]
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    """Rows (1, P), (2, A + P), (2, X): X shares nothing and keeps every character, in whatever script."""
+    passage = " ".join(f"passage{k}" for k in range(120))
+    before = " ".join(f"before{k}" for k in range(40))
+    for word in ("plain{}", "žluťoučký{}", "漢字仮名{}", "無空白"):
+        x = (" " if "{" in word else "").join(word.format(k) for k in range(200))
+        rows = [(1, passage), (2, f"{before} {passage}"), (2, x)]
+        for order in (rows, rows[::-1]):
+            got = {(r.doc_id, r.text[:9]): r.text for r in S.deduplicated(spark.createDataFrame(order, "doc_id long, text string")).collect()}
+            assert len(got) == 3 and got[2, x[:9]] == (x if "{" in word else got[2, x[:9]]) and got[1, passage[:9]] == passage
+            assert len(got[2, before[:9]]) < len(before) + len(passage) / 3
+            if "{" not in word:  # a text that repeats itself is cut within itself only
+                assert set(got[2, x[:9]]) <= set(x)
+    found = {(r.id, len(r.spans)) for r in S.repeats(spark.createDataFrame([(1, passage), (2, f"{before} {passage}"), (2, "short text")], "doc_id long, text string")).collect()}
+    assert found == {(2, 1)}
