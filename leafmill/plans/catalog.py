@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from leafmill.plans import basics, fixtures, tables  # noqa: F401
+    from leafmill.plans import basics, fixtures, pdf_files, tables  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -12,10 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.operators import structure
-from leafmill.sources import markup
+from leafmill.operators import pipelines, structure
+from leafmill.scratch import written
+from leafmill.sources import markup, pdf
 
-TEXT_FORMATS, PACKED_FORMATS = ("txt", "md", "markdown", "text"), ("docx", "epub")
+TEXT_FORMATS, PACKED_FORMATS, PAGE_FORMATS = ("txt", "md", "markdown", "text"), ("docx", "epub"), ("pdf",)
 CHAPTERS = "doc_id string, number int, title string, paragraphs array<string>, doc_title string, stem string"
 
 
@@ -49,7 +50,7 @@ def file_lines(files: DataFrame) -> DataFrame:
 
 
 def packed_chapters(files: DataFrame) -> DataFrame:
-    """[S4, S5] Chapters from (path, content) of word-processor files and e-books."""
+    """[S4, S5] Chapters from (path, content) of word-processor files and e-books; a file that cannot be read is one row with ``error``."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -60,38 +61,56 @@ def packed_chapters(files: DataFrame) -> DataFrame:
                         title, chapters = markup.docx_chapters(bytes(raw), stem)
                     else:
                         title, _, chapters = markup.epub_chapters(bytes(raw), stem)
-                except Exception as e:
-                    raise SourceError(f"{path}: {e}") from e
-                yield pd.DataFrame([(path, k, t, p, title, stem) for k, (t, p) in enumerate(chapters, 1)], columns=["doc_id", "number", "title", "paragraphs", "doc_title", "stem"])
+                    rows = [(path, k, t, p, title, stem, None) for k, (t, p) in enumerate(chapters, 1)]
+                except Exception as e:  # whatever a damaged file makes of its parser: the file is rejected, the others are read
+                    rows = [(path, None, None, None, None, stem, f"{type(e).__name__}: {e}"[:300])]
+                yield pd.DataFrame(rows, columns=["doc_id", "number", "title", "paragraphs", "doc_title", "stem", "error"])
 
-    return files.select("path", "content").mapInPandas(parse, CHAPTERS)
+    return files.select("path", "content").mapInPandas(parse, f"{CHAPTERS}, error string")
 
 
-def load_documents(spark: SparkSession, path: str) -> DataFrame:
-    """[S1, F9] Cleaned chapters of all documents below ``path`` (a folder, file or pattern).
+def page_chapters(files: DataFrame) -> DataFrame:
+    """[S6] Chapters from (path, content) of PDF files, by outline or large headings; a file that cannot be read is one row with ``error``."""
+    parts = pdf.file_parts(files)
+    lines, _ = written(pdf.page_marks(parts).where("kind = 'line'").select("doc_id", "page", "line_no", "text", "size", "bold", "block_start"), "lines")
+    outline = parts.where("kind = 'outline'").select("doc_id", "ord", "level", "title", (F.col("page") + 1).alias("page"))
+    stem = F.regexp_replace(F.element_at(F.split("doc_id", "/"), -1), r"\.[^.]*$", "")
+    titles = parts.where("kind = 'document'").select("doc_id", F.coalesce(F.nullif("title", F.lit("")), F.translate(stem, "_", " ")).alias("doc_title"), stem.alias("stem"))
+    found = pipelines.pdf_chapters(lines, outline, titles).select("doc_id", "number", "title", "paragraphs", "doc_title", "stem", F.lit(None).cast("string").alias("error"))
+    rejects = parts.where("kind = 'reject'").select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("number", "int"), ("title", "string"), ("paragraphs", "array<string>"), ("doc_title", "string"))], stem.alias("stem"), "error")
+    return found.unionByName(rejects)
+
+
+def documents_and_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """[S1, F9] Cleaned chapters of all documents below ``path`` (a folder, file or pattern), and (doc_id, error) of those that cannot be read.
 
     Only the formats that occur are read by their parsers; another suffix raises. A document without
-    chapters has no rows.
+    chapters has no rows. Parsed chapters are written once; a damaged file stops no other.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     known = [r.suffix for r in files.select(suffix.alias("suffix")).distinct().limit(100).collect()]
-    if odd := sorted(set(known) - {*TEXT_FORMATS, *PACKED_FORMATS}):
+    if odd := sorted(set(known) - {*TEXT_FORMATS, *PACKED_FORMATS, *PAGE_FORMATS}):
         raise SourceError(f"unsupported formats: {', '.join(odd)}")
     parts = []
     if set(known) & set(TEXT_FORMATS):
-        parts.append(structure.text_chapters(file_lines(files.where(suffix.isin(*TEXT_FORMATS)))))
-    if set(known) & set(PACKED_FORMATS):
-        parts.append(packed_chapters(files.where(suffix.isin(*PACKED_FORMATS))))
-    if not parts:
-        return spark.createDataFrame([], CHAPTERS)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part.select(*out.columns))
-    rows = out.withColumn("number", F.col("number").cast("int"))
-    keep = structure.strip_licence(rows.select("doc_id", F.col("number").alias("chapter_no"), "title", F.posexplode("paragraphs").alias("para_no", "text")))
+        parts.append(structure.text_chapters(file_lines(files.where(suffix.isin(*TEXT_FORMATS)))).withColumn("error", F.lit(None).cast("string")))
+    for formats, read in ((PACKED_FORMATS, packed_chapters), (PAGE_FORMATS, page_chapters)):
+        if set(known) & set(formats):
+            parts.append(read(files.where(suffix.isin(*formats))))
+    out = spark.createDataFrame([], f"{CHAPTERS}, error string")
+    for part in parts:
+        out = out.unionByName(part.withColumn("number", F.col("number").cast("int")).select(*out.columns))
+    rows, _ = written(out, "chapters")
+    chapters = rows.where("error is null").drop("error")
+    keep = structure.strip_licence(chapters.select("doc_id", F.col("number").alias("chapter_no"), "title", F.posexplode("paragraphs").alias("para_no", "text")))
     kept = keep.groupBy("doc_id", F.col("chapter_no").alias("number")).agg(F.transform(F.array_sort(F.collect_list(F.struct("para_no", "text"))), lambda x: x["text"]).alias("paragraphs"))
-    return structure.postprocess(rows.drop("paragraphs").join(kept, ["doc_id", "number"]))
+    return structure.postprocess(chapters.drop("paragraphs").join(kept, ["doc_id", "number"])), rows.where("error is not null").select("doc_id", "error")
+
+
+def load_documents(spark: SparkSession, path: str) -> DataFrame:
+    """[S1, F9] The chapters of :func:`documents_and_rejects`; files that cannot be read are left out."""
+    return documents_and_rejects(spark, path)[0]
 
 
 SCRIPT = (
