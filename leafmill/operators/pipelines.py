@@ -13,6 +13,7 @@ from leafmill.functions import text as T
 from leafmill.functions import timing
 from leafmill.operators import media, structure
 from leafmill.operators import segmentation as seg
+from leafmill.operators.running import running_totals
 
 #: Words that text before the first chapter needs to be kept, images a chapter shows at most, blocks a page counts as empty below.
 PREFACE_WORDS, MAX_PDF_IMAGES = 150, 10
@@ -79,9 +80,9 @@ def audiobook_plan(chapters: DataFrame, max_minutes: float = 10.0, speech: Calla
     part = seg.plan_parts(F.transform("s", lambda s: s["seconds"]), F.transform("s", lambda s: s["e"]), limit)
     parts = rows.withColumn("p", part).select("doc_id", "number", "title", "doc_title", F.explode(F.arrays_zip("p", "s")).alias("x"))
     parts = parts.groupBy("doc_id", "number", "title", "doc_title", F.col("x.p").alias("part_no")).agg(F.count("*").alias("chunks"), F.sum("x.s.seconds").alias("seconds"))
-    whole, order = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy("number", "part_no")
     n = F.count("*").over(Window.partitionBy("doc_id", "number"))
-    parts = parts.withColumn("parts", n).withColumn("chapter_count", F.max("number").over(whole)).withColumn("track", F.row_number().over(order))
+    last = chapters.groupBy("doc_id").agg(F.max("number").alias("chapter_count"))
+    parts = running_totals(parts.withColumn("parts", n), ["doc_id"], [F.col("number").asc(), F.col("part_no").asc()], {"track": F.lit(1)}).join(last, "doc_id").withColumn("track", F.col("track").cast("int"))
     name = media.part_filename(F.col("number"), F.col("chapter_count"), F.col("title"), F.col("part_no") + 1, F.col("parts"), ext)
     return parts.select("doc_id", "number", "part_no", "parts", "track", name.alias("filename"), media.part_title(F.col("title"), F.col("part_no") + 1, F.col("parts")).alias("tag_title"), F.col("doc_title").alias("album"), "chunks", (F.col("seconds") + C.LEAD_SILENCE).alias("seconds"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from leafmill.scratch import written
 
 
-def _group_key(group: list[str]) -> Column:
+def group_key(group: list[str]) -> Column:
     """A long that tells neighbouring groups apart; nulls are values."""
     return F.xxhash64(*[x for c in group for x in (F.col(c).isNull(), F.col(c))]) if group else F.lit(0).cast("long")
 
@@ -32,7 +32,7 @@ def running_totals(rows: DataFrame, group: list[str], order: list[Column], value
     names = list(values)
     own = [c for c in rows.columns if c not in names]
     spots = [f"__v{k}" for k in range(len(names))]
-    keyed = rows.select(*rows.columns, *[F.coalesce(values[n].cast("long"), F.lit(0).cast("long")).alias(s) for n, s in zip(names, spots, strict=True)], _group_key(group).alias("__g"))
+    keyed = rows.select(*rows.columns, *[F.coalesce(values[n].cast("long"), F.lit(0).cast("long")).alias(s) for n, s in zip(names, spots, strict=True)], group_key(group).alias("__g"))
     by = [*[F.col(c).asc_nulls_first() for c in group], *order]
     ordered = keyed.repartitionByRange(*by).sortWithinPartitions(*by).select(*own, *spots, "__g", F.spark_partition_id().alias("__part"))
     at = len(own)

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from leafmill import constants as C
 from leafmill.functions import language, text, timing
 from leafmill.operators import segmentation as seg
+from leafmill.operators.running import running_totals
 from leafmill.plans import sql
 from leafmill.plans.catalog import register
 from leafmill.session import table
@@ -177,13 +178,13 @@ def part_files(spark, sf_dir: str) -> DataFrame:
 def track_numbers(spark, sf_dir: str) -> DataFrame:
     """[W10] Parts numbered through; each source plays a book and its documents the chapters.
 
-    Only (source, document, number of parts) is sorted within a source; tracks follow from running sums.
+    Only (source, document, number of parts) is sorted, in range partitions; tracks follow from running totals, so a source may have any part of all documents.
     """
     docs = _not_empty(table(spark, sf_dir, "documents"), seg.chunks(seg.document_paragraphs(F.col("text")), 900), "c", "source")
     d = F.transform("c", lambda c: timing.estimate_seconds(text.word_count(c["text"])) + C.CHUNK_GAP)
     counts = docs.select("doc_id", "source", F.array_max(seg.plan_parts(d, F.transform("c", lambda c: c["ends_paragraph"]), 60.0)).alias("last"))
-    before = F.coalesce(F.sum(F.col("last") + 1).over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("before", before).select("doc_id", F.explode(F.sequence(F.lit(0), "last")).alias("part_no"), "before").select("doc_id", "part_no", (F.col("before") + F.col("part_no") + 1).cast("int").alias("track"))
+    placed = running_totals(counts, ["source"], [F.col("doc_id").asc()], {"upto": F.col("last") + 1})
+    return placed.select("doc_id", F.explode(F.sequence(F.lit(0), "last")).alias("part_no"), (F.col("upto") - F.col("last")).alias("first")).select("doc_id", "part_no", (F.col("first") + F.col("part_no")).cast("int").alias("track"))
 
 
 _CUES = r"""

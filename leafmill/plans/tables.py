@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill import constants as C
 from leafmill.functions import text, timing
 from leafmill.operators import structure
+from leafmill.operators.running import running_totals
 from leafmill.plans import sql
 from leafmill.plans.catalog import register
+from leafmill.scratch import written
 from leafmill.session import table
 from leafmill.sources import markup
 
@@ -116,6 +118,35 @@ def html_blocks(spark, sf_dir: str) -> DataFrame:
     return markup.html_blocks(table(spark, sf_dir, "pages"))
 
 
+_ELEMENTS = r"""shown AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style|title|template)\b.*?</(script|style|title|template)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS html FROM pages),
+tags AS (SELECT page_id, list_filter(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1), lambda t: t <> 'head') AS t FROM shown),
+elements AS (SELECT page_id, k - 1 AS ord, t[k] AS tag FROM (SELECT *, unnest(range(1, len(t) + 1)) AS k FROM tags))"""
+
+
+@register(
+    "anchor_blocks",
+    f"WITH {_ELEMENTS} SELECT page_id, CAST(ord AS INT) AS ord, tag, CAST(min(CASE WHEN tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'p', 'li', 'blockquote', 'pre', 'dt', 'dd', 'img') THEN ord END) "
+    "OVER (PARTITION BY page_id ORDER BY ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS INT) AS block FROM elements",
+)
+def anchor_blocks(spark, sf_dir: str) -> DataFrame:
+    """[J11] The block at or behind each element of every page, as if each were what a table of contents points at."""
+    elements, _ = written(markup.html_elements(table(spark, sf_dir, "pages")), "elements")
+    return markup.anchor_blocks(elements, elements.select("page_id", "ord", "tag"))
+
+
+@register(
+    "page_contents",
+    r"""WITH n AS (SELECT page_id, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav FROM pages),
+e AS (SELECT page_id, regexp_extract_all(nav, '<a href="([^"]*)">', 1) AS href, regexp_extract_all(nav, '<a href="[^"]*">([^<]*)</a>', 1) AS text FROM n)
+SELECT page_id, CAST(k - 1 AS INT) AS entry, 0 AS depth, text[k] AS text, href[k] AS href FROM (SELECT *, unnest(range(1, len(href) + 1)) AS k FROM e)""",
+)
+def page_contents(spark, sf_dir: str) -> DataFrame:
+    """[P12, S5] The contents that every page's navigation lists, with depth."""
+    found = markup.contents(markup.html_elements(table(spark, sf_dir, "pages")))
+    entry = F.row_number().over(Window.partitionBy("page_id").orderBy("ord")) - 1
+    return found.select("page_id", entry.alias("entry"), "depth", "text", "href")
+
+
 @register(
     "document_json",
     "SELECT conv_id AS doc_id, CAST(count(*) AS BIGINT) AS chapters, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE text IS NOT NULL GROUP BY conv_id",
@@ -136,14 +167,11 @@ def document_json(spark, sf_dir: str) -> DataFrame:
     "SELECT conv_id AS doc_id, CAST(turn AS INT) AS number, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS done, CAST(sum(length(text)) OVER (PARTITION BY conv_id) AS BIGINT) AS total FROM conversations",
 )
 def audio_progress(spark, sf_dir: str) -> DataFrame:
-    """[W8, A12] Characters spoken so far, and in all."""
-    from pyspark.sql.window import Window
-
-    whole = Window.partitionBy("conv_id")
-    chars = F.length("text")
-    return table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("number"), F.sum(chars).over(whole.orderBy("turn")).alias("done"), F.sum(chars).over(whole).alias("total")
-    )
+    """[W8, A12] Characters spoken so far, and in all; a running total over range partitions, so a conversation may be of any length."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("chars"))
+    done = running_totals(turns, ["conv_id"], [F.col("turn").asc_nulls_first()], {"done": F.col("chars")})
+    total = turns.groupBy("conv_id").agg(F.sum("chars").alias("total"))
+    return done.join(total, "conv_id").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("number"), "done", "total")
 
 
 @register(

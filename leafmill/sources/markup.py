@@ -15,9 +15,11 @@ from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators.asof import asof
+
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 BLOCKS = (*HEADINGS, "p", "li", "blockquote", "pre", "dt", "dd")
 #: Blocks inside which others are part of the outer one.
@@ -124,6 +126,92 @@ class Blocks(HTMLParser):
         return [b for b in self.found if b["text"] or b["tag"] == "img" or b["ids"]]
 
 
+class Elements(Blocks):
+    """Collects every element that is shown, in order, with the number of the last one inside it."""
+
+    def __init__(self):
+        super().__init__()
+        self.rows: list[dict] = []
+        self.open: list[tuple[int, int, tuple]] = []  # row, place on the stack, what stands there
+
+    def _settle(self) -> None:
+        while self.open and (len(self.stack) <= self.open[-1][1] or self.stack[self.open[-1][1]] is not self.open[-1][2]):
+            self.rows[self.open.pop()[0]]["stop"] = len(self.rows) - 1
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        super().handle_starttag(tag, attrs)
+        if tag in ("script", "style", "template", "head", "title"):
+            return
+        self._settle()
+        values, within = dict(attrs), [t for t, _ in self.stack]
+        nav = within.index("nav") if "nav" in within else None
+        depth = None if nav is None or tag != "a" else sum(t in ("ol", "ul") for t in within[nav:]) - 1
+        self.rows.append({"tag": tag, "stop": len(self.rows), "anchor": values.get("id") or values.get("name"), "href": values.get("href"), "depth": depth, "text": ""})
+        if tag not in VOID:
+            self.open.append((len(self.rows) - 1, len(self.stack) - 1, self.stack[-1]))
+
+    def handle_endtag(self, tag: str) -> None:
+        super().handle_endtag(tag)
+        self._settle()
+
+    def handle_data(self, data: str) -> None:
+        super().handle_data(data)
+        if not self.hidden:
+            for k, _, _ in self.open:
+                if self.rows[k]["tag"] == "a":
+                    self.rows[k]["text"] += data
+
+
+def parse_elements(html: str | None) -> list[dict]:
+    parser = Elements()
+    parser.feed(html or "")
+    parser.close()
+    parser.stack = []
+    parser._settle()
+    return parser.rows
+
+
+def html_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """[J11, P12] (page_id, ord, stop, tag, anchor, href, depth, text): all shown elements of each page, with the last one inside each.
+
+    An element ``a`` within a ``nav`` has its text and its depth in lists, from 0; other texts are empty.
+    """
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
+    kind = rows.schema["page_id"].dataType.simpleString()
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(i, k, e["stop"], e["tag"], e["anchor"], e["href"], e["depth"], squeeze(e["text"])) for i, html in zip(batch["page_id"], batch["html"], strict=True) for k, e in enumerate(parse_elements(html))]
+            found = pd.DataFrame(out, columns=["page_id", "ord", "stop", "tag", "anchor", "href", "depth", "text"])
+            yield found.astype({"depth": "Int32"})
+
+    return rows.mapInPandas(parse, f"page_id {kind}, ord int, stop int, tag string, anchor string, href string, depth int, text string")
+
+
+def anchor_blocks(elements: DataFrame, anchors: DataFrame) -> DataFrame:
+    """[J11] ``anchors`` (page_id, ord, ...) with ``block``: the number of the block that stands at or behind each.
+
+    The first listed element (a heading, paragraph, item, quote or picture) at or behind the anchor, or the outermost
+    paragraph, item or quote around that. As-of joins: once for the element, once for what is around it, where the intervals from an
+    element to the last one inside it tell nesting. Null where none follows.
+    """
+    listed = elements.where(F.col("tag").isin(*BLOCKS, "img"))
+    first = asof(anchors, listed.select("page_id", "ord"), ["page_id"], "ord", "__first", after=True)
+    of_page = Window.partitionBy("page_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    outer = elements.where(F.col("tag").isin(*OUTER)).withColumn("__upto", F.max("stop").over(of_page)).where(F.col("__upto").isNull() | (F.col("__upto") < F.col("ord")))
+    around = asof(first.withColumnRenamed("ord", "__ord").withColumnRenamed("__first", "ord"), outer.select("page_id", "ord"), ["page_id"], "ord", "__outer")
+    ends = outer.select(F.col("page_id").alias("__page"), F.col("ord").cast("long").alias("__o"), F.col("stop").alias("__stop"))
+    pictures = elements.where("tag = 'img'").select(F.col("page_id").alias("__page_i"), F.col("ord").cast("long").alias("__i"))
+    joined = around.join(ends, (F.col("page_id") == F.col("__page")) & (F.col("__outer") == F.col("__o")), "left").join(pictures, (F.col("page_id") == F.col("__page_i")) & (F.col("ord") == F.col("__i")), "left")
+    block = F.when((F.col("__stop") >= F.col("ord")) & F.col("__i").isNull(), F.col("__outer")).otherwise(F.col("ord")).cast("int")
+    return joined.select(*[F.col("__ord").alias("ord") if c == "ord" else F.col(c) for c in anchors.columns], block.alias("block"))
+
+
+def contents(elements: DataFrame) -> DataFrame:
+    """[P12] (page_id, ord, depth, text, href): the entries of nested lists of contents, parents first."""
+    return elements.where("depth >= 0 and href is not null").select("page_id", "ord", "depth", "text", "href")
+
+
 def parse_blocks(html: str | None) -> list[dict]:
     parser = Blocks()
     parser.feed(html or "")
@@ -229,7 +317,11 @@ def epub_chapters(data: bytes, stem: str) -> tuple[str, str | None, list[tuple[s
             if item.get("media-type") == "application/x-dtbncx+xml":
                 path = where(item.get("href"))
                 root = ElementTree.fromstring(z.read(path)).find(f"{_NCX}navMap")
-                toc = [(d, t, posixpath.join(posixpath.dirname(path), unquote(h))) for d, t, h in flatten_toc(root)] if root is not None else []
+                toc = toc if root is None else [(d, t, posixpath.join(posixpath.dirname(path), unquote(h))) for d, t, h in flatten_toc(root)]
+            elif not toc and "nav" in (item.get("properties") or "").split():
+                path = where(item.get("href"))
+                entries = [e for e in parse_elements(z.read(path).decode("utf-8", "replace")) if e["depth"] is not None and e["depth"] >= 0 and e["href"]]
+                toc = [(e["depth"], squeeze(e["text"]), posixpath.join(posixpath.dirname(path), unquote(e["href"]))) for e in entries]
         depths = sorted({d for d, _, _ in toc})
         level = depths[1] if len(depths) > 1 and sum(d == depths[0] for d, _, _ in toc) == 1 else depths[0] if depths else 0
         starts: dict[str, dict[str | None, str]] = {}
