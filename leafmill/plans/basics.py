@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from leafmill import constants as C
 from leafmill.functions import language, text, timing
+from leafmill.operators import folds
 from leafmill.operators import segmentation as seg
 from leafmill.operators.running import running_totals
 from leafmill.plans import sql
@@ -148,6 +149,44 @@ def parts_plan(spark, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir, 60.0).withColumn("seconds", F.round("seconds", 6))
 
 
+def _rows_of_lines(spark, sf_dir: str) -> DataFrame:
+    """Every line of every document as a row, as a text file's reader gives them."""
+    lines = F.split(F.coalesce("text", F.lit("")), r"\r\n|\n|\r")
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines).alias("line_no", "text"))
+
+
+@register("paragraphs_of_lines", f"WITH {sql.PARAGRAPHS} SELECT doc_id, CAST(para_no AS INT) AS para_no, text FROM paragraphs")
+def paragraphs_of_lines(spark, sf_dir: str) -> DataFrame:
+    """[P1, P2, S2] Paragraphs of documents whose lines are rows, so that a document may be of any length."""
+    return folds.line_paragraphs(_rows_of_lines(spark, sf_dir))
+
+
+@register(
+    "chunks_of_rows",
+    f"WITH {sql.PARAGRAPHS}, {sql.SENTENCES}, {_UNITS.format(most=900)} SELECT doc_id, CAST(chunk_no AS INT) AS chunk_no, text, ends_paragraph FROM chunks",
+)
+def chunks_of_rows(spark, sf_dir: str) -> DataFrame:
+    """[P4, P5] Chunks of documents whose lines and paragraphs are rows."""
+    return folds.row_chunks(folds.line_paragraphs(_rows_of_lines(spark, sf_dir)), 900)
+
+
+@register(
+    "segments_of_rows",
+    f"WITH {sql.PARAGRAPHS}, {sql.SENTENCES}, {_UNITS.format(most=20000)} SELECT doc_id, CAST(chunk_no AS INT) AS segment_no, text FROM chunks",
+)
+def segments_of_rows(spark, sf_dir: str) -> DataFrame:
+    """[P7] Segments of at most 20,000 characters, of documents whose lines and paragraphs are rows."""
+    return folds.row_chunks(folds.line_paragraphs(_rows_of_lines(spark, sf_dir)), C.SEGMENT_CHARS).select("doc_id", F.col("chunk_no").alias("segment_no"), "text")
+
+
+@register("parts_of_rows", f"{_PARTS_60} SELECT doc_id, CAST(chunk_no AS INT) AS chunk_no, CAST(part_no AS INT) AS part_no, round(seconds, 6) AS seconds FROM parts")
+def parts_of_rows(spark, sf_dir: str) -> DataFrame:
+    """[W1, X12] The part of every chunk, of documents whose chunks are rows."""
+    chunks = chunks_of_rows(spark, sf_dir)
+    items = chunks.select("doc_id", "chunk_no", (timing.estimate_seconds(text.word_count(F.col("text"))) + C.CHUNK_GAP).alias("seconds"), F.col("ends_paragraph").alias("ends"))
+    return folds.row_parts(items, "chunk_no", 60.0).select("doc_id", "chunk_no", "part_no", F.round("seconds", 6).alias("seconds"))
+
+
 @register(
     "part_files",
     f"{_PARTS_60}, sized AS (SELECT doc_id, part_no, count(*) AS chunks, sum(seconds) AS seconds FROM parts GROUP BY ALL), n AS (SELECT doc_id, count(*) AS parts FROM sized GROUP BY doc_id) "
