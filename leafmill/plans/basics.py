@@ -13,6 +13,7 @@ from leafmill.operators import segmentation as seg
 from leafmill.operators.running import running_totals
 from leafmill.plans import sql
 from leafmill.plans.catalog import register
+from leafmill.scratch import scratch_path
 from leafmill.session import table
 
 def _not_empty(docs: DataFrame, found: Column, name: str, *more: str) -> DataFrame:
@@ -243,13 +244,15 @@ def subtitle_cues(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(cues).alias("cue_no", "cue"))
 
 
-@register(
-    "srt_cues",
+_SRT_CUES = (
     f"WITH {sql.PARAGRAPHS}, {sql.SENTENCES}, {_CUES}, timed AS (SELECT doc_id, cue_no, cue, sum(length(cue)) OVER (PARTITION BY doc_id) AS total, "
     "coalesce(sum(length(cue)) OVER (PARTITION BY doc_id ORDER BY cue_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, "
     r"len(regexp_extract_all(d.text, '\S+')) / 175.0 * 60 AS audio FROM cues JOIN documents d USING (doc_id)) "
-    f"SELECT doc_id, CAST(cue_no + 1 AS INT) AS number, {sql.srt('0.2 + audio * before / total')} AS starts, {sql.srt('0.2 + audio * (before + length(cue)) / total')} AS ends, cue FROM timed",
+    f"SELECT doc_id, CAST(cue_no + 1 AS INT) AS number, {sql.srt('0.2 + audio * before / total')} AS starts, {sql.srt('0.2 + audio * (before + length(cue)) / total')} AS ends, cue FROM timed"
 )
+
+
+@register("srt_cues", _SRT_CUES)
 def srt_cues(spark, sf_dir: str) -> DataFrame:
     """[W5, W8, X15, K6] Timed cues of every document as one clip; the speech is shared by length."""
     from leafmill.operators import media
@@ -260,6 +263,26 @@ def srt_cues(spark, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.explode(media.timed_cues(F.col("cues"), F.lit(0.0), F.col("audio"))).alias("x")).select("doc_id", F.col("x.number").alias("number"), timing.srt_time(F.col("x.start")).alias("starts"), timing.srt_time(F.col("x.stop")).alias("ends"), "x.cue")
 
 
+@register(
+    "srt_files",
+    f"""SELECT doc_id, '01 - Document ' || doc_id || '.srt' AS filename, string_agg(number || chr(10) || starts || ' --> ' || ends || chr(10) || cue || chr(10), chr(10) ORDER BY number) AS content
+FROM ({_SRT_CUES}) GROUP BY doc_id""",
+)
+def srt_files(spark, sf_dir: str) -> DataFrame:
+    """[K6, X8] The cues of every document written to a subtitle file of its own, in order, and the files read back."""
+    from leafmill.operators import media
+    from leafmill.sources import named
+
+    cues = srt_cues(spark, sf_dir)
+    name = media.part_filename(F.lit(1), F.lit(1), F.concat(F.lit("Document "), F.col("doc_id").cast("string")), F.lit(1), F.lit(1), "srt")
+    entry = F.concat(F.when(F.col("number") > 1, "\n").otherwise(""), F.col("number").cast("string"), F.lit("\n"), F.col("starts"), F.lit(" --> "), F.col("ends"), F.lit("\n"), F.col("cue"), F.lit("\n"))
+    folder = scratch_path(spark, "subtitles")
+    named.write_named(cues.select(name.alias("name"), "number", entry.alias("entry")), folder, "name", ["number"], "entry")
+    files = spark.read.format("binaryFile").load(folder)
+    filename = F.url_decode(F.element_at(F.split("path", "/"), -1))
+    return files.select(F.regexp_extract(filename, r"(\d+)\.srt$", 1).cast("long").alias("doc_id"), filename.alias("filename"), F.decode("content", "UTF-8").alias("content"))
+
+
 _SCENE_UNITS = r"""
 para_words AS (SELECT *, len(regexp_extract_all(text, '\S+')) AS words FROM paragraphs),
 scene_units AS (SELECT doc_id, para_no, 0 AS k, text, true AS start, words FROM para_words WHERE words <= 170

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill import constants as C
-from leafmill.functions import text, timing
-from leafmill.operators import structure
+from leafmill.functions import ports, text, timing
+from leafmill.operators import calls, structure
 from leafmill.operators.running import running_totals
 from leafmill.plans import sql
 from leafmill.plans.catalog import register
-from leafmill.scratch import written
+from leafmill.scratch import scratch_path, written
 from leafmill.session import table
 from leafmill.sources import markup
 
@@ -174,6 +174,14 @@ def audio_progress(spark, sf_dir: str) -> DataFrame:
     return done.join(total, "conv_id").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("number"), "done", "total")
 
 
+@register("cached_speech", r"SELECT conv_id, turn, greatest(0.5, len(regexp_extract_all(text, '\S+')) / 2.5) AS seconds FROM conversations")
+def cached_speech(spark, sf_dir: str) -> DataFrame:
+    """[B5, B3, D1] Seconds of speech of every turn, from a speech engine that is called once for each distinct text, a few at a time."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    spoken, _ = calls.cached_calls(turns, "text", lambda text: repr(ports.silent_speech(text)), scratch_path(spark, "speech"))
+    return spoken.select("conv_id", "turn", F.col("result").cast("double").alias("seconds"))
+
+
 @register(
     "parts_estimate",
     rf"SELECT doc_id, CAST(greatest(1, ceil(len(regexp_extract_all(text, '\S+')) / 175.0 * 60 / greatest(30, 10 * 60 - {C.SPLIT_MARGIN}))) AS INT) AS parts, "
