@@ -1,4 +1,4 @@
-"""Queries over small relations that both engines read from the same ``VALUES``."""
+"""Queries whose inputs both engines derive by the same expressions: rows of the given tables, behind a few fixed rows of odd cases."""
 
 from __future__ import annotations
 
@@ -17,28 +17,40 @@ from leafmill.plans.basics import PLANNED
 from leafmill.plans.catalog import register
 
 
-def values(name: str, columns: str, *rows: str) -> str:
-    """A common table expression that Spark and DuckDB both accept."""
-    return f"{name} AS (SELECT * FROM (VALUES {', '.join(rows)}) t({columns}))"
+def values(name: str, columns: str, *rows: str, more: str = "") -> str:
+    """A common table expression that Spark and DuckDB both accept: fixed rows, and with ``more`` those of a query over the given tables."""
+    return f"{name} AS (SELECT * FROM (VALUES {', '.join(rows)}) t({columns}){f' UNION ALL {more}' if more else ''})"
+
+
+#: The given tables that inputs are derived from.
+GIVEN = ("conversations", "part", "orders", "documents")
+
+
+def _viewed(spark, sf_dir: str, fixture: str):
+    for name in GIVEN:
+        if f"FROM {name}" in fixture:
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    return spark.sql(f"WITH {fixture} SELECT * FROM {fixture.split(' ', 1)[0]}")
 
 
 def on(fixture: str, query: Callable[[DataFrame], DataFrame]):
-    """A query over one fixture."""
-    name = fixture.split(" ", 1)[0]
+    """A query over one input."""
+    return lambda spark, sf_dir: query(_viewed(spark, sf_dir, fixture))
 
-    def run(spark, sf_dir: str) -> DataFrame:
-        return query(spark.sql(f"WITH {fixture} SELECT * FROM {name}"))
 
-    return run
+def frames(spark, *fixtures: str, sf_dir: str = "") -> list[DataFrame]:
+    return [_viewed(spark, sf_dir, f) for f in fixtures]
 
 
-def frames(spark, *fixtures: str) -> list[DataFrame]:
-    return [spark.sql(f"WITH {f} SELECT * FROM {f.split(' ', 1)[0]}") for f in fixtures]
+_TURN = "CAST(1000 + conv_id * 1000 + turn AS INT)"
+_FLAT = "replace(text, chr(10), ' ')"
+_SAID = "FROM conversations WHERE text IS NOT NULL AND turn IS NOT NULL"
 
 
 LINES = values(
     "ls", "id, line", "(1, '12')", "(2, 'Page 3 of 10')", "(3, ' page 7 ')", "(4, '3/44')", "(5, '12345')", "(6, 'Page one')", "(7, 'Chapter IV')", "(8, 'CHAPTER 2. The End')", "(9, 'Part of the reason')",
     "(10, 'Kapitel 3')", "(11, 'Chapters')", "(12, 'Figure 3: The heart')", "(13, 'Fig. 2')", "(14, 'Figure 5 shows that')", "(15, 'Table 4.2 Values')", "(16, 'Abb. 1-2 Herz')", "(17, 'A line that ends.')", "(18, 'Too many words for a heading because it goes on and on and on and')",
+    more=f"""SELECT {_TURN}, CASE turn % 7 WHEN 0 THEN CAST(length(text) AS STRING) WHEN 1 THEN 'Page ' || CAST(turn AS STRING) || ' of ' || CAST(conv_id AS STRING) WHEN 2 THEN 'Chapter ' || CAST(conv_id % 30 AS STRING) || '. ' || substring({_FLAT}, 1, 20) WHEN 3 THEN 'Figure ' || CAST(turn AS STRING) || ': ' || substring({_FLAT}, 1, 30) WHEN 4 THEN 'Fig. ' || CAST(turn AS STRING) || ' ' || lower(substring({_FLAT}, 1, 15)) WHEN 5 THEN substring({_FLAT}, 1, 60) ELSE {_FLAT} END {_SAID}""",
 )
 
 register(
@@ -49,14 +61,18 @@ register(
   length(trim(line)) BETWEEN 1 AND 90 AND NOT regexp_matches(trim(line), '[.,;]$') AND len(regexp_extract_all(line, '\\S+')) <= 12 AS heading FROM ls""",
 )(on(LINES, lambda d: d.select("id", T.is_page_number(F.col("line")).alias("page_number"), T.is_chapter_line(F.col("line")).alias("chapter_line"), T.is_caption(F.col("line")).alias("caption"), T.looks_like_heading(F.col("line")).alias("heading"))))
 
-MENTIONS = values("ms", "id, body", "(1, 'See Figure 2.1 and Fig. 3, then figures 4')", "(2, 'Table 4-2 beside Abb. 5; obr. 6.1')", "(3, 'configuration of tables')", "(4, 'as in fig 7–2.')", "(5, '')")
+MENTIONS = values("ms", "id, body", "(1, 'See Figure 2.1 and Fig. 3, then figures 4')", "(2, 'Table 4-2 beside Abb. 5; obr. 6.1')", "(3, 'configuration of tables')", "(4, 'as in fig 7–2.')", "(5, '')",
+    more=f"""SELECT {_TURN}, substring({_FLAT}, 1, 40) || ' see Figure ' || CAST(turn AS STRING) || '.' || CAST(conv_id % 9 AS STRING) || ' and tables ' || CAST(conv_id % 40 AS STRING) || ' or ' || role {_SAID}""",
+)
 register(
     "figure_refs",
     f"""WITH {MENTIONS}, m AS (SELECT id, unnest(regexp_extract_all(body, '(?i)\\b(?:{C.REFERENCE_WORDS})\\.?\\s*\\d+(?:[.–-]\\d+)*')) AS r, unnest(range(0, len(regexp_extract_all(body, '(?i)\\b(?:{C.REFERENCE_WORDS})\\.?\\s*\\d+(?:[.–-]\\d+)*')))) AS pos FROM ms)
 SELECT id, CAST(pos AS INT) AS pos, CASE WHEN lower(r) LIKE 'tab%' THEN 'table ' ELSE 'figure ' END || regexp_replace(regexp_extract(r, '\\d.*$'), '[–-]', '.', 'g') AS key FROM m""",
 )(on(MENTIONS, lambda d: d.select("id", F.posexplode(T.figure_refs(F.col("body"))).alias("pos", "key"))))
 
-NAMES = values("ns", "id, name", "(1, 'Part 1: \"Why?\" / How')", "(2, '   ')", f"(3, '{'word ' * 50}')", "(4, 'a' || chr(9) || 'b..')", "(5, '. x .')")
+NAMES = values("ns", "id, name", "(1, 'Part 1: \"Why?\" / How')", "(2, '   ')", f"(3, '{'word ' * 50}')", "(4, 'a' || chr(9) || 'b..')", "(5, '. x .')",
+    more=f"""SELECT CAST(1000 + p_partkey AS INT), CASE p_partkey % 3 WHEN 0 THEN p_name || ': "' || p_brand || '"?' WHEN 1 THEN ' ' || p_name || ' / ' || p_name || ' * ' || p_type || p_name || '..' ELSE p_type END FROM part WHERE p_name IS NOT NULL""",
+)
 register(
     "safe_names",
     """WITH %s, c AS (SELECT id, trim(regexp_replace(regexp_replace(name, '[\\\\/:*?"<>|\\x00-\\x1f]+', ' ', 'g'), '[ \\t\\x{00a0}]+', ' ', 'g'), ' .') AS t FROM ns)
@@ -69,19 +85,27 @@ register(
     f"""WITH {MARKDOWN} SELECT id, CASE id WHEN 1 THEN 'An  image' WHEN 2 THEN 'a link here' WHEN 3 THEN 'some code and bold or strong' WHEN 4 THEN 'em and it but snake_case_name' WHEN 7 THEN 'quoted' WHEN 8 THEN 'plain * star' ELSE 'item' END AS line FROM mds""",
 )(on(MARKDOWN, lambda d: d.select("id", T.strip_markdown(F.col("line")).alias("line"))))
 
-RAW = values("rs", "id, raw", "(1, 'con-' || chr(10) || 'tinues')", "(2, 'soft' || chr(173) || 'hyphen')", "(3, 'a' || chr(13) || chr(10) || 'b' || chr(13) || 'c')", "(4, ' many   blanks ' || chr(160) || ' x ')", "(5, 'ﬁne')")
+RAW = values("rs", "id, raw", "(1, 'con-' || chr(10) || 'tinues')", "(2, 'soft' || chr(173) || 'hyphen')", "(3, 'a' || chr(13) || chr(10) || 'b' || chr(13) || 'c')", "(4, ' many   blanks ' || chr(160) || ' x ')", "(5, 'ﬁne')",
+    more=f"""SELECT {_TURN}, substring(text, 1, 50) || ' con-' || chr(10) || 'tinues' || chr(13) || chr(10) || 'x' || chr(173) || 'y   ' || substring(text, 51, 200) {_SAID}""",
+)
 register(
     "normalized_text",
     f"""WITH {RAW} SELECT id, trim(regexp_replace(replace(regexp_replace(regexp_replace(replace(replace(raw, 'ﬁ', 'fi'), chr(173), ''), '\\r\\n?', chr(10), 'g'), '(\\w)-\\n(\\w)', '\\1\\2', 'g'), chr(10), ' '), '[ \\t\\x{{00a0}}]+', ' ', 'g')) AS clean FROM rs""",
 )(on(RAW, lambda d: d.select("id", T.clean_paragraph(F.col("raw")).alias("clean"))))
 
-SECONDS = values("ss", "id, s", "(1, CAST(0.4 AS DOUBLE))", "(2, CAST(59.5 AS DOUBLE))", "(3, CAST(61.0 AS DOUBLE))", "(4, CAST(754.2 AS DOUBLE))", "(5, CAST(7325.0 AS DOUBLE))", "(6, CAST(2.5 AS DOUBLE))", "(7, CAST(3599.9995 AS DOUBLE))")
+SECONDS = values("ss", "id, s", "(1, CAST(0.4 AS DOUBLE))", "(2, CAST(59.5 AS DOUBLE))", "(3, CAST(61.0 AS DOUBLE))", "(4, CAST(754.2 AS DOUBLE))", "(5, CAST(7325.0 AS DOUBLE))", "(6, CAST(2.5 AS DOUBLE))", "(7, CAST(3599.9995 AS DOUBLE))",
+    more=f"""SELECT CAST(1000 + o_orderkey AS INT), CAST(o_totalprice AS DOUBLE) / 97 FROM orders""",
+)
 register("durations", f"WITH {SECONDS} SELECT id, {sql.duration('s')} AS duration, {sql.srt('s')} AS srt FROM ss")(on(SECONDS, lambda d: d.select("id", timing.format_duration(F.col("s")).alias("duration"), timing.srt_time(F.col("s")).alias("srt"))))
 
-SIZES = values("zs", "id, n", "(1, CAST(1500000000 AS BIGINT))", "(2, CAST(999999 AS BIGINT))", "(3, CAST(345600000 AS BIGINT))", "(4, CAST(5200000000 AS BIGINT))")
+SIZES = values("zs", "id, n", "(1, CAST(1500000000 AS BIGINT))", "(2, CAST(999999 AS BIGINT))", "(3, CAST(345600000 AS BIGINT))", "(4, CAST(5200000000 AS BIGINT))",
+    more=f"""SELECT CAST(1000 + o_orderkey AS INT), CAST(o_orderkey AS BIGINT) * 7919 + 1234567 FROM orders""",
+)
 register("format_sizes", f"WITH {SIZES} SELECT id, CASE WHEN n >= 1e9 THEN printf('%.1f GB', n / 1e9) ELSE printf('%.0f MB', n / 1e6) END AS size FROM zs")(on(SIZES, lambda d: d.select("id", timing.format_size(F.col("n")).alias("size"))))
 
-AUDIO = values("au", "id, audio, n", "(1, CAST(10.0 AS DOUBLE), 4)", "(2, CAST(3.0 AS DOUBLE), 1)", "(3, CAST(7.5 AS DOUBLE), 2)")
+AUDIO = values("au", "id, audio, n", "(1, CAST(10.0 AS DOUBLE), 4)", "(2, CAST(3.0 AS DOUBLE), 1)", "(3, CAST(7.5 AS DOUBLE), 2)",
+    more=f"""SELECT {_TURN}, CAST(length(text) + 10 AS DOUBLE) / 15, CAST(1 + turn % 5 AS INT) {_SAID}""",
+)
 register("reveal_frames", f"WITH {AUDIO} SELECT id, CAST(k AS INT) AS k, round(CASE WHEN k = 0 THEN 0.0 ELSE 0.2 + audio * 0.85 * k / n END, 6) AS start FROM (SELECT id, audio, n, unnest(range(0, n)) AS k FROM au)")(
     on(AUDIO, lambda d: d.select("id", F.posexplode(timing.reveal_starts(F.col("audio"), F.col("n"))).alias("k", "start")).withColumn("start", F.round("start", 6)))
 )
@@ -89,25 +113,33 @@ register("clip_fades", f"WITH {AUDIO} SELECT id, round(greatest(0.04, least(0.4,
     on(AUDIO, lambda d: d.select("id", F.round(timing.clip_fade(F.array(F.lit(0.0), F.col("audio") / 10, F.col("audio") / 10 + 0.1), F.col("audio"))["fade"], 6).alias("fade")))
 )
 
-SHAPES = values("sh", "id, w, h, bw, bh", "(1, 1600, 900, 800, 800)", "(2, 300, 900, 1920, 1080)", "(3, 10, 10, 55, 20)", "(4, 4000, 10, 100, 100)")
+SHAPES = values("sh", "id, w, h, bw, bh", "(1, 1600, 900, 800, 800)", "(2, 300, 900, 1920, 1080)", "(3, 10, 10, 55, 20)", "(4, 4000, 10, 100, 100)",
+    more=f"""SELECT CAST(1000 + p_partkey AS INT), CAST(10 + p_size * 37 AS INT), CAST(20 + p_partkey % 900 AS INT), CAST(50 + p_partkey % 1900 AS INT), CAST(20 + p_partkey % 1000 AS INT) FROM part""",
+)
 register(
     "fit_rect",
     f"WITH {SHAPES}, s AS (SELECT *, least(bw / w, bh / h) AS k FROM sh), z AS (SELECT *, greatest(1, CAST(floor(w * k) AS INT)) AS fw, greatest(1, CAST(floor(h * k) AS INT)) AS fh FROM s) SELECT id, CAST((bw - fw) // 2 AS INT) AS x, CAST((bh - fh) // 2 AS INT) AS y, fw AS w, fh AS h FROM z",
 )(on(SHAPES, lambda d: d.select("id", timing.fit_rect(*map(F.col, ("w", "h", "bw", "bh"))).alias("r")).select("id", "r.*")))
 
-ASPECTS = values("asp", "id, side, aspect", "(1, 1024, CAST(1.0 AS DOUBLE))", "(2, 1024, CAST(2.4 AS DOUBLE))", "(3, 512, CAST(0.3 AS DOUBLE))", "(4, 768, CAST(1.5 AS DOUBLE))")
+ASPECTS = values("asp", "id, side, aspect", "(1, 1024, CAST(1.0 AS DOUBLE))", "(2, 1024, CAST(2.4 AS DOUBLE))", "(3, 512, CAST(0.3 AS DOUBLE))", "(4, 768, CAST(1.5 AS DOUBLE))",
+    more=f"""SELECT CAST(1000 + p_partkey AS INT), CASE p_partkey % 3 WHEN 0 THEN 512 WHEN 1 THEN 768 ELSE 1024 END, 0.25 + CAST(p_partkey % 311 AS DOUBLE) / 100 FROM part""",
+)
 register(
     "picture_dims",
     f"WITH {ASPECTS}, a AS (SELECT id, side, least(2.0, greatest(0.5, aspect)) AS r FROM asp) SELECT id, CAST(greatest(256, round_even(side * sqrt(r) / 64, 0) * 64) AS INT) AS width, CAST(greatest(256, round_even(side / sqrt(r) / 64, 0) * 64) AS INT) AS height FROM a",
 )(on(ASPECTS, lambda d: d.select("id", timing.picture_size(F.col("side"), F.col("aspect")).alias("p")).select("id", "p.*")))
 
-PROMPTS = values("ps", "id, model, w, h, style, prompt", "(1, 'm', 512, 512, 'flat', 'a red house')", "(2, 'm', 512, 576, 'flat', 'a red house')", "(3, 'n', 1024, 1024, '', 'é')")
+PROMPTS = values("ps", "id, model, w, h, style, prompt", "(1, 'm', 512, 512, 'flat', 'a red house')", "(2, 'm', 512, 576, 'flat', 'a red house')", "(3, 'n', 1024, 1024, '', 'é')",
+    more=f"""SELECT {_TURN}, 'm' || role, 512, CAST(64 * (8 + turn % 5) AS INT), 'flat', text {_SAID} AND role IS NOT NULL""",
+)
 register(
     "picture_cache_key",
     f"WITH {PROMPTS} SELECT id, left(sha256(model || '|' || w || 'x' || h || '|' || style || '|' || prompt), 16) AS key, CAST(('0x' || left(sha256(prompt), 8)) AS BIGINT) & 2147483647 AS seed FROM ps",
 )(on(PROMPTS, lambda d: d.select("id", timing.cache_key(F.col("model"), F.col("w"), F.col("h"), F.col("style"), F.col("prompt")).alias("key"), timing.seed(F.col("prompt")).alias("seed"))))
 
-BARS = values("bs", "diagram_id, item, value", "(1, 'a', CAST(10.0 AS DOUBLE))", "(1, 'b', CAST(0.0 AS DOUBLE))", "(1, 'c', CAST(2.5 AS DOUBLE))", "(2, 'z', CAST(0.0 AS DOUBLE))")
+BARS = values("bs", "diagram_id, item, value", "(1, 'a', CAST(10.0 AS DOUBLE))", "(1, 'b', CAST(0.0 AS DOUBLE))", "(1, 'c', CAST(2.5 AS DOUBLE))", "(2, 'z', CAST(0.0 AS DOUBLE))",
+    more=f"""SELECT CAST(1000 + conv_id AS INT), CAST(turn AS STRING), CAST(length(text) AS DOUBLE) {_SAID}""",
+)
 register("bar_lengths", f"WITH {BARS} SELECT diagram_id, item, value, greatest(6.0, 1000 * value / (CASE WHEN max(value) OVER w = 0 THEN 1.0 ELSE max(value) OVER w END)) AS length FROM bs WINDOW w AS (PARTITION BY diagram_id)")(on(BARS, lambda d: figures.bar_lengths(d, F.lit(1000.0))))
 
 PLAN = values("pl", "id, k, d, e", *[f"({i}, {k}, CAST({d} AS DOUBLE), {str(e).lower()})" for i, ds in ((1, [10, 20, 30]), (2, [60] * 25), (3, [31, 47, 12, 88, 5, 64, 90, 23, 71, 40] * 4), (4, [700, 20, 20]), (5, [0.5])) for k, d in enumerate(ds) for e in [i != 3 or k % 3 == 2]])
@@ -127,7 +159,9 @@ def parts_fixture(spark, sf_dir: str) -> DataFrame:
     return lists.select("id", F.posexplode(seg.plan_parts(F.transform("x", lambda x: x["d"]), F.transform("x", lambda x: x["e"]), most)).alias("k", "part"))
 
 
-SPECS = values("sp", "id, spec, n", "(1, '1,3-4', 5)", "(2, '2,2', 3)", "(3, ' 1 , ,2-2', 2)", "(4, '5-5,1', 5)")
+SPECS = values("sp", "id, spec, n", "(1, '1,3-4', 5)", "(2, '2,2', 3)", "(3, ' 1 , ,2-2', 2)", "(4, '5-5,1', 5)",
+    more=f"""SELECT CAST(1000 + p_partkey AS INT), CAST(1 + p_partkey % 4 AS STRING) || ', ' || CAST(2 + p_partkey % 3 AS STRING) || '-' || CAST(5 + p_size % 5 AS STRING), 12 FROM part""",
+)
 register(
     "chapter_selection",
     f"""WITH {SPECS}, p AS (SELECT id, unnest(list_filter(list_transform(string_split(spec, ','), lambda x: trim(x)), lambda x: x <> '')) AS part, generate_subscripts(list_filter(list_transform(string_split(spec, ','), lambda x: trim(x)), lambda x: x <> ''), 1) AS o FROM sp),
@@ -138,6 +172,7 @@ SELECT id, CAST(chapter AS INT) AS chapter FROM x GROUP BY id, chapter""",
 BOOK = values(
     "bk", "doc_id, chapter_no, title, para_no, text", "(1, 1, 'Front', 0, 'legal text')", "(1, 1, 'Front', 1, '*** START OF THE PROJECT GUTENBERG EBOOK X ***')", "(1, 1, 'Front', 2, 'kept one')", "(1, 2, 'Two', 0, 'kept two')",
     "(1, 2, 'Two', 1, '*** END OF THIS PROJECT GUTENBERG EBOOK')", "(1, 3, 'Licence', 0, 'gone')", "(2, 1, 'A', 0, 'no markers')", "(2, 2, 'The Project Gutenberg License', 0, 'gone')", "(3, 1, 'B', 0, '*** START OF THE PROJECT GUTENBERG')", "(3, 1, 'B', 1, 'after')",
+    more=f"""SELECT CAST(1000 + conv_id AS INT), CAST(1 + turn AS INT), CASE WHEN conv_id % 7 = 0 AND turn = 5 THEN 'The Project Gutenberg License' ELSE 'Chapter ' || CAST(turn AS STRING) END, 0, CASE WHEN turn = 1 AND conv_id % 3 = 0 THEN '*** START OF THE PROJECT GUTENBERG EBOOK' WHEN turn = 4 AND conv_id % 5 = 0 THEN '*** END OF THIS PROJECT GUTENBERG EBOOK' ELSE {_FLAT} END {_SAID}""",
 )
 register(
     "gutenberg_strip",
@@ -190,7 +225,9 @@ def chapter_slices(spark, sf_dir: str) -> DataFrame:
 SUBTITLES = values("st", "doc_id, line_no, text", "(1, 1, 'CHAPTER I.')", "(1, 2, '')", "(1, 3, 'Down the Rabbit-Hole')", "(1, 4, '')", "(1, 5, 'Alice was')", "(1, 6, 'CHAPTER II.')", "(1, 7, 'she went on and')", "(1, 8, '')", "(2, 1, 'Chapter 3')", "(2, 2, 'The Pool')")
 register("chapter_subtitles", f"WITH {SUBTITLES} SELECT doc_id, line_no, CASE WHEN doc_id = 1 AND line_no = 1 THEN 'CHAPTER I. Down the Rabbit-Hole' WHEN doc_id = 2 AND line_no = 1 THEN 'Chapter 3 The Pool' WHEN text IN ('Down the Rabbit-Hole', 'The Pool') THEN '' ELSE text END AS text FROM st")(on(SUBTITLES, structure.merge_subtitles))
 
-NUMBERS = values("nu", "doc_id, position, number", "(1, 1, 0)", "(1, 2, 7)", "(1, 3, 0)", "(2, 1, 0)")
+NUMBERS = values("nu", "doc_id, position, number", "(1, 1, 0)", "(1, 2, 7)", "(1, 3, 0)", "(2, 1, 0)",
+    more=f"""SELECT CAST(1000 + conv_id AS INT), CAST(turn AS INT), CAST(CASE turn % 3 WHEN 0 THEN 0 ELSE turn + 3 END AS INT) {_SAID}""",
+)
 register("numbered_chapters", f"WITH {NUMBERS}, n AS (SELECT doc_id, position, CAST(CASE WHEN number = 0 THEN row_number() OVER (PARTITION BY doc_id ORDER BY position) ELSE number END AS INT) AS number FROM nu) SELECT *, greatest(count(*) OVER w, max(number) OVER w) AS chapter_count FROM n WINDOW w AS (PARTITION BY doc_id)")(on(NUMBERS, structure.numbered_chapters))
 
 IMAGES = values(
@@ -228,8 +265,12 @@ def images_to_describe(spark, sf_dir: str) -> DataFrame:
     return figures.described(images.select("file", "sha256"), known)[1].select("file")
 
 
-FIGURES = values("fg", "page_id, figure_no, x0, y0, x1, y1", "(1, 1, 100, 100, 300, 300)", "(1, 2, 100, 500, 300, 700)", "(2, 1, 0, 0, 50, 50)")
-CAPTIONS = values("cp", "page_id, x0, y0, x1, y1, text", "(1, 100, 310, 300, 330, 'Figure 1: under')", "(1, 110, 80, 290, 90, 'Figure 0: over')", "(1, 400, 520, 500, 560, 'Figure 2: beside')", "(1, 100, 745, 300, 760, 'Figure 3: far')", "(2, 400, 10, 450, 30, 'Figure 9: too far')")
+FIGURES = values("fg", "page_id, figure_no, x0, y0, x1, y1", "(1, 1, 100, 100, 300, 300)", "(1, 2, 100, 500, 300, 700)", "(2, 1, 0, 0, 50, 50)",
+    more=f"""SELECT CAST(1000 + conv_id AS INT), CAST(turn AS INT), CAST(length(text) % 200 AS INT), CAST(turn * 60 AS INT), CAST(length(text) % 200 + 150 AS INT), CAST(turn * 60 + 50 AS INT) {_SAID} AND turn % 2 = 0""",
+)
+CAPTIONS = values("cp", "page_id, x0, y0, x1, y1, text", "(1, 100, 310, 300, 330, 'Figure 1: under')", "(1, 110, 80, 290, 90, 'Figure 0: over')", "(1, 400, 520, 500, 560, 'Figure 2: beside')", "(1, 100, 745, 300, 760, 'Figure 3: far')", "(2, 400, 10, 450, 30, 'Figure 9: too far')",
+    more=f"""SELECT CAST(1000 + conv_id AS INT), CAST(length(text) % 400 AS INT), CAST(turn * 60 + length(text) % 50 AS INT), CAST(length(text) % 400 + 80 AS INT), CAST(turn * 60 + length(text) % 50 + 12 AS INT), 'Figure ' || CAST(turn AS STRING) || ': ' || substring({_FLAT}, 1, 30) {_SAID} AND turn % 2 = 1""",
+)
 _BOX = "struct(double(x0) as x0, double(y0) as y0, double(x1) as x1, double(y1) as y1) as box"
 
 
@@ -241,7 +282,7 @@ m AS (SELECT page_id, figure_no, arg_min(text, {{'d': d, 't': text}}) AS caption
 )
 def nearest_caption(spark, sf_dir: str) -> DataFrame:
     """[J2] The nearest caption of every figure."""
-    figs, caps = frames(spark, FIGURES, CAPTIONS)
+    figs, caps = frames(spark, FIGURES, CAPTIONS, sf_dir=sf_dir)
     return figures.nearest_captions(figs.selectExpr("page_id", "figure_no", _BOX), caps.selectExpr("page_id", "text", _BOX))
 
 
@@ -318,7 +359,9 @@ def listed_voices(spark, sf_dir: str) -> DataFrame:
     return catalogs.marked_default(wanted, catalogs.listed_voices(lines))
 
 
-ENGINES = values("en", "id, engine, language, voice, rate", "(1, 'kokoro', 'cs', '', CAST(1.25 AS DOUBLE))", "(2, 'kokoro', 'fr', '', CAST(3.0 AS DOUBLE))", "(3, 'edge', 'cs', '', CAST(0.9 AS DOUBLE))", "(4, 'kokoro', 'cs', 'af_heart', CAST(1.0 AS DOUBLE))", "(5, 'macos', 'en', '', CAST(1.1 AS DOUBLE))", "(6, 'piper', 'en', '', CAST(0.1 AS DOUBLE))")
+ENGINES = values("en", "id, engine, language, voice, rate", "(1, 'kokoro', 'cs', '', CAST(1.25 AS DOUBLE))", "(2, 'kokoro', 'fr', '', CAST(3.0 AS DOUBLE))", "(3, 'edge', 'cs', '', CAST(0.9 AS DOUBLE))", "(4, 'kokoro', 'cs', 'af_heart', CAST(1.0 AS DOUBLE))", "(5, 'macos', 'en', '', CAST(1.1 AS DOUBLE))", "(6, 'piper', 'en', '', CAST(0.1 AS DOUBLE))",
+    more=f"""SELECT {_TURN}, CASE turn % 4 WHEN 0 THEN 'kokoro' WHEN 1 THEN 'edge' WHEN 2 THEN 'piper' ELSE 'macos' END, CASE conv_id % 3 WHEN 0 THEN 'cs' WHEN 1 THEN 'fr' ELSE 'de' END, CASE conv_id % 5 WHEN 0 THEN 'v' ELSE '' END, 0.3 + CAST(length(text) % 37 AS DOUBLE) / 11 {_SAID}""",
+)
 register(
     "engine_choice",
     f"""WITH {ENGINES}, e AS (SELECT *, CASE WHEN engine = 'kokoro' AND language NOT IN ('en', 'es', 'fr', 'hi', 'it', 'pt') AND voice = '' THEN 'piper' ELSE engine END AS uses FROM en)
@@ -332,47 +375,66 @@ register(
 (4, 'hf.co', 'org/repo', 'name', 'Q4', 'hf.co/org/repo/name:Q4'), (5, 'host:80', 'a', 'b', 'latest', 'host:80/a/b:latest')) t(id, host, namespace, name, tag, display)""",
 )(on(MODELS, lambda d: d.withColumn("r", catalogs.model_ref(F.col("name"))).select("id", "r.*", catalogs.model_display(F.col("r")).alias("display"))))
 
-MANIFESTS = values("mf", "store, priority, name, digest, size", "('ollama', 1, 'a:1', 'd1', CAST(10 AS BIGINT))", "('cache', 2, 'a:1', 'd1', CAST(10 AS BIGINT))", "('ollama', 1, 'b:1', 'd2', CAST(20 AS BIGINT))", "('cache', 2, 'b:1', 'd2', CAST(20 AS BIGINT))", "('cache', 2, 'c:1', 'd3', CAST(NULL AS BIGINT))", "('cache', 2, 'd:1', 'd9', CAST(1 AS BIGINT))")
-BLOBS = values("bl", "store, digest, bytes", "('ollama', 'd1', CAST(10 AS BIGINT))", "('cache', 'd1', CAST(10 AS BIGINT))", "('ollama', 'd2', CAST(19 AS BIGINT))", "('cache', 'd2', CAST(20 AS BIGINT))", "('cache', 'd3', CAST(5 AS BIGINT))")
+MANIFESTS = values("mf", "store, priority, name, digest, size", "('ollama', 1, 'a:1', 'd1', CAST(10 AS BIGINT))", "('cache', 2, 'a:1', 'd1', CAST(10 AS BIGINT))", "('ollama', 1, 'b:1', 'd2', CAST(20 AS BIGINT))", "('cache', 2, 'b:1', 'd2', CAST(20 AS BIGINT))", "('cache', 2, 'c:1', 'd3', CAST(NULL AS BIGINT))", "('cache', 2, 'd:1', 'd9', CAST(1 AS BIGINT))",
+    more=f"""SELECT CASE turn WHEN 0 THEN 'ollama' ELSE 'cache' END, CAST(1 + turn AS INT), 'm' || CAST(conv_id AS STRING), 'c' || CAST(conv_id AS STRING), CAST(length(text) AS BIGINT) {_SAID} AND turn < 2""",
+)
+BLOBS = values("bl", "store, digest, bytes", "('ollama', 'd1', CAST(10 AS BIGINT))", "('cache', 'd1', CAST(10 AS BIGINT))", "('ollama', 'd2', CAST(19 AS BIGINT))", "('cache', 'd2', CAST(20 AS BIGINT))", "('cache', 'd3', CAST(5 AS BIGINT))",
+    more=f"""SELECT CASE turn WHEN 0 THEN 'ollama' ELSE 'cache' END, 'c' || CAST(conv_id AS STRING), CAST(length(text) + conv_id % 2 * (1 - turn) + (conv_id % 3) * turn AS BIGINT) {_SAID} AND turn < 2""",
+)
 
 
 @register("model_lookup", f"WITH {MANIFESTS}, {BLOBS}, f AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY priority) AS k FROM mf JOIN bl USING (store, digest) WHERE bytes = coalesce(size, bytes)) SELECT name, store, digest, bytes AS size FROM f WHERE k = 1")
 def model_lookup(spark, sf_dir: str) -> DataFrame:
     """[J8, U3, S15] Models that are there with the size stated, first store first."""
-    return catalogs.local_models(*frames(spark, MANIFESTS, BLOBS))
+    return catalogs.local_models(*frames(spark, MANIFESTS, BLOBS, sf_dir=sf_dir))
 
 
-@register("missing_models", f"WITH {MANIFESTS}, {BLOBS} SELECT name FROM (VALUES ('a:1'), ('d:1'), ('e:1')) t(name) WHERE name NOT IN (SELECT name FROM mf JOIN bl USING (store, digest) WHERE bytes = coalesce(size, bytes))")
+_WANTED = "SELECT DISTINCT 'm' || CAST(conv_id AS STRING) FROM conversations WHERE conv_id IS NOT NULL"
+
+
+@register("missing_models", f"WITH {MANIFESTS}, {BLOBS} SELECT name FROM (SELECT * FROM (VALUES ('a:1'), ('d:1'), ('e:1')) t(name) UNION ALL {_WANTED}) WHERE name NOT IN (SELECT name FROM mf JOIN bl USING (store, digest) WHERE bytes = coalesce(size, bytes))")
 def missing_models(spark, sf_dir: str) -> DataFrame:
     """[J9, U4] Recommended models that are not there."""
-    manifests, blobs, wanted = frames(spark, MANIFESTS, BLOBS, values("w", "name", "('a:1')", "('d:1')", "('e:1')"))
+    manifests, blobs, wanted = frames(spark, MANIFESTS, BLOBS, values("w", "name", "('a:1')", "('d:1')", "('e:1')", more=_WANTED), sf_dir=sf_dir)
     return catalogs.missing_models(wanted, catalogs.local_models(manifests, blobs))
 
 
-REGISTRY = values("rg", "model, path, size", "('m', 'a', CAST(10 AS BIGINT))", "('m', 'b', CAST(20 AS BIGINT))", "('n', 'c', CAST(5 AS BIGINT))")
+REGISTRY = values("rg", "model, path, size", "('m', 'a', CAST(10 AS BIGINT))", "('m', 'b', CAST(20 AS BIGINT))", "('n', 'c', CAST(5 AS BIGINT))",
+    more=f"""SELECT 'm' || CAST(conv_id AS STRING), 'p' || CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING), CAST(length(text) AS BIGINT) {_SAID}""",
+)
+
+
+PRESENT = values(
+    "p", "path, size", "('a', CAST(10 AS BIGINT))", "('b', CAST(19 AS BIGINT))",
+    more=f"""SELECT 'p' || CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING), CAST(length(text) + CASE conv_id % 3 WHEN 0 THEN 1 ELSE 0 END AS BIGINT) {_SAID} AND turn % 2 = 0""",
+)
 
 
-@register("download_sizes", f"WITH {REGISTRY}, p AS (SELECT * FROM (VALUES ('a', 10), ('b', 19)) t(path, have)) SELECT model, CAST(sum(size) AS BIGINT) AS total, CAST(coalesce(sum(size) FILTER (WHERE coalesce(have, -1) <> size), 0) AS BIGINT) AS missing FROM rg LEFT JOIN p USING (path) GROUP BY model")
+@register("download_sizes", f"WITH {REGISTRY}, {PRESENT} SELECT model, CAST(sum(rg.size) AS BIGINT) AS total, CAST(coalesce(sum(rg.size) FILTER (WHERE coalesce(p.size, -1) <> rg.size), 0) AS BIGINT) AS missing FROM rg LEFT JOIN p USING (path) GROUP BY model")
 def download_sizes(spark, sf_dir: str) -> DataFrame:
     """[A13, H3, H4] Bytes of models, in all and still missing."""
-    registry, present = frames(spark, REGISTRY, values("p", "path, size", "('a', CAST(10 AS BIGINT))", "('b', CAST(19 AS BIGINT))"))
+    registry, present = frames(spark, REGISTRY, PRESENT, sf_dir=sf_dir)
     return catalogs.download_sizes(registry, present)
 
 
-SECTIONS = values("se", "doc_id, section_no, number, chapter_title", "(1, 1, 2, 'x')", "(1, 2, 0, 'B')", "(1, 3, 9, 'B')", "(1, 4, 0, 'none')")
-CHAPTERS = values("cs", "doc_id, number, title", "(1, 1, 'A')", "(1, 2, 'B')", "(1, 3, 'B')")
+SECTIONS = values("se", "doc_id, section_no, number, chapter_title", "(1, 1, 2, 'x')", "(1, 2, 0, 'B')", "(1, 3, 9, 'B')", "(1, 4, 0, 'none')",
+    more=f"""SELECT CAST(1000 + conv_id AS INT), CAST(turn + 1 AS INT), CAST(CASE turn % 2 WHEN 0 THEN turn + 1 + conv_id % 4 ELSE 0 END AS INT), 'T' || CAST((turn + conv_id) % 5 AS STRING) {_SAID}""",
+)
+CHAPTERS = values("cs", "doc_id, number, title", "(1, 1, 'A')", "(1, 2, 'B')", "(1, 3, 'B')",
+    more=f"""SELECT CAST(1000 + conv_id AS INT), CAST(turn + 1 AS INT), 'T' || CAST(turn % 3 AS STRING) {_SAID}""",
+)
 
 
-@register("section_chapters", f"WITH {SECTIONS}, {CHAPTERS} SELECT s.doc_id, section_no, coalesce(CASE WHEN s.number <> 0 THEN (SELECT min(number) FROM cs c WHERE c.number = s.number) ELSE (SELECT min(number) FROM cs c WHERE c.title = s.chapter_title) END, -1) AS chapter FROM se s")
+@register("section_chapters", f"WITH {SECTIONS}, {CHAPTERS} SELECT s.doc_id, section_no, coalesce(CASE WHEN s.number <> 0 THEN (SELECT min(number) FROM cs c WHERE c.doc_id = s.doc_id AND c.number = s.number) ELSE (SELECT min(number) FROM cs c WHERE c.doc_id = s.doc_id AND c.title = s.chapter_title) END, -1) AS chapter FROM se s")
 def section_chapters(spark, sf_dir: str) -> DataFrame:
     """[J5] The chapter of every section."""
-    return structure.chapters_of_sections(*frames(spark, SECTIONS, CHAPTERS)).fillna(-1, ["chapter"])
+    return structure.chapters_of_sections(*frames(spark, SECTIONS, CHAPTERS, sf_dir=sf_dir)).fillna(-1, ["chapter"])
 
 
-@register("reused_sections", f"WITH {SECTIONS}, {CHAPTERS} SELECT section_no FROM se s WHERE (number <> 0 AND number IN (SELECT number FROM cs)) OR (number = 0 AND chapter_title IN (SELECT title FROM cs))")
+@register("reused_sections", f"WITH {SECTIONS}, {CHAPTERS} SELECT section_no FROM se s WHERE (number <> 0 AND number IN (SELECT number FROM cs c WHERE c.doc_id = s.doc_id)) OR (number = 0 AND chapter_title IN (SELECT title FROM cs c WHERE c.doc_id = s.doc_id))")
 def reused_sections(spark, sf_dir: str) -> DataFrame:
     """Sections of a script that the selection keeps."""
-    return structure.reused_sections(*frames(spark, SECTIONS, CHAPTERS)).select("section_no")
+    return structure.reused_sections(*frames(spark, SECTIONS, CHAPTERS, sf_dir=sf_dir)).select("section_no")
 
 
 @register("scene_images", f"WITH {SCENES}, {IMAGES}, s AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY scene_no) AS k FROM sc), i AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY position) AS k FROM im) SELECT s.chapter, s.scene_no, i.file FROM s LEFT JOIN i USING (chapter, k)")
@@ -391,7 +453,9 @@ def picture_files(spark, sf_dir: str) -> DataFrame:
     return figures.picture_files(scenes, own, made).select("scene_no", "file")
 
 
-TAGS = values("tg", "id, title, album, track, author", "(1, 'T', 'A', 3, 'X Y')", "(2, 'T', 'A', 4, '')")
+TAGS = values("tg", "id, title, album, track, author", "(1, 'T', 'A', 3, 'X Y')", "(2, 'T', 'A', 4, '')",
+    more=f"""SELECT {_TURN}, substring(text, 1, 20), coalesce(role, 'r'), CAST(turn AS INT), CASE conv_id % 3 WHEN 0 THEN '' ELSE 'A. Writer' END {_SAID}""",
+)
 register("audio_tags", f"WITH {TAGS} SELECT id, k AS tag, v AS value FROM (SELECT id, unnest(['title', 'album', 'track', 'genre', 'artist']) AS k, unnest([title, album, CAST(track AS VARCHAR), 'Audiobook', nullif(author, '')]) AS v FROM tg) WHERE v IS NOT NULL")(
     on(TAGS, lambda d: d.select("id", F.explode(media.audio_tags(F.col("title"), F.col("album"), F.col("track"), F.col("author"))).alias("tag", "value")))
 )
@@ -399,7 +463,9 @@ register("audio_tags", f"WITH {TAGS} SELECT id, k AS tag, v AS value FROM (SELEC
 PLAIN = values("pn", "id, v", "(1, CAST(1234567.5 AS DOUBLE))", "(2, CAST(12.0 AS DOUBLE))", "(3, CAST(0.256 AS DOUBLE))", "(4, CAST(1000 AS DOUBLE))")
 register("plain_numbers", "SELECT * FROM (VALUES (1, '1 234 567.5'), (2, '12'), (3, '0.26'), (4, '1 000')) t(id, number)")(on(PLAIN, lambda d: d.select("id", timing.plain_number(F.col("v")).alias("number"))))
 
-DIAGRAMS = values("dg", "diagram_id, type, item_no, value, captioned", *[f"({d}, '{t}', {k}, CAST({v} AS DOUBLE), {c})" for d, (t, n, c) in enumerate([("flow", 3, "false"), ("bars", 3, "true"), ("comparison", 2, "false"), ("timeline", 4, "true")], 1) for k in range(n) for v in [(k + 1) * 5]])
+DIAGRAMS = values("dg", "diagram_id, type, item_no, value, captioned", *[f"({d}, '{t}', {k}, CAST({v} AS DOUBLE), {c})" for d, (t, n, c) in enumerate([("flow", 3, "false"), ("bars", 3, "true"), ("comparison", 2, "false"), ("timeline", 4, "true")], 1) for k in range(n) for v in [(k + 1) * 5]],
+    more=f"""SELECT CAST(1000 + conv_id AS INT), CASE conv_id % 4 WHEN 0 THEN 'flow' WHEN 1 THEN 'bars' WHEN 2 THEN 'comparison' ELSE 'timeline' END, CAST(turn AS INT), CAST(length(text) AS DOUBLE), conv_id % 3 = 0 {_SAID} AND turn < 5""",
+)
 
 
 @register(
@@ -411,7 +477,7 @@ def diagram_boxes(spark, sf_dir: str) -> DataFrame:
     """[D8, R4, R7, R10-R12] Boxes of diagram items."""
     from leafmill.operators import diagrams
 
-    (rows,) = frames(spark, DIAGRAMS)
+    (rows,) = frames(spark, DIAGRAMS, sf_dir=sf_dir)
     return diagrams.item_boxes(rows, 1600, 900).select("diagram_id", "item_no", F.round("box.x", 4).alias("x"), F.round("box.w", 4).alias("width"), "color")
 
 
@@ -440,13 +506,15 @@ def clip_cues(spark, sf_dir: str) -> DataFrame:
     return sinks.clip_cues(clips).withColumns({c: F.round(c, 6) for c in ("start", "stop")})
 
 
-LEVELS = values("lv", "doc_id, level", "(1, 1)", "(1, 2)", "(1, 2)", "(1, 3)", "(2, 1)", "(2, 1)", "(3, 2)", "(4, 3)", "(4, 1)")
+LEVELS = values("lv", "doc_id, level", "(1, 1)", "(1, 2)", "(1, 2)", "(1, 3)", "(2, 1)", "(2, 1)", "(3, 2)", "(4, 3)", "(4, 1)",
+    more=f"""SELECT CAST(1000 + conv_id AS INT), CAST(1 + length(text) % 4 AS INT) {_SAID}""",
+)
 
 
 @register("heading_levels", f"WITH {LEVELS}, c AS (SELECT doc_id, level, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY level) AS k FROM lv GROUP BY doc_id, level) SELECT doc_id, CASE WHEN max(n) FILTER (WHERE k = 1) = 1 AND count(*) > 1 THEN max(level) FILTER (WHERE k = 2) ELSE min(level) END AS outline, coalesce(min(level) FILTER (WHERE n >= 2), min(level)) AS repeated FROM c GROUP BY doc_id")
 def heading_levels(spark, sf_dir: str) -> DataFrame:
     """[A7] The chapter level of documents, by either rule."""
-    (levels,) = frames(spark, LEVELS)
+    (levels,) = frames(spark, LEVELS, sf_dir=sf_dir)
     outline = structure.heading_level(levels, "outline").withColumnRenamed("level", "outline")
     return outline.join(structure.heading_level(levels, "repeated").withColumnRenamed("level", "repeated"), "doc_id")
 
@@ -478,7 +546,11 @@ def voice_list(spark, sf_dir: str) -> DataFrame:
     return lists[0].unionByName(lists[1])
 
 
-LANGUAGES = values("lg", "language", "('en')", "('cs')", "('xx')")
-register("language_names", "SELECT * FROM (VALUES ('en', 'English', 'eng'), ('cs', 'Czech', 'ces'), ('xx', 'xx', 'eng')) t(language, name, ocr)")(
+LANGUAGES = values("lg", "language", "('en')", "('cs')", "('xx')",
+    more=f"""SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL AND lang NOT IN ('en', 'cs', 'xx')""",
+)
+_NAMED = ", ".join(f"('{k}', '{v}')" for k, v in C.LANGUAGE_NAMES.items())
+_CODED = ", ".join(f"('{k}', '{v}')" for k, v in C.OCR_CODES.items())
+register("language_names", f"WITH {LANGUAGES} SELECT language, coalesce(n.name, language) AS name, coalesce(o.code, 'eng') AS ocr FROM lg LEFT JOIN (VALUES {_NAMED}) n(k, name) ON n.k = language LEFT JOIN (VALUES {_CODED}) o(k, code) ON o.k = language")(
     on(LANGUAGES, lambda d: d.select("language", F.coalesce(F.try_element_at(catalogs.text_map(C.LANGUAGE_NAMES), F.col("language")), F.col("language")).alias("name"), F.coalesce(F.try_element_at(catalogs.text_map(C.OCR_CODES), F.col("language")), F.lit("eng")).alias("ocr")))
 )
