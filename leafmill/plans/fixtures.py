@@ -181,12 +181,14 @@ m AS (SELECT *, min(k) FILTER (WHERE regexp_matches(text, '(?i)^\\*{{3}}\\s*STAR
 SELECT doc_id, chapter_no, title, para_no, text FROM m WHERE ((s IS NULL AND e IS NULL) OR (k > coalesce(nullif(s, 0), -1) AND (e IS NULL OR k < e))) AND NOT regexp_matches(title, '(?i)project gutenberg')""",
 )(on(BOOK, structure.strip_licence))
 
-CONTENTS = values("ct", "id, title, paras", "(1, 'Contents', ARRAY['x'])", "(2, 'contents of the box', ARRAY['x'])", "(3, 'One', ARRAY['Intro .... 3', 'Methods 12', 'Results 40', 'Notes', 'Index 99'])", "(4, 'One', ARRAY['a 1', 'b 2', 'c 3'])", "(5, 'Inhaltsverzeichnis', ARRAY['x'])")
+CONTENTS = values("ct", "id, title, paras", "(1, 'Contents', ARRAY['x'])", "(2, 'contents of the box', ARRAY['x'])", "(3, 'One', ARRAY['Intro .... 3', 'Methods 12', 'Results 40', 'Notes', 'Index 99'])", "(4, 'One', ARRAY['a 1', 'b 2', 'c 3'])", "(5, 'Inhaltsverzeichnis', ARRAY['x'])",
+    more=f"""SELECT {_TURN}, CASE conv_id % 5 WHEN 0 THEN 'Contents' WHEN 1 THEN 'Obsah knihy' ELSE 'Chapter ' || CAST(turn AS STRING) END, ARRAY[substring({_FLAT}, 1, 20) || ' .... 3', substring({_FLAT}, 21, 20) || CASE turn % 2 WHEN 0 THEN ' 12' ELSE '' END, substring({_FLAT}, 41, 200) || ' 40', CASE conv_id % 2 WHEN 0 THEN 'Notes' ELSE 'Notes 77' END, 'Index 99'] AS paras {_SAID}""",
+)
 CONTENTS_DUCK = CONTENTS.replace("ARRAY[", "[")
 register(
     "toc_filter",
     f"""WITH {CONTENTS_DUCK} SELECT id, regexp_matches(title, '(?i)^\\s*(table of )?contents|^(obsah|inhalt(sverzeichnis)?|table des matières|índice)|^indice\\s*$') OR (len(paras) >= 5 AND len(list_filter(paras, lambda p: length(p) < 100 AND regexp_matches(p, '(\\.{{3,}}|\\s)\\d{{1,4}}\\s*$'))) / len(paras) > 0.6) AS contents FROM ct""",
-)(on(CONTENTS.replace("ARRAY[", "array(").replace("])", "))"), lambda d: d.select("id", structure.is_contents(F.col("title"), F.col("paras")).alias("contents"))))
+)(on(CONTENTS.replace("ARRAY[", "array(").replace("])", "))").replace("] AS paras", ") AS paras"), lambda d: d.select("id", structure.is_contents(F.col("title"), F.col("paras")).alias("contents"))))
 
 PDF = values(
     "pg", "doc_id, i, page, line_no, text, size, bold, block_start", *[
@@ -199,27 +201,40 @@ register("font_chapters", "SELECT * FROM (VALUES (1, 0, 'Introduction'), (1, 3,
 OUTLINE = values("ol", "doc_id, ord, level, title, page", "(1, 0, 1, 'The Book', 1)", "(1, 1, 2, 'Introduction', 1)", "(1, 2, 2, 'Methods and Materials', 2)", "(1, 3, 2, 'Chapter 3: The End', 3)", "(1, 4, 3, 'Deep', 3)", "(1, 5, 2, 'Beyond', 9)", "(1, 6, 2, 'Unnamed', 3)")
 
 
+PAGE_LINES = f"pl AS (SELECT CAST(1000 + conv_id AS INT) AS doc_id, CAST(turn AS INT) AS i, CAST(turn AS INT) AS page, substring({_FLAT}, 1, 60) AS text {_SAID})"
+PAGE_OUTLINE = f"""po AS (SELECT CAST(1000 + conv_id AS INT) AS doc_id, CAST(turn AS INT) AS ord, CAST(CASE WHEN turn = 0 AND conv_id % 2 = 0 THEN 1 WHEN turn % 3 = 2 THEN 3 ELSE 2 END AS INT) AS level,
+  CASE turn % 4 WHEN 3 THEN 'Not on its page' ELSE substring({_FLAT}, 1, 25) END AS title, CAST(turn + 1 + conv_id % 2 AS INT) AS page {_SAID})"""
+PAGE_STARTS = f"ps AS (SELECT CAST(1000 + conv_id AS INT) AS doc_id, CAST(turn AS INT) AS start, role AS title, CAST(turn AS INT) AS ord {_SAID} AND (turn + conv_id) % 3 = 0)"
+
+
 @register(
     "outline_chapters",
-    f"""WITH {OUTLINE}, {PDF}, c AS (SELECT *, page - 1 AS p, regexp_replace(lower(title), '[\\W_]+', '', 'g') AS target FROM ol WHERE level = 2 AND page - 1 <= (SELECT max(page) FROM pg)),
-a AS (SELECT c.ord, min(g.i) AS i FROM c JOIN pg g ON g.page >= c.p GROUP BY c.ord), e AS (SELECT c.ord, min(g.i) AS i FROM c JOIN pg g ON g.page = c.p AND (starts_with(c.target, regexp_replace(lower(g.text), '[\\W_]+', '', 'g')) OR starts_with(regexp_replace(lower(g.text), '[\\W_]+', '', 'g'), c.target)) GROUP BY c.ord)
-SELECT c.doc_id, CAST(coalesce(e.i, a.i) AS INT) AS start, title, c.ord AS ord FROM c LEFT JOIN a USING (ord) LEFT JOIN e USING (ord)""",
+    f"""WITH {OUTLINE}, {PDF}, {PAGE_LINES}, {PAGE_OUTLINE}, o AS (SELECT * FROM ol UNION ALL SELECT * FROM po), g AS (SELECT doc_id, i, page, text FROM pg UNION ALL SELECT * FROM pl),
+n AS (SELECT doc_id, level, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY level) AS k FROM o GROUP BY doc_id, level),
+lv AS (SELECT doc_id, CASE WHEN max(n) FILTER (WHERE k = 1) = 1 AND count(*) > 1 THEN max(level) FILTER (WHERE k = 2) ELSE min(level) END AS level FROM n GROUP BY doc_id),
+c AS (SELECT o.*, page - 1 AS p, regexp_replace(lower(title), '[\\W_]+', '', 'g') AS target FROM o JOIN lv USING (doc_id, level) WHERE page - 1 <= (SELECT max(page) FROM g WHERE g.doc_id = o.doc_id)),
+q AS (SELECT *, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS sq FROM g), t AS (SELECT c.*, regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS sq FROM c),
+a AS (SELECT c.doc_id, c.ord, min(g.i) AS i FROM c JOIN g ON g.doc_id = c.doc_id AND g.page >= c.p GROUP BY ALL),
+e AS (SELECT t.doc_id, t.ord, min(q.i) AS i FROM t JOIN q ON q.doc_id = t.doc_id AND q.page = t.p AND q.sq <> '' AND (starts_with(t.sq, q.sq) OR starts_with(q.sq, t.sq)) GROUP BY ALL)
+SELECT c.doc_id, CAST(coalesce(e.i, a.i) AS INT) AS start, trim(title) AS title, c.ord AS ord FROM c LEFT JOIN a USING (doc_id, ord) LEFT JOIN e USING (doc_id, ord)""",
 )
 def outline_chapters(spark, sf_dir: str) -> DataFrame:
-    """[J4, A7] Outline entries at their lines."""
-    outline, lines = frames(spark, OUTLINE, PDF)
-    return structure.chapters_from_outline(outline, lines)
+    """[J4, A7, O3] Outline entries at their lines; conversations are documents of a page a turn."""
+    outline, lines, given, of_given = frames(spark, OUTLINE, PDF, PAGE_LINES, PAGE_OUTLINE, sf_dir=sf_dir)
+    return structure.chapters_from_outline(outline.unionByName(of_given), lines.select("doc_id", "i", "page", "text").unionByName(given))
 
 
 @register(
     "chapter_slices",
-    f"WITH {PDF}, s AS (SELECT * FROM (VALUES (1, 1, 'A', 0), (1, 3, 'B', 1), (1, 7, 'C', 2)) t(doc_id, start, title, ord)), r AS (SELECT *, row_number() OVER (ORDER BY start) AS n, lead(start) OVER (ORDER BY start) AS stop FROM s) "
-    "SELECT p.doc_id, p.i, CAST(coalesce(n, 0) AS INT) AS chapter_no, coalesce(title, '') AS title FROM pg p LEFT JOIN r ON p.i >= start AND (stop IS NULL OR p.i < stop)",
+    f"WITH {PDF}, {PAGE_LINES}, {PAGE_STARTS}, s AS (SELECT * FROM (VALUES (1, 1, 'A', 0), (1, 3, 'B', 1), (1, 7, 'C', 2)) t(doc_id, start, title, ord) UNION ALL SELECT * FROM ps), "
+    "l AS (SELECT doc_id, i FROM pg UNION ALL SELECT doc_id, i FROM pl), r AS (SELECT *, row_number() OVER w AS n, lead(start) OVER w AS stop FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY start)) "
+    "SELECT l.doc_id, l.i, CAST(coalesce(n, 0) AS INT) AS chapter_no, coalesce(title, '') AS title FROM l LEFT JOIN r ON r.doc_id = l.doc_id AND l.i >= start AND (stop IS NULL OR l.i < stop)",
 )
 def chapter_slices(spark, sf_dir: str) -> DataFrame:
     """[W4] Lines between chapter starts."""
-    lines, starts = frames(spark, PDF, values("s", "doc_id, start, title, ord", "(1, 1, 'A', 0)", "(1, 3, 'B', 1)", "(1, 7, 'C', 2)"))
-    return structure.chapter_slices(starts, lines).select("doc_id", "i", "chapter_no", "title")
+    lines, starts, given, of_given = frames(spark, PDF, values("s", "doc_id, start, title, ord", "(1, 1, 'A', 0)", "(1, 3, 'B', 1)", "(1, 7, 'C', 2)"), PAGE_LINES, PAGE_STARTS, sf_dir=sf_dir)
+    both = lines.select("doc_id", "i").unionByName(given.select("doc_id", "i"))
+    return structure.chapter_slices(starts.unionByName(of_given), both).select("doc_id", "i", "chapter_no", "title")
 
 
 SUBTITLES = values("st", "doc_id, line_no, text", "(1, 1, 'CHAPTER I.')", "(1, 2, '')", "(1, 3, 'Down the Rabbit-Hole')", "(1, 4, '')", "(1, 5, 'Alice was')", "(1, 6, 'CHAPTER II.')", "(1, 7, 'she went on and')", "(1, 8, '')", "(2, 1, 'Chapter 3')", "(2, 2, 'The Pool')")
@@ -233,21 +248,28 @@ register("numbered_chapters", f"WITH {NUMBERS}, n AS (SELECT doc_id, position, C
 IMAGES = values(
     "im", "doc_id, chapter, position, file, width, height, caption, kind, description, sha256", "(1, 1, 1, 'a.png', 800, 400, 'Figure 2.1: Wide', 'chart', '', 's1')", "(1, 1, 2, 'b.png', 300, 500, 'Fig. 3 Tall', '', '', 's2')", "(1, 1, 3, 'c.png', 300, 500, 'Figure 2.1 again', 'text', 'words', 's3')",
     "(1, 1, 4, 'd.png', 300, 300, '', 'photo', 'a cat', 's4')", "(1, 2, 5, 'e.png', 300, 300, 'Table 1', '', '', 's1')",
+    more=f"""SELECT CAST(1000 + conv_id AS INT), 1, CAST(turn AS INT), 'f' || CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING) || '.png', CAST(200 + length(text) % 700 AS INT), 400, CASE turn % 3 WHEN 2 THEN '' ELSE 'Figure ' || CAST(turn AS STRING) || ': ' || substring({_FLAT}, 1, 20) END, CASE turn % 4 WHEN 0 THEN 'photo' WHEN 1 THEN '' WHEN 2 THEN 'text' ELSE 'decorative' END, CASE conv_id % 3 WHEN 0 THEN '' ELSE substring({_FLAT}, 1, 30) END, 's' || CAST(conv_id % 50 AS STRING) {_SAID}""",
 )
 SCENES = values(
     "sc", "doc_id, chapter, scene_no, title, bullets, narration, book_image", "(1, 1, 1, 'One', '', 'see Figure 2.1 and Fig. 3', '')", "(1, 1, 2, 'Two', 'as Fig. 3 says', 'or figure 2.1', '')", "(1, 1, 3, 'Three', '', 'Figure 9', 'x.png')",
     "(1, 1, 4, 'Four', '', 'Fig. 3', 'b.png')", "(1, 2, 1, 'Five', '', 'Table 1', '')",
+    more=f"""SELECT CAST(1000 + conv_id AS INT), 1, CAST(turn + 1 AS INT), 'Scene ' || CAST(turn AS STRING), CASE conv_id % 2 WHEN 0 THEN '' ELSE 'as figure ' || CAST(turn + 2 AS STRING) || ' says' END, 'then see Figure ' || CAST(turn + 1 AS STRING) || ' and Fig. 0', CASE turn % 5 WHEN 1 THEN 'f' || CAST(conv_id AS STRING) || '_' || CAST(turn + 1 AS STRING) || '.png' ELSE '' END {_SAID}""",
 )
 
 
 @register(
     "mentioned_figures",
-    f"""WITH {SCENES}, want AS (SELECT * FROM (VALUES (1, 1, 'figure 2.1', 'a.png', 'full'), (1, 2, 'figure 3', 'b.png', 'right'), (1, 3, NULL, 'x.png', NULL), (1, 4, NULL, 'b.png', NULL), (2, 1, 'table 1', 'e.png', 'right')) t(chapter, scene_no, figure, shows, placement))
-SELECT s.doc_id, chapter, scene_no, title, figure, shows, placement FROM sc s JOIN want USING (chapter, scene_no)""",
+    f"""WITH {SCENES}, {IMAGES}, ref AS (SELECT '(?i)\\b(?:{C.REFERENCE_WORDS})\\.?\\s*\\d+(?:[.–-]\\d+)*' AS re),
+key AS (SELECT *, regexp_extract(caption, re) AS r FROM im, ref), fig AS (SELECT doc_id, chapter, CASE WHEN lower(r) LIKE 'tab%' THEN 'table ' ELSE 'figure ' END || regexp_replace(regexp_extract(r, '\\d.*$'), '[–-]', '.', 'g') AS key,
+  arg_min({{'file': file, 'width': width, 'height': height}}, position) AS image FROM key WHERE r <> '' GROUP BY ALL),
+m AS (SELECT doc_id, chapter, scene_no, regexp_extract_all(title || ' ' || bullets || ' ' || narration, re) AS l FROM sc, ref), u AS (SELECT *, unnest(l) AS r, unnest(range(0, len(l))) AS pos FROM m),
+hit AS (SELECT u.doc_id, u.chapter, u.scene_no, arg_min({{'key': key, 'image': image}}, pos) AS f FROM (SELECT *, CASE WHEN lower(r) LIKE 'tab%' THEN 'table ' ELSE 'figure ' END || regexp_replace(regexp_extract(r, '\\d.*$'), '[–-]', '.', 'g') AS key FROM u) u JOIN fig USING (doc_id, chapter, key) GROUP BY ALL),
+x AS (SELECT sc.*, f, f IS NOT NULL AND f.image.file <> book_image AS new FROM sc LEFT JOIN hit USING (doc_id, chapter, scene_no))
+SELECT doc_id, chapter, scene_no, title, CASE WHEN new THEN f.key END AS figure, CASE WHEN new THEN f.image.file ELSE book_image END AS shows, CASE WHEN new THEN CASE WHEN f.image.width >= f.image.height * 1.4 THEN 'full' ELSE 'right' END END AS placement FROM x""",
 )
 def mentioned_figures(spark, sf_dir: str) -> DataFrame:
     """[J1, X4, X5] The figure that each scene's text refers to first."""
-    scenes, images = frames(spark, SCENES, IMAGES)
+    scenes, images = frames(spark, SCENES, IMAGES, sf_dir=sf_dir)
     found = figures.mentioned_figures(scenes.withColumn("bullets", F.array("bullets")), images)
     return found.select("doc_id", "chapter", "scene_no", "title", "figure", "shows", "placement")
 
@@ -258,10 +280,16 @@ register(
 )(on(IMAGES, lambda d: d.select("file", figures.is_suitable(F.col("kind"), F.col("description"), F.col("caption")).alias("suitable"), figures.image_summary(F.col("kind"), F.col("description"), F.col("caption")).alias("summary"))))
 
 
-@register("images_to_describe", f"WITH {IMAGES}, known AS (SELECT * FROM (VALUES ('s1', 'photo'), ('s2', ''), ('s9', 'map')) t(sha256, kind)) SELECT file FROM im WHERE sha256 NOT IN (SELECT sha256 FROM known WHERE kind <> '')")
+KNOWN = values(
+    "known", "sha256, kind, description, position", "('s1', 'photo', 'd', 1)", "('s2', '', '', 2)", "('s9', 'map', 'm', 3)",
+    more=f"""SELECT DISTINCT 's' || CAST(conv_id % 50 AS STRING), CASE conv_id % 50 % 4 WHEN 0 THEN '' ELSE 'photo' END, 'd', 4 {_SAID} AND conv_id % 2 = 0""",
+)
+
+
+@register("images_to_describe", f"WITH {IMAGES}, {KNOWN} SELECT file FROM im WHERE sha256 NOT IN (SELECT sha256 FROM known WHERE kind <> '')")
 def images_to_describe(spark, sf_dir: str) -> DataFrame:
     """[J6, S12, B3] Images that no catalogue entry describes."""
-    images, known = frames(spark, IMAGES, values("known", "sha256, kind, description, position", "('s1', 'photo', 'd', 1)", "('s2', '', '', 2)", "('s9', 'map', 'm', 3)"))
+    images, known = frames(spark, IMAGES, KNOWN, sf_dir=sf_dir)
     return figures.described(images.select("file", "sha256"), known)[1].select("file")
 
 
@@ -325,24 +353,29 @@ def illustrations_cleaned(spark, sf_dir: str) -> DataFrame:
     return df.select("id", "c.kind", "c.prompt", "c.animation", F.when(F.col("c").isNotNull(), F.size("c.items")).otherwise(-1).alias("items"))
 
 
-VOICES = values("vo", "id, name, quality, code, family, size_bytes, num_speakers", "('cs_CZ-jirka-medium', 'jirka', 'medium', 'cs_CZ', 'cs', 63000000, 1)", "('hu_HU-anna-low', 'anna', 'low', 'hu_HU', 'hu', 0, 1)", "('hu_HU-imre-medium', 'imre', 'medium', 'hu_HU', 'hu', 60000000, 1)", "('hu_HU-multi-medium', 'multi', 'medium', 'hu_HU', 'hu', 1, 4)")
+VOICES = values("vo", "id, name, quality, code, family, size_bytes, num_speakers", "('cs_CZ-jirka-medium', 'jirka', 'medium', 'cs_CZ', 'cs', 63000000, 1)", "('hu_HU-anna-low', 'anna', 'low', 'hu_HU', 'hu', 0, 1)", "('hu_HU-imre-medium', 'imre', 'medium', 'hu_HU', 'hu', 60000000, 1)", "('hu_HU-multi-medium', 'multi', 'medium', 'hu_HU', 'hu', 1, 4)",
+    more=f"""SELECT 'nl_NL-v' || CAST(p_partkey AS STRING) || '-medium', 'v' || CAST(p_partkey AS STRING), CASE p_partkey % 2 WHEN 0 THEN 'medium' ELSE 'low' END, 'nl_NL', 'nl', CAST(p_partkey % 4 * 10000000 AS INT), 1 FROM part""",
+)
 
 
 @register("default_voice", "SELECT * FROM (VALUES ('cs', 'cs_CZ-jirka-medium'), ('hu', 'hu_HU-imre-medium'), ('xx', 'en_US-ryan-high'), ('de', 'en_US-ryan-high')) t(language, voice)")
 def default_voice(spark, sf_dir: str) -> DataFrame:
     """[A10] The default voice of languages."""
-    wanted, catalogue, preferred = frames(spark, values("w", "language", "('cs')", "('hu')", "('xx')", "('de')"), VOICES, values("p", "language, id", "('cs', 'cs_CZ-jirka-medium')", "('de', 'de_DE-thorsten-high')"))
+    wanted, catalogue, preferred = frames(spark, values("w", "language", "('cs')", "('hu')", "('xx')", "('de')"), VOICES, values("p", "language, id", "('cs', 'cs_CZ-jirka-medium')", "('de', 'de_DE-thorsten-high')"), sf_dir=sf_dir)
     return catalogs.default_voices(wanted, catalogue, preferred, "en_US-ryan-high")
 
 
+INSTALLED = values("inst", "id", "('hu_HU-anna-low')", "('sk_SK-lili-medium')", more="SELECT CASE p_partkey % 2 WHEN 0 THEN 'nl_NL' ELSE 'nb_NO' END || '-v' || CAST(p_partkey AS STRING) || '-medium' FROM part WHERE p_partkey % 3 = 0")
+
+
 @register(
     "voice_outer_join",
-    f"""WITH {VOICES}, inst AS (SELECT * FROM (VALUES ('hu_HU-anna-low'), ('sk_SK-lili-medium')) t(id)), j AS (SELECT coalesce(v.id, i.id) AS id, v.*EXCLUDE(id), i.id IS NOT NULL AS here FROM vo v FULL JOIN inst i ON v.id = i.id), c AS (SELECT *, coalesce(code, string_split(id, '-')[1]) AS c FROM j)
+    f"""WITH {VOICES}, {INSTALLED}, j AS (SELECT coalesce(v.id, i.id) AS id, v.*EXCLUDE(id), i.id IS NOT NULL AS here FROM vo v FULL JOIN inst i ON v.id = i.id), c AS (SELECT *, coalesce(code, string_split(id, '-')[1]) AS c FROM j)
 SELECT id, coalesce(name, string_split(id, '-')[2]) || CASE WHEN coalesce(quality, '') <> '' THEN ' · ' || quality ELSE '' END AS name, coalesce(family, string_split(c, '_')[1]) AS language, replace(c, '_', '-') AS locale, CASE WHEN here THEN 'downloaded' WHEN coalesce(size_bytes, 0) > 0 THEN printf('%.0f MB download', size_bytes / 1e6) ELSE '' END AS note FROM c""",
 )
 def voice_outer_join(spark, sf_dir: str) -> DataFrame:
     """[J10, U2] Voices of the catalogue and those installed."""
-    catalogue, installed = frames(spark, VOICES, values("inst", "id", "('hu_HU-anna-low')", "('sk_SK-lili-medium')"))
+    catalogue, installed = frames(spark, VOICES, INSTALLED, sf_dir=sf_dir)
     return catalogs.installed_and_catalogued(catalogue, installed)
 
 
@@ -437,20 +470,25 @@ def reused_sections(spark, sf_dir: str) -> DataFrame:
     return structure.reused_sections(*frames(spark, SECTIONS, CHAPTERS, sf_dir=sf_dir)).select("section_no")
 
 
-@register("scene_images", f"WITH {SCENES}, {IMAGES}, s AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY scene_no) AS k FROM sc), i AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY position) AS k FROM im) SELECT s.chapter, s.scene_no, i.file FROM s LEFT JOIN i USING (chapter, k)")
+@register("scene_images", f"WITH {SCENES}, {IMAGES}, s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chapter ORDER BY scene_no) AS k FROM sc), i AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chapter ORDER BY position) AS k FROM im) SELECT s.chapter, s.scene_no, i.file FROM s LEFT JOIN i USING (doc_id, chapter, k)")
 def scene_images(spark, sf_dir: str) -> DataFrame:
     """[J14] The k-th scene and the k-th image."""
-    scenes, images = frames(spark, SCENES, IMAGES)
+    scenes, images = frames(spark, SCENES, IMAGES, sf_dir=sf_dir)
     return figures.scene_images(scenes, images).select("chapter", "scene_no", "file")
 
 
-@register("picture_files", "SELECT * FROM (VALUES (1, 'own.png'), (2, 'made.png'), (3, NULL)) t(scene_no, file)")
+ILLUSTRATED = values(
+    "il", "scene_no, prompt, placement, book_image", "(1, 'p', 'left', 'own.png')", "(2, 'p', 'left', 'gone.png')", "(3, 'p', 'full', '')",
+    more=f"""SELECT {_TURN}, 'p' || CAST(length(text) % 90 AS STRING), CASE turn % 2 WHEN 0 THEN 'left' ELSE 'full' END, CASE conv_id % 2 WHEN 0 THEN 'f' || CAST(conv_id AS STRING) || '.png' ELSE '' END {_SAID}""",
+)
+OWN = values("ow", "file", "('own.png')", more=f"SELECT DISTINCT 'f' || CAST(conv_id AS STRING) || '.png' {_SAID} AND conv_id % 3 = 0")
+MADE = values("md", "prompt, placement, file", "('p', 'left', 'made.png')", more=f"SELECT DISTINCT 'p' || CAST(length(text) % 60 AS STRING), 'left', 'm' || CAST(length(text) % 60 AS STRING) || '.png' {_SAID}")
+
+
+@register("picture_files", f"WITH {ILLUSTRATED}, {OWN}, {MADE} SELECT scene_no, coalesce(ow.file, md.file) AS file FROM il LEFT JOIN ow ON ow.file = book_image LEFT JOIN md USING (prompt, placement)")
 def picture_files(spark, sf_dir: str) -> DataFrame:
     """[J7, B4] The file of every illustration."""
-    scenes, own, made = frames(
-        spark, values("s", "scene_no, prompt, placement, book_image", "(1, 'p', 'left', 'own.png')", "(2, 'p', 'left', 'gone.png')", "(3, 'p', 'full', '')"), values("o", "file", "('own.png')"), values("m", "prompt, placement, file", "('p', 'left', 'made.png')")
-    )
-    return figures.picture_files(scenes, own, made).select("scene_no", "file")
+    return figures.picture_files(*frames(spark, ILLUSTRATED, OWN, MADE, sf_dir=sf_dir)).select("scene_no", "file")
 
 
 TAGS = values("tg", "id, title, album, track, author", "(1, 'T', 'A', 3, 'X Y')", "(2, 'T', 'A', 4, '')",
@@ -460,8 +498,10 @@ register("audio_tags", f"WITH {TAGS} SELECT id, k AS tag, v AS value FROM (SELEC
     on(TAGS, lambda d: d.select("id", F.explode(media.audio_tags(F.col("title"), F.col("album"), F.col("track"), F.col("author"))).alias("tag", "value")))
 )
 
-PLAIN = values("pn", "id, v", "(1, CAST(1234567.5 AS DOUBLE))", "(2, CAST(12.0 AS DOUBLE))", "(3, CAST(0.256 AS DOUBLE))", "(4, CAST(1000 AS DOUBLE))")
-register("plain_numbers", "SELECT * FROM (VALUES (1, '1 234 567.5'), (2, '12'), (3, '0.26'), (4, '1 000')) t(id, number)")(on(PLAIN, lambda d: d.select("id", timing.plain_number(F.col("v")).alias("number"))))
+PLAIN = values("pn", "id, v", "(1, CAST(1234567.5 AS DOUBLE))", "(2, CAST(12.0 AS DOUBLE))", "(3, CAST(0.256 AS DOUBLE))", "(4, CAST(1000 AS DOUBLE))",
+    more=f"""SELECT CAST(1000 + o_orderkey AS INT), CAST(o_totalprice AS DOUBLE) * (1 + o_orderkey % 7) FROM orders""",
+)
+register("plain_numbers", f"WITH {PLAIN} SELECT id, rtrim(rtrim(replace(format('{{:,.2f}}', v), ',', ' '), '0'), '.') AS number FROM pn")(on(PLAIN, lambda d: d.select("id", timing.plain_number(F.col("v")).alias("number"))))
 
 DIAGRAMS = values("dg", "diagram_id, type, item_no, value, captioned", *[f"({d}, '{t}', {k}, CAST({v} AS DOUBLE), {c})" for d, (t, n, c) in enumerate([("flow", 3, "false"), ("bars", 3, "true"), ("comparison", 2, "false"), ("timeline", 4, "true")], 1) for k in range(n) for v in [(k + 1) * 5]],
     more=f"""SELECT CAST(1000 + conv_id AS INT), CASE conv_id % 4 WHEN 0 THEN 'flow' WHEN 1 THEN 'bars' WHEN 2 THEN 'comparison' ELSE 'timeline' END, CAST(turn AS INT), CAST(length(text) AS DOUBLE), conv_id % 3 = 0 {_SAID} AND turn < 5""",
@@ -481,15 +521,21 @@ def diagram_boxes(spark, sf_dir: str) -> DataFrame:
     return diagrams.item_boxes(rows, 1600, 900).select("diagram_id", "item_no", F.round("box.x", 4).alias("x"), F.round("box.w", 4).alias("width"), "color")
 
 
-ANSWERS = values("an", "doc_id, number, segment_no, answer, title", """(1, 1, 1, '{"scenes": [{"title": " A ", "bullets": [" x ", "", "y"], "narration": "one"}, {"title": "B", "bullets": [], "narration": " "}]}', 'T')""", """(1, 2, 1, 'broken', 'Second')""")
+ANSWERS = values("an", "doc_id, number, segment_no, answer, title", """(1, 1, 1, '{"scenes": [{"title": " A ", "bullets": [" x ", "", "y"], "narration": "one"}, {"title": "B", "bullets": [], "narration": " "}]}', 'T')""", """(1, 2, 1, 'broken', 'Second')""",
+    more=f"""SELECT CAST(1000 + conv_id AS INT), CAST(turn + 1 AS INT), 1, CASE turn % 3 WHEN 2 THEN substring(text, 1, 20) ELSE '{{"scenes": [{{"title": " T' || CAST(turn AS STRING) || '", "bullets": ["x"], "narration": " said ' || CAST(length(text) AS STRING) || ' "}}, {{"title": "none", "narration": ""}}]}}' END, 'Chapter ' || CAST(turn AS STRING) {_SAID}""",
+)
 
 
-@register("script_fallback", "SELECT * FROM (VALUES (1, 1, 'ai', 'A', 'one'), (1, 2, 'extractive', 'Second', 'Some words.')) t(doc_id, number, source, title, narration)")
+@register(
+    "script_fallback",
+    f"""SELECT * FROM (VALUES (1, 1, 'ai', 'A', 'one'), (1, 2, 'extractive', 'Second', 'Some words.')) t(doc_id, number, source, title, narration)
+UNION ALL SELECT CAST(1000 + conv_id AS INT), CAST(turn + 1 AS INT), CASE turn % 3 WHEN 2 THEN 'extractive' ELSE 'ai' END, CASE turn % 3 WHEN 2 THEN 'Chapter ' || turn ELSE 'T' || turn END, CASE turn % 3 WHEN 2 THEN 'Some words.' ELSE 'said ' || length(text) END {_SAID}""",
+)
 def script_fallback(spark, sf_dir: str) -> DataFrame:
     """[B1, B2, F12, D5] A model's scenes, or extractive ones where its answer cannot be used."""
     from leafmill.functions import ports
 
-    (rows,) = frames(spark, ANSWERS)
+    (rows,) = frames(spark, ANSWERS, sf_dir=sf_dir)
     sections = rows.withColumn("paragraphs", F.array(F.lit("Some words.")))
     found = ports.scenes_or_fallback(sections, seg.scenes(F.col("title"), F.col("paragraphs")))
     return found.select("doc_id", "number", "source", F.explode("scenes").alias("s")).select("doc_id", "number", "source", "s.title", "s.narration")
@@ -519,18 +565,21 @@ def heading_levels(spark, sf_dir: str) -> DataFrame:
     return outline.join(structure.heading_level(levels, "repeated").withColumnRenamed("level", "repeated"), "doc_id")
 
 
-PATHS = values("pa", "id, path, chars, images, drawings", "(1, '/a/b.c/My Book.pdf', 10, 1, 0)", "(2, 'x.txt', 10, 0, 21)", "(3, '\"/q d/e.md\"', 30, 5, 50)", "(4, 'file:///tmp/a%20b.txt', 0, 0, 3)", "(5, '/n/.hidden', 0, 0, 0)")
+PATHS = values("pa", "id, path, chars, images, drawings", "(1, '/a/b.c/My Book.pdf', 10, 1, 0)", "(2, 'x.txt', 10, 0, 21)", "(3, '\"/q d/e.md\"', 30, 5, 50)", "(4, 'file:///tmp/a%20b.txt', 0, 0, 3)", "(5, '/n/.hidden', 0, 0, 0)",
+    more=f"""SELECT {_TURN}, CASE turn % 3 WHEN 0 THEN '/data/' || CAST(conv_id AS STRING) || '/Turn ' || CAST(turn AS STRING) || '.v' || CAST(turn AS STRING) || '.pdf' WHEN 1 THEN '"/q ' || CAST(conv_id AS STRING) || '/e.md"' ELSE 'file:///tmp/a%20' || CAST(conv_id AS STRING) || '.txt' END, CAST(length(text) % 50 AS INT), CAST(conv_id % 2 AS INT), CAST(length(text) % 40 AS INT) {_SAID}""",
+)
 
 
 @register(
     "path_intake",
-    "SELECT * FROM (VALUES (1, '/a/b.c/My Book.pdf', '/a/b.c/My Book_audio', true), (2, 'x.txt', 'x_audio', true), (3, '/q d/e.md', '/q d/e_audio', false), (4, '/tmp/a b.txt', '/tmp/a b_audio', false), (5, '/n/.hidden', '/n/.hidden_audio', false)) t(id, path, folder, recognise)",
+    f"""WITH {PATHS}, b AS (SELECT *, CASE WHEN path LIKE 'file://%' THEN replace(regexp_replace(path, '^file://[^/]*', ''), '%20', ' ') ELSE trim(path, '"') END AS bare FROM pa)
+SELECT id, bare AS path, regexp_replace(bare, '([^/])\\.[^./]*$', '\\1') || '_audio' AS folder, chars < 25 AND (images > 0 OR drawings > 20) AS recognise FROM b""",
 )
 def path_intake(spark, sf_dir: str) -> DataFrame:
     """[S17, X10, F10] Paths as given, output folders, and pages that need character recognition."""
     from leafmill.sources import sinks
 
-    (rows,) = frames(spark, PATHS)
+    (rows,) = frames(spark, PATHS, sf_dir=sf_dir)
     rows = rows.withColumn("path", sinks.local_path(F.col("path")))
     return rows.select("id", "path", sinks.output_dir(F.col("path"), "audio").alias("folder"), sinks.needs_recognition(F.col("chars"), F.col("images"), F.col("drawings")).alias("recognise"))
 
