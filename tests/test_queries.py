@@ -6,7 +6,7 @@ import pytest
 from leafmill.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "conversations", "labels", "benchmark", "embeddings")
+TABLES = ("documents", "pages", "conversations", "labels", "benchmark", "embeddings", "part", "orders")
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 
