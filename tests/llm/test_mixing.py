@@ -37,15 +37,41 @@ def test_targets_stop_and_reshare(spark):
         assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s], rel=1e-9) for s in want)
 
 
-@pytest.mark.parametrize("ratio", [1e-9, 0.1, 0.5, 1.0, 1.9, 2.0, 50.0])
-def test_multiplier_solves_the_dual(spark, ratio):
-    from pyspark.sql import functions as F
-
-    m = spark.range(1).select(M.multiplier(F.lit(ratio)).alias("m")).first().m
-    assert math.exp(m) == pytest.approx(ratio, rel=1e-9)
-    cells = spark.createDataFrame([([0], 1000.0)], "idx array<int>, tokens double")
-    if ratio <= 2:
-        assert math.exp(M.balance(cells, [1000 * ratio])[0]) == pytest.approx(ratio, abs=1e-9)
+def test_multipliers_solve_the_dual_in_rounds_over_tables(spark):
+    """Constraints of their own cells: any number of them, null names too, far from 1 or near it."""
+    ratios = {None: 0.3, "tiny": 1e-9, "one": 1.0, "two": 2.0, "large": 50.0} | {f"s{k}": 0.05 + k % 37 / 20 for k in range(2000)}
+    cells = spark.createDataFrame([([n], 900.0) for n in ratios] + [([n], 100.0) for n in ratios], "names array<string>, tokens double")
+    goals = spark.createDataFrame([(n, 1000.0 * r) for n, r in ratios.items()], "name string, goal double")
+    got = {r.name: r.multiplier for r in M.multipliers(cells, goals).collect()}
+    assert got.keys() == ratios.keys() and all(math.exp(got[n]) == pytest.approx(r, rel=1e-9) for n, r in ratios.items())
+
+
+def test_query_takes_its_rates_from_the_newton_rounds(spark, monkeypatch):
+    calls = []
+    solve = M.multipliers
+    monkeypatch.setattr(M, "multipliers", lambda *a, **b: calls.append(1) or solve(*a, **b))
+    M.query(spark, "/root/testdata/sf0.001").count()
+    assert calls == [1]
+
+
+def test_shares_of_another_column(spark):
+    """Sources and languages at once: each total is met but for half a document in each cell."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    parts = {"en": 0.5, "de": 0.2}
+    rows = M.decisions(docs, shares={"lang": parts}).collect()
+    again = {r.id: r.copies for r in M.decisions(docs, shares={"lang": parts}).collect()}
+    facts = {d.doc_id: d for d in docs.collect()}
+    assert len(rows) == len(facts) and all(again[r.id] == r.copies for r in rows)
+    source, lang, goal, longest = {}, {}, {}, max(r.size for r in rows)
+    for r in rows:
+        d = facts[r.id]
+        source[d.source] = source.get(d.source, 0) + r.size * r.copies
+        lang[d.lang] = lang.get(d.lang, 0) + r.size * r.copies
+        goal[d.source] = r.target
+    slack = longest / 2 * len({(d.source, d.lang) for d in facts.values()})
+    assert all(abs(source[s] - goal[s]) <= slack for s in goal)
+    assert all(abs(lang[v] - p * sum(goal.values())) <= slack for v, p in parts.items())
+    assert abs(lang["en"] / sum(lang.values()) - 0.5) < 0.02
 
 
 def test_query_meets_targets_and_reruns_agree(spark):

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "embeddings"):
+    for t in ("documents", "benchmark", "pages", "embeddings", "conversations", "clients", "vendors"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = registry.queries()[name](spark, SF), con.sql(registry.oracle_sql()[name])
     order = sorted(got.columns)
@@ -18,4 +18,4 @@ def test_equals_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert [n.split("_")[0] for n in registry.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in registry.queries()] == [f"op{k}" for k in range(1, 14)]
