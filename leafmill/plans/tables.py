@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill import constants as C
-from leafmill.functions import ports, text, timing
+from leafmill.functions import answers, ports, text, timing
 from leafmill.operators import calls, structure
 from leafmill.operators.running import running_totals
 from leafmill.plans import sql
@@ -174,6 +174,26 @@ def audio_progress(spark, sf_dir: str) -> DataFrame:
     return done.join(total, "conv_id").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("number"), "done", "total")
 
 
+_ANSWER = """'{"scenes": [{"title": "T' || CAST(turn AS STRING) || '", "bullets": ["a", "b"], "narration": "' || role || '"}, {"title": "U", "bullets": [' || CASE conv_id % 4 WHEN 1 THEN '1' ELSE '"c"' END || '], "narration": "said ' || CAST(length(text) AS STRING) || '"}' || CASE conv_id % 4 WHEN 2 THEN ', {"title": "V", "bullets": []}' ELSE '' END || ']}'"""
+
+
+@register(
+    "answer_verdicts",
+    f"""WITH w AS (SELECT conv_id, turn, {_ANSWER} AS whole, length(text) % 250 AS stop FROM conversations), a AS (SELECT *, CASE turn % 4 WHEN 3 THEN replace(whole, '": [', '"; [') ELSE substring(whole, 1, CAST(stop AS INT)) END AS answer FROM w),
+v AS (SELECT *, CASE WHEN turn % 4 = 3 THEN 'malformed' WHEN json_valid(answer) THEN 'whole' ELSE 'cut' END AS verdict FROM a)
+SELECT conv_id, turn, verdict, CASE WHEN verdict = 'whole' AND conv_id % 4 = 1 THEN '$.scenes[1].bullets[0]' WHEN verdict = 'whole' AND conv_id % 4 = 2 THEN '$.scenes[2].narration' END AS fault,
+  CASE WHEN verdict = 'malformed' THEN 0 ELSE len(regexp_extract_all(answer, '"narration": "[^"]*"}}')) END AS kept FROM v""",
+)
+def answer_verdicts(spark, sf_dir: str) -> DataFrame:
+    """[H11, P14, B2] Answers made of every turn, cut at all lengths or broken: the verdict, the field at fault, and the scenes that can be kept."""
+    turns = table(spark, sf_dir, "conversations").withColumns({"whole": F.expr(_ANSWER), "stop": (F.length("text") % 250).cast("int")})
+    answer = F.when(F.col("turn") % 4 == 3, F.replace("whole", F.lit('": ['), F.lit('"; ['))).otherwise(F.substring("whole", F.lit(1), F.col("stop")))
+    found = turns.select("conv_id", "turn", answer.alias("answer")).withColumn("j", answers.judged(answers.SCENES)(F.col("answer")))
+    scenes = F.from_json(answers.mended(F.col("answer")), "scenes array<struct<title:string,narration:string>>")["scenes"]
+    kept = F.when(F.col("j.verdict") == "malformed", 0).otherwise(F.coalesce(F.size(F.filter(scenes, lambda s: s["narration"].isNotNull())), F.lit(0)))
+    return found.select("conv_id", "turn", "j.verdict", "j.fault", kept.cast("long").alias("kept"))
+
+
 @register("cached_speech", r"SELECT conv_id, turn, greatest(0.5, len(regexp_extract_all(text, '\S+')) / 2.5) AS seconds FROM conversations")
 def cached_speech(spark, sf_dir: str) -> DataFrame:
     """[B5, B3, D1] Seconds of speech of every turn, from a speech engine that is called once for each distinct text, a few at a time."""
