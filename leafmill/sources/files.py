@@ -69,6 +69,30 @@ def packed_chapters(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(parse, f"{CHAPTERS}, error string")
 
 
+PICTURES = "doc_id string, author string, number int, position int, file string, caption string, content binary"
+
+
+def packed_pictures(files: DataFrame) -> DataFrame:
+    """[S4, S5, X29, K5] The pictures of word-processor files and e-books with their chapters' numbers and captions; a row without a picture tells the author of each file.
+
+    Files that cannot be read have no rows here; :func:`packed_chapters` says what is wrong with them.
+    """
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, raw in zip(batch["path"], batch["content"], strict=True):
+                stem, suffix = posixpath.splitext(posixpath.basename(path))
+                try:
+                    read = markup.docx_contents if suffix.lower() == ".docx" else markup.epub_contents
+                    _, author, _, pictures = read(bytes(raw), stem)
+                except Exception:  # noqa: S112  a damaged file, told of by packed_chapters
+                    continue
+                rows = [(path, author, None, None, None, None, None), *((path, author, n, k, name, caption, data) for k, (n, name, caption, data) in enumerate(pictures, 1))]
+                yield pd.DataFrame(rows, columns=["doc_id", "author", "number", "position", "file", "caption", "content"]).astype({"number": "Int32", "position": "Int32"})
+
+    return files.select("path", "content").mapInPandas(parse, PICTURES)
+
+
 def page_chapters(files: DataFrame) -> DataFrame:
     """[S6] Chapters from (path, content) of PDF files, by outline or large headings; a file that cannot be read is one row with ``error``."""
     parts = pdf.file_parts(files)

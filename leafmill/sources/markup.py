@@ -241,14 +241,28 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 HEADING_STYLE = re.compile(r"^(?:heading|nadpis|überschrift|berschrift|titre|título|titulo)\s*(\d)", re.IGNORECASE)
 
 
-def docx_paragraphs(data: bytes) -> tuple[str, list[tuple[int | None, str]]]:
-    """[S4] Core title and (level or null, text) of a word-processor file's paragraphs; 0 is the title style."""
+_A, _R, _WP = "{http://schemas.openxmlformats.org/drawingml/2006/main}", "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}", "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}"
+#: Pictures of a chapter of an e-book that are kept.
+MOST_PICTURES = 6
+Picture = tuple[int, str, str, bytes]
+
+
+def docx_paragraphs(data: bytes) -> tuple[str, str, list[tuple[int | None, str, list[tuple[str, str, bytes]]]]]:
+    """[S4, X29] Core title, author, and (level or null, text, pictures) of a word-processor file's paragraphs; 0 is the title style.
+
+    A picture has its name, its alternative text and its bytes; one that is only linked is left out.
+    """
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
-        title = ""
+        title = author = ""
         if "docProps/core.xml" in names:
-            found = ElementTree.fromstring(z.read("docProps/core.xml")).find("{http://purl.org/dc/elements/1.1/}title")
-            title = (found.text or "").strip() if found is not None else ""
+            core = ElementTree.fromstring(z.read("docProps/core.xml"))
+            title, author = ((x.text or "").strip() if (x := core.find(f"{{http://purl.org/dc/elements/1.1/}}{tag}")) is not None else "" for tag in ("title", "creator"))
+        targets: dict[str, str] = {}
+        if "word/_rels/document.xml.rels" in names:
+            for x in ElementTree.fromstring(z.read("word/_rels/document.xml.rels")).iter():
+                if x.get("Id") and x.get("TargetMode") != "External":
+                    targets[x.get("Id")] = posixpath.normpath(posixpath.join("word", x.get("Target", "")) if not x.get("Target", "").startswith("/") else x.get("Target")[1:])
         styles: dict[str, str] = {}
         if "word/styles.xml" in names:
             for style in ElementTree.fromstring(z.read("word/styles.xml")).iter(f"{_W}style"):
@@ -261,26 +275,44 @@ def docx_paragraphs(data: bytes) -> tuple[str, list[tuple[int | None, str]]]:
             name = styles.get(style.get(f"{_W}val", ""), style.get(f"{_W}val", "")) if style is not None else ""
             match = HEADING_STYLE.match(name)
             level = int(match[1]) if match else 0 if name.lower() == "title" else int(outline.get(f"{_W}val", "9")) + 1 if outline is not None else None
-            out.append((level, squeeze(text)))
-    return title, out
+            pictures = []
+            for drawing in p.iter(f"{_W}drawing"):
+                blip, said = next(drawing.iter(f"{_A}blip"), None), next(drawing.iter(f"{_WP}docPr"), None)
+                name = targets.get(blip.get(f"{_R}embed", "")) if blip is not None else None
+                if name in names:
+                    pictures.append((posixpath.basename(name), squeeze(said.get("descr", "") if said is not None else ""), z.read(name)))
+            out.append((level, squeeze(text), pictures))
+    return title, author, out
 
 
-def docx_chapters(data: bytes, stem: str) -> tuple[str, list[tuple[str, list[str]]]]:
-    """[S4, A7] Title and (title, paragraphs) chapters: the smallest level used twice, else the smallest, begins them."""
-    title, paras = docx_paragraphs(data)
-    levels = [lv for lv, t in paras if lv and t]
+def docx_contents(data: bytes, stem: str) -> tuple[str, str | None, list[tuple[str, list[str]]], list[Picture]]:
+    """[S4, A7, X29] Title, author, (title, paragraphs) chapters and their pictures: the smallest level used twice, else the smallest, begins chapters.
+
+    A picture has the number of its chapter, its name, caption and bytes.
+    """
+    title, author, paras = docx_paragraphs(data)
+    levels = [lv for lv, t, _ in paras if lv and t]
     chapter = next((x for x in sorted(set(levels)) if levels.count(x) >= 2), min(levels, default=None))
-    title = title or next((t for lv, t in paras if lv == 0 and t), "") or stem
+    title = title or next((t for lv, t, _ in paras if lv == 0 and t), "") or stem
     chapters: list[tuple[str, list[str]]] = []
-    for level, text in paras:
-        if not text or (level == 0 and text == title):
+    pictures: list[Picture] = []
+    for level, text, shown in paras:
+        if not shown and (not text or (level == 0 and text == title)):
             continue
-        if chapter is not None and level == chapter:
+        if chapter is not None and level == chapter and text:
             chapters.append((text, []))
-            continue
+            text = ""
         if not chapters:
             chapters.append((title, []))
-        chapters[-1][1].append(text)
+        if text and not (level == 0 and text == title):
+            chapters[-1][1].append(text)
+        pictures += [(len(chapters), *x) for x in shown]
+    return title, author or None, chapters, pictures
+
+
+def docx_chapters(data: bytes, stem: str) -> tuple[str, list[tuple[str, list[str]]]]:
+    """[S4] Title and chapters of :func:`docx_contents`."""
+    title, _, chapters, _ = docx_contents(data, stem)
     return title, chapters
 
 
@@ -298,8 +330,8 @@ def flatten_toc(node, depth: int = 0) -> list[tuple[int, str, str]]:
     return out
 
 
-def epub_chapters(data: bytes, stem: str) -> tuple[str, str | None, list[tuple[str, list[str]]]]:
-    """[S5, J11] Title, author and (title, paragraphs) chapters of an e-book, in the order of its spine.
+def epub_contents(data: bytes, stem: str) -> tuple[str, str | None, list[tuple[str, list[str]]], list[Picture]]:
+    """[S5, J11, X29] Title, author, (title, paragraphs) chapters and their pictures, of an e-book in the order of its spine.
 
     Chapters begin where entries of the contents' chapter level point, at a file or at the first block at or after
     a fragment; without contents each file that has a first or second heading begins one.
@@ -330,6 +362,8 @@ def epub_chapters(data: bytes, stem: str) -> tuple[str, str | None, list[tuple[s
                 file, _, fragment = href.partition("#")
                 starts.setdefault(posixpath.normpath(file), {}).setdefault(fragment or None, name)
         chapters: list[tuple[str, list[str]]] = []
+        pictures: list[Picture] = []
+        inside = set(z.namelist())
         for ref in package.iter(f"{_OPF}itemref"):
             item = items.get(ref.get("idref"))
             if item is None or "html" not in (item.get("media-type") or "") or "nav" in (item.get("properties") or "").split():
@@ -343,9 +377,17 @@ def epub_chapters(data: bytes, stem: str) -> tuple[str, str | None, list[tuple[s
             for b in blocks:
                 for name in (own[i] for i in b["ids"] if i in own):
                     chapters.append((name, []))
-                if b["tag"] == "img" or not b["text"]:
-                    continue
-                if not chapters:
+                if not chapters and (b["tag"] == "img" or b["text"]):
                     chapters.append((title, []))
-                chapters[-1][1].append(b["text"])
-    return title, author, chapters
+                if b["tag"] == "img":
+                    name = posixpath.normpath(posixpath.join(posixpath.dirname(path), unquote(b["src"])))
+                    if b["src"] and name in inside and sum(n == len(chapters) for n, *_ in pictures) < MOST_PICTURES:
+                        pictures.append((len(chapters), posixpath.basename(name), b["text"], z.read(name)))
+                elif b["text"]:
+                    chapters[-1][1].append(b["text"])
+    return title, author, chapters, pictures
+
+
+def epub_chapters(data: bytes, stem: str) -> tuple[str, str | None, list[tuple[str, list[str]]]]:
+    """[S5] Title, author and chapters of :func:`epub_contents`."""
+    return epub_contents(data, stem)[:3]

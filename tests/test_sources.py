@@ -122,3 +122,35 @@ def test_ports(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "")], "i int, t string")
     assert {r.i: r.o for r in ports.apply_port(df, lambda t: t.upper(), ["t"], "o").collect()} == {1: "A B", 2: None}
     assert df.where("i = 1").select(ports.speech_seconds()(F.col("t")).alias("s")).first().s == 0.8
+
+
+def test_pictures_captions_and_authors(spark):
+    """Pictures stand in their chapters with alternative text or caption; linked ones and more than six of a chapter of an e-book do not."""
+    out = io.BytesIO()
+    w, a, r, wp = (f"http://schemas.openxmlformats.org/{x}" for x in ("wordprocessingml/2006/main", "drawingml/2006/main", "officeDocument/2006/relationships", "drawingml/2006/wordprocessingDrawing"))
+    head = lambda t: f'<w:p><w:pPr><w:pStyle w:val="H"/></w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
+    drawing = lambda i, alt: f'<w:p><w:r><w:drawing><wp:docPr id="1" descr="{alt}"/><a:blip r:embed="{i}"/></w:drawing></w:r></w:p>'
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}" xmlns:a="{a}" xmlns:r="{r}" xmlns:wp="{wp}"><w:body>{head("Alpha")}{drawing("x1", "A red  square")}{head("Beta")}<w:p><w:r><w:t>Text.</w:t></w:r></w:p>{drawing("x2", "linked")}</w:body></w:document>')
+        z.writestr("word/styles.xml", f'<w:styles xmlns:w="{w}"><w:style w:styleId="H"><w:name w:val="heading 1"/></w:style></w:styles>')
+        z.writestr("word/_rels/document.xml.rels", '<Relationships><Relationship Id="x1" Target="media/a.png"/><Relationship Id="x2" Target="http://x/b.png" TargetMode="External"/></Relationships>')
+        z.writestr("word/media/a.png", b"PNG")
+        z.writestr("docProps/core.xml", '<c xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:creator>A. Writer</dc:creator></c>')
+    book_out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(epub())) as old, zipfile.ZipFile(book_out, "w") as z:
+        for name in old.namelist():
+            z.writestr(name, old.read(name))
+        z.writestr("OEBPS/i/p 1.png", b"ONE")
+    data = book_out.getvalue()
+    many = "".join('<img src="i/p%201.png" alt="again"/>' for _ in range(9))
+    with zipfile.ZipFile(io.BytesIO(data)) as old, zipfile.ZipFile(again := io.BytesIO(), "w") as z:
+        for name in old.namelist():
+            z.writestr(name, old.read(name) if not name.endswith("a.xhtml") else f'<body><p>x</p><figure><img src="i/p%201.png" alt="alt"/><figcaption>The caption</figcaption></figure><img src="gone.png"/>{many}</body>')
+    rows = [("d.docx", out.getvalue()), ("e.epub", again.getvalue()), ("bad.docx", b"x")]
+    got = files.packed_pictures(spark.createDataFrame(rows, "path string, content binary")).collect()
+    assert {(x.doc_id, x.author) for x in got if x.number is None} == {("d.docx", "A. Writer"), ("e.epub", "A. Writer")}
+    assert [(x.number, x.file, x.caption, bytes(x.content)) for x in got if x.doc_id == "d.docx" and x.number] == [(1, "a.png", "A red square", b"PNG")]
+    shown = [(x.number, x.file, x.caption) for x in got if x.doc_id == "e.epub" and x.number]
+    assert shown == [(1, "p 1.png", "The caption")] + [(1, "p 1.png", "again")] * 5
+    chapters = files.packed_chapters(spark.createDataFrame(rows, "path string, content binary")).where("error is null").collect()
+    assert [(r.title, r.paragraphs) for r in chapters if r.doc_id == "d.docx"] == [("Alpha", []), ("Beta", ["Text."])]
