@@ -6,6 +6,7 @@ rows. First it is found where something begins, from lengths alone, and then the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,8 +21,8 @@ from leafmill.scratch import remove, written
 State = tuple
 
 
-def carried(rows: DataFrame, group: list[str], order: list[Column], inputs: list[str], start: State, step: Callable[[State, tuple], tuple[State, int]], name: str) -> DataFrame:
-    """``rows`` with the int column ``name``: what ``step`` says of each row, from the state before it and the row's ``inputs``.
+def carried(rows: DataFrame, group: list[str], order: list[Column], inputs: list[str], start: State, step: Callable[[State, tuple], tuple[State, float]], name: str, kind: str = "int") -> DataFrame:
+    """``rows`` with the column ``name``, an int or a double: what ``step`` says of each row, from the state before it and the row's ``inputs``.
 
     ``step`` gives the next state, a small tuple, and the row's number; each group begins with ``start``. Rows are dealt
     to range partitions by group and order and folded where they stand, with the state that the partition before leaves when the
@@ -39,7 +40,7 @@ def carried(rows: DataFrame, group: list[str], order: list[Column], inputs: list
     parts = sorted(groups)
     begun: dict[int, State] = dict.fromkeys(parts, start)
     while True:
-        folded, folded_path = written(_folded(narrow, inputs, begun, start, step, name), "folded")
+        folded, folded_path = written(_folded(narrow, inputs, begun, start, step, name, kind), "folded")
         ends = {r["__part"]: tuple(r.state) for r in folded.where("state is not null").select("__part", F.from_json("state", "array<double>").alias("state")).collect()}
         follows = {p: ends[q] if groups[q][1] == groups[p][0] else start for q, p in zip(parts, parts[1:], strict=False)}
         wrong = {p: s for p, s in follows.items() if tuple(map(float, begun[p])) != tuple(map(float, s))}
@@ -52,8 +53,9 @@ def carried(rows: DataFrame, group: list[str], order: list[Column], inputs: list
     return placed.join(found, F.col("__n") == F.col("__m")).select(*own, name)
 
 
-def _folded(narrow: DataFrame, inputs: list[str], begun: dict[int, State], start: State, step: Callable, name: str) -> DataFrame:
+def _folded(narrow: DataFrame, inputs: list[str], begun: dict[int, State], start: State, step: Callable, name: str, kind: str) -> DataFrame:
     """(part, n, result, null) of every row, and (part, null, null, state) of each partition's end."""
+    number = {"int": pa.int32(), "double": pa.float64()}[kind]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, group, state = None, None, start
@@ -70,12 +72,12 @@ def _folded(narrow: DataFrame, inputs: list[str], begun: dict[int, State], start
                 state, result = step(state, tuple(values))
                 results.append(result)
             n = len(ends)
-            columns = [pa.array([*batch.column(0).to_pylist(), *(p for p, _ in ends)], pa.int32()), pa.array([*batch.column(1).to_pylist(), *[None] * n], pa.int64()), pa.array([*results, *[None] * n], pa.int32())]
+            columns = [pa.array([*batch.column(0).to_pylist(), *(p for p, _ in ends)], pa.int32()), pa.array([*batch.column(1).to_pylist(), *[None] * n], pa.int64()), pa.array([*results, *[None] * n], number)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([*[None] * len(results), *(_json(s) for _, s in ends)], pa.string())], ["__part", "__n", name, "state"])
         if part is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([_json(state)], pa.string())], ["__part", "__n", name, "state"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([None], pa.int64()), pa.array([None], number), pa.array([_json(state)], pa.string())], ["__part", "__n", name, "state"])
 
-    return narrow.repartition("__part").sortWithinPartitions("__part", "__n").mapInArrow(batches, f"__part int, __n long, `{name}` int, state string")
+    return narrow.repartition("__part").sortWithinPartitions("__part", "__n").mapInArrow(batches, f"__part int, __n long, `{name}` {kind}, state string")
 
 
 def _json(state: State) -> str:
@@ -143,7 +145,7 @@ def row_chunks(paras: DataFrame, most: int = 1500) -> DataFrame:
 
 def _parting(most: float) -> Callable[[State, tuple], tuple[State, int]]:
     """The fold of ``segmentation.plan_parts``: 1 if a part begins with the row."""
-    aim = lambda rest: rest / -(-rest // most) if rest > most else rest
+    aim = lambda rest: rest / math.ceil(rest / most) if rest > most else rest
 
     def step(state: State, row: tuple) -> tuple[State, int]:
         rest, target, elapsed, ended, empty = state
@@ -160,8 +162,12 @@ def _parting(most: float) -> Callable[[State, tuple], tuple[State, int]]:
 
 
 def row_parts(items: DataFrame, order: str, most: float) -> DataFrame:
-    """[W1] ``items`` (doc_id, order, seconds, ends, ...) with ``part_no`` from 0, as ``segmentation.plan_parts`` gives it for the arrays of a document."""
-    total = items.groupBy(F.col("doc_id").alias("__doc")).agg(F.sum("seconds").alias("__total"))
+    """[W1] ``items`` (doc_id, order, seconds, ends, ...) with ``part_no`` from 0, as ``segmentation.plan_parts`` gives it for the arrays of a document.
+
+    A document's seconds are added up in its order, as the array's are: another order can end in another last bit, and so in other parts.
+    """
+    upto = carried(items.select("doc_id", order, "seconds"), ["doc_id"], [F.col(order).asc()], ["seconds"], (0.0,), lambda s, r: ((s[0] + r[0],), s[0] + r[0]), "__upto", "double")
+    total = upto.groupBy(F.col("doc_id").alias("__doc")).agg(F.max_by("__upto", order).alias("__total"))
     rows = items.join(total, F.col("doc_id") == F.col("__doc")).drop("__doc")
     begun = carried(rows, ["doc_id"], [F.col(order).asc()], ["seconds", "ends", "__total"], (0.0, 0.0, 0.0, 0.0, 1.0), _parting(float(most)), "__begins").drop("__total")
     return running_totals(begun, ["doc_id"], [F.col(order).asc()], {"part_no": F.col("__begins")}).withColumn("part_no", (F.col("part_no") - 1).cast("int")).drop("__begins")

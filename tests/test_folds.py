@@ -51,6 +51,14 @@ def test_rows_equal_arrays(spark, many_partitions):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plan.collect()))
 
 
+def test_parts_add_up_in_order(spark, many_partitions):
+    """0.1 + 0.2 + 0.3 is over 0.6, 0.3 + 0.2 + 0.1 is not."""
+    rows = [(d, k, x, False) for d in (1, 2, 3) for k, x in reversed(list(enumerate([0.1, 0.2, 0.3])))]
+    items = spark.createDataFrame(rows, "doc_id int, k int, seconds double, ends boolean").coalesce(1)
+    got = folds.row_parts(items, "k", 0.6).select("doc_id", "k", "part_no").collect()
+    assert sorted(map(tuple, got)) == [(d, k, k // 2) for d in (1, 2, 3) for k in range(3)]
+
+
 def test_carried_state_crosses_partitions(spark, many_partitions):
     """A fold that never forgets takes a round for each partition, and is right all the same."""
     rows = spark.range(2000).select((F.col("id") % 2).alias("g"), "id")
