@@ -26,12 +26,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by a similarity of 0.8 or more in five-word shingles.
+    """One document, that of the smallest id, of each group linked by SimHash fingerprints, as in op1, or by a similarity of 0.8 or more in five-word shingles.
 
+    Fingerprints link at three differing bits or fewer; near copies that lie further apart are found exactly by prefix filtering.
     Null and empty texts have no words; they are one group, of which one stays. A row is a
     document whatever other rows have its id; equal rows collapse to one. A row of null id goes if its group has a named member, and stays if it has none.
     """
-    return shingles.deduplicated(docs)
+    return shingles.deduplicated(docs, by_print=True)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,9 +79,9 @@ def _frequent(texts: DataFrame, width: int, seed: int) -> np.ndarray:
 
 
 def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = 42) -> tuple[DataFrame, str]:
-    """(id, fp, h, prefix, fine, p0 ...) per row of ``docs``, and the path of the table. Whole texts are cut into shingles once, here.
+    """(id, fp, sim, h, prefix, fine, p0 ...) per row of ``docs``, and the path of the table. Whole texts are cut into shingles once, here.
 
-    h is the shingle set, sorted; fp 64 bits that stand for it; prefix the shingles that two similar sets
+    h is the shingle set, sorted; fp 64 bits that stand for it; sim the text's SimHash fingerprint; prefix the shingles that two similar sets
     cannot both miss, the rarest first; the others its fine and coarse parity bits.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -105,11 +105,12 @@ def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
                 part = batch.slice(low, 64)
                 h = [hashes(t.as_py(), width, seed) for t in part.column(1)]
                 coarse = np.stack([parity(x) for x in h]).T
-                columns = [pa.array([_signed(x, seed) for x in h], pa.int64()), pa.array(h, longs), pa.array([prefix(x) for x in h], longs), pa.array([fine(x) for x in h], longs)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns, *map(pa.array, coarse)], ["id", "fp", "h", "prefix", "fine", *_PARITY])
+                sim = np.fromiter((simhash.fingerprint(t.as_py()) for t in part.column(1)), np.uint64, part.num_rows).view(np.int64)
+                columns = [pa.array([_signed(x, seed) for x in h], pa.int64()), pa.array(sim), pa.array(h, longs), pa.array([prefix(x) for x in h], longs), pa.array([fine(x) for x in h], longs)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns, *map(pa.array, coarse)], ["id", "fp", "sim", "h", "prefix", "fine", *_PARITY])
             common.give_back()
 
-    schema = ", ".join([f"id {id_type}, fp long, h array<long>, prefix array<long>, fine array<long>", *[f"{c} long" for c in _PARITY]])
+    schema = ", ".join([f"id {id_type}, fp long, sim long, h array<long>, prefix array<long>, fine array<long>", *[f"{c} long" for c in _PARITY]])
     return common.written(source.mapInArrow(batches, schema), "shingles")
 
 
@@ -209,19 +210,36 @@ def links(sets: DataFrame) -> DataFrame:
     return out
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = 42) -> DataFrame:
-    """(id, fp, component_id) for each row, as ``simhash.groups`` gives them; fp stands for the shingle set."""
+def print_links(prints: DataFrame) -> DataFrame:
+    """Pairs (u, v) of fp, of a table (fp, sim), that connect all texts whose SimHash fingerprints ``simhash.links`` links, or are equal.
+
+    One fp stands for all of a fingerprint, so there are no more pairs than rows and links of distinct fingerprints.
+    """
+    least, _ = common.written(prints.groupBy("sim").agg(F.min("fp").alias("least")), "prints")
+    same = prints.join(least, "sim").where("fp <> least").select(F.col("least").alias("u"), F.col("fp").alias("v"))
+    of = lambda side: least.select(F.col("sim").alias(side), F.col("least").alias(f"fp_{side}"))
+    near = simhash.links(least.select(F.col("sim").alias("fp"))).join(of("u"), "u").join(of("v"), "v").where("fp_u <> fp_v")
+    return same.union(near.select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v")))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = 42, by_print: bool = False) -> DataFrame:
+    """(id, fp, component_id) for each row, as ``simhash.groups`` gives them; fp stands for the shingle set.
+
+    With ``by_print`` also the links of SimHash fingerprints count, by the method and the limits of ``simhash``.
+    """
     sets, path = hashed(docs, id_col, text_col, width, seed)
     prints, _ = common.written(sets.select("id", "fp"), "fingerprints")
+    similar = common.written(sets.select("fp", "sim").distinct(), "prints")[0] if by_print else None
 
     def linked(_: DataFrame) -> DataFrame:
-        found = common.written(links(sets.drop("id")), "links")[0]
+        found = links(sets.drop("id"))
+        found = common.written(found if similar is None else found.union(print_links(similar)), "links")[0]
         common.remove(docs.sparkSession, path)
         return found
 
     return simhash.joined_groups(prints, linked)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = 42) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = 42, by_print: bool = False) -> DataFrame:
     """``docs`` with one document of each group, that with the smallest id, as ``simhash.deduplicated`` keeps them."""
-    return simhash.one_a_group(docs, groups(docs, id_col, text_col, width, seed), id_col, text_col, lambda t: key(t, width, seed))
+    return simhash.one_a_group(docs, groups(docs, id_col, text_col, width, seed, by_print), id_col, text_col, lambda t: key(t, width, seed))

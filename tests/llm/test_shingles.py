@@ -97,3 +97,12 @@ def test_rows_of_one_id_are_documents_of_their_own(spark):
     for order in (rows, rows[::-1]):
         kept = shingles.deduplicated(spark.createDataFrame(order, "doc_id long, text string"))
         assert sorted(tuple(r) for r in kept.collect()) == [(1, t), (2, x), (3, "a b c d e f"), (3, "g h i j k l")]
+
+
+def test_fingerprints_link_too(spark):
+    """A word said so often that it decides all bits, before tails that share no shingle: only SimHash links these texts."""
+    rows = [(7, "a " * 100 + "b c d e f g h i"), (3, "a " * 100 + "j k l m n o p q"), (4, "one two three four five six"), (5, "seven eight nine ten eleven"), (6, None), (8, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id: r.component_id for r in shingles.groups(docs).collect()} == {7: 7, 3: 3, 4: 4, 5: 5, 6: 6, 8: 6}
+    assert {r.id: r.component_id for r in shingles.groups(docs, by_print=True).collect()} == {7: 3, 3: 3, 4: 4, 5: 5, 6: 6, 8: 6}
+    assert {r.doc_id for r in P.drop_near_duplicates(spark, docs, SF).collect()} == {3, 4, 5, 6}
