@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import ctypes
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.memory import give_back
 from leafmill.scratch import remove, scratch_path, shared_dir, written
 
 __all__ = ["BITMAP_WORDS", "CRC32", "bitmap", "connected_components", "give_back", "hash_of", "may_hold", "parted", "remove", "scratch_path", "shared_dir", "written"]
@@ -16,14 +14,6 @@ __all__ = ["BITMAP_WORDS", "CRC32", "bitmap", "connected_components", "give_back
 CRC32 = """xor(list_reduce(list_transform(range(1, strlen({0}) + 1), lambda i: CAST(ord(substr({0}, i, 1)) AS BIGINT)), lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295), 4294967295)"""
 
 
-def give_back() -> None:
-    """Return freed memory of a Python worker to the system: workers live on from stage to stage, beside the JVM."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-    if trim:
-        trim(0)
-
-
 def hash_of(*columns: str) -> Column:
     """The first 64 bits of the MD5 of the columns as text, with colons between; null is like empty."""
     text = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
