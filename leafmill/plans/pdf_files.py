@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import text
+from leafmill.memory import give_back
 from leafmill.operators import figures
 from leafmill.plans.catalog import register
 from leafmill.session import table
@@ -32,7 +33,8 @@ def _stream(data: bytes, more: bytes = b"") -> bytes:
 def file_of(lines: list[str], title: str) -> bytes:
     """A PDF file with one line below the other: a large first line on each page, a gap behind each block, an outline of the first lines."""
     chars = {c: k for k, c in enumerate(sorted({c for line in lines for c in line}), 1)}
-    show = lambda s: b"<" + b"".join(b"%04X" % chars[c] for c in s) + b"> Tj"
+    codes = {ord(c): "%04X" % k for c, k in chars.items()}
+    show = lambda s: b"<" + s.translate(codes).encode() + b"> Tj"
     pages = [lines[k : k + PAGE] for k in range(0, len(lines), PAGE)] or [[]]
     named = [b"<%04X> <%s>" % (k, c.encode("utf-16-be", "surrogatepass").hex().encode()) for c, k in chars.items()]
     table_of = b"begincmap 1 begincodespacerange <0000> <FFFF> endcodespacerange " + b" ".join(b"%d beginbfchar %s endbfchar" % (len(named[k : k + 100]), b" ".join(named[k : k + 100])) for k in range(0, len(named), 100)) + b" endcmap"
@@ -79,6 +81,7 @@ def pdf_files(documents: DataFrame) -> DataFrame:
                 part = batch.slice(low, 100)
                 made = [None if x is None else file_of(x, f"Document {i}") for i, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], ["path", "content"])
+            give_back()
 
     return documents.select(F.col("doc_id").cast("string").alias("path"), lines.alias("lines")).mapInArrow(batches, "path string, content binary")
 
@@ -128,10 +131,10 @@ def pdf_drawings(spark, sf_dir: str) -> DataFrame:
 @register("pdf_rejects", "SELECT doc_id, CASE WHEN text IS NULL THEN 'null' ELSE 'damaged' END AS what FROM documents")
 def pdf_rejects(spark, sf_dir: str) -> DataFrame:
     """[S1, S6] Every file with its head cut off, or null: each becomes a row of the rejects, and none stops the others."""
-    files = pdf_files(table(spark, sf_dir, "documents"))
-    cut = files.select("path", F.expr("substring(content, 9, length(content))").alias("content"))
+    docs = table(spark, sf_dir, "documents")
+    cut = pdf_files(docs).select("path", F.expr("substring(content, 9, length(content))").alias("content"))
     rejects = pdf.file_parts(cut).where("kind = 'reject'")
-    return rejects.join(files.select(F.col("path").alias("doc_id"), F.col("content").isNull().alias("none")), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("none"), "null").otherwise("damaged").alias("what"))
+    return rejects.join(docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").isNull().alias("none")), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("none"), "null").otherwise("damaged").alias("what"))
 
 
 _FOLD = """list_reduce(list_prepend(CAST([] AS STRUCT(x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[]), list_transform(r, lambda x: [x])), lambda g, s: CASE WHEN len(list_filter(g, lambda q: near(q, s[1]))) = 0 THEN list_append(g, s[1])
