@@ -201,12 +201,12 @@ def _packing(most: int) -> Callable[[State, tuple], tuple[State, int]]:
 def row_chunks(paras: DataFrame, most: int = 1500) -> DataFrame:
     """[P4, P5, P7] (doc_id, chunk_no, text, ends_paragraph): the chunks of documents whose paragraphs are rows (doc_id, para_no, text), as ``segmentation.chunks`` gives them.
 
-    Units are found within each paragraph, and chunks begin where a fold over their lengths says, a row a block. Then
+    Units are found once, within each paragraph, and chunks begin where a fold over their lengths says, a row a block. Then
     paragraphs move once, into their blocks, and only the pieces of a chunk that goes on from block to block, at most ``most``
     characters, meet again. Paragraph numbers are whole numbers.
     """
-    paras, _ = written(paras.select("doc_id", _block("para_no"), "para_no", F.coalesce("text", F.lit("")).alias("text")), "paras")
-    packed = F.transform(seg.units(F.array("text"), most), lambda u: F.length(u["text"]) * 4 + u["whole"].cast("int") * 2 + u["first"].cast("int"))
+    paras, _ = written(paras.select("doc_id", _block("para_no"), "para_no", seg.units(F.array(F.coalesce("text", F.lit(""))), most).alias("units")), "units")
+    packed = F.transform("units", lambda u: F.length(u["text"]) * 4 + u["whole"].cast("int") * 2 + u["first"].cast("int"))
     sizes = paras.select("doc_id", "block", F.struct("para_no", packed.alias("u")).alias("x")).groupBy("doc_id", "block").agg(F.array_sort(F.collect_list("x")).alias("l"))
     step = _packing(most)
 
@@ -238,8 +238,8 @@ def row_chunks(paras: DataFrame, most: int = 1500) -> DataFrame:
 
         return F.when(F.size(u) > 0, T.let(starts, lambda s: F.transform(s, run(s))))
 
-    met = _together((paras, "l", F.struct("para_no", "text"), True), (begun, "b", F.col("b"), False), (counts, "i", F.col("i"), False))
-    found = lambda rows: rows.select("doc_id", "block", F.inline(T.let(seg.units(F.transform("l", lambda x: x["text"]), most), pieces)))
+    met = _together((paras, "l", F.struct("para_no", "units"), True), (begun, "b", F.col("b"), False), (counts, "i", F.col("i"), False))
+    found = lambda rows: rows.select("doc_id", "block", F.inline(T.let(F.flatten(F.transform("l", lambda x: x["units"])), pieces)))
     parts = found(met.where("i.more or b[0] = 0")).where("shared").groupBy("doc_id", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("block", "text", "ends_paragraph"))).alias("l"))
     parts = parts.select("doc_id", "chunk_no", F.array_join(F.transform("l", lambda x: x["text"]), "").alias("text"), F.element_at("l", -1)["ends_paragraph"].alias("ends_paragraph"))
     return found(met).where("not shared").select(parts.columns).unionByName(parts).select("doc_id", "chunk_no", T.strip(F.col("text")).alias("text"), "ends_paragraph")
