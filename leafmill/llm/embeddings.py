@@ -61,7 +61,7 @@ class Caps:
         best = np.sort((heads[:, :, None] + high[:, None, :top]).reshape(len(unit), -1), axis=1)[:, -top]
         edge = np.minimum(self.edge, best)
         rows, heads = np.nonzero(first + high[:, :1] >= edge[:, None])
-        need = edge[rows] - first[rows, heads]
+        own, need = first[rows, heads], edge[rows]
         out_r, out_d, k = [], [], 0
         while len(rows):
             out_r.append(rows)
@@ -69,8 +69,8 @@ class Caps:
             k += 1
             if k == self.codes:
                 break
-            stay = high[rows, k] >= need
-            rows, heads, need = rows[stay], heads[stay], need[stay]
+            stay = own + high[rows, k] >= need  # the sum as in best: the difference need - own may round past the last of the least
+            rows, heads, own, need = rows[stay], heads[stay], own[stay], need[stay]
         return np.concatenate(out_r or [rows]), np.concatenate(out_d or [heads])
 
 

@@ -103,3 +103,9 @@ def test_decoding_lists_exactly_the_caps():
     fourth = np.sort(scores, axis=1)[:, -4]
     want = {tuple(x) for x in np.argwhere(scores >= np.minimum(caps.edge, fourth)[:, None] - 1e-12)}
     assert set(zip(*map(np.ndarray.tolist, caps.decode(unit, 4)), strict=True)) == want
+
+
+def test_every_vector_lies_in_the_least_caps():
+    """Its least best caps are all listed: the last of them lies on the edge itself, and no rounding takes it away."""
+    unit = E._unit(np.random.default_rng(11).standard_normal((2000, 64)))
+    assert np.bincount(E.Caps(64, 64).decode(unit, 10)[0], minlength=2000).min() == 10
