@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.memory import give_back
 from leafmill.scratch import remove, scratch_path, shared_dir, written
 
-__all__ = ["BITMAP_WORDS", "CRC32", "bitmap", "connected_components", "give_back", "hash_of", "may_hold", "parted", "remove", "scratch_path", "shared_dir", "written"]
+__all__ = ["BITMAP_WORDS", "CRC32", "bitmap", "connected_components", "give_back", "hash_of", "may_hold", "parted", "remove", "scratch_path", "shared_dir", "shuffled", "written"]
 
 #: crc32 of a text in DuckDB's SQL, unsigned: bytes and their bits one by one.
 CRC32 = """xor(list_reduce(list_transform(range(1, strlen({0}) + 1), lambda i: CAST(ord(substr({0}, i, 1)) AS BIGINT)), lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295), 4294967295)"""
@@ -47,6 +47,15 @@ def may_hold(bits: Column, h: Column, words: int) -> Column:
     return F.coalesce(hit(0, 36) & hit(18, 42), F.lit(False))
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """``side`` for a join of which both sides grow with the input: it is merged, never sent whole through the driver.
+
+    Spark sizes a side by its files or by the rows below an explode, before the join as well as while it runs, so it would broadcast
+    one of many times the threshold.
+    """
+    return side.hint("merge")
+
+
 def parted(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``rows`` whose key is surely not in the one column of ``keys``, and the others with their key as ``__key``.
 
@@ -98,11 +107,11 @@ def _checksum(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(shuffled(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """``edges`` point from the larger to the smaller node."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    rest = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    rest = edges.join(shuffled(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.union(least.select("u", F.col("m").alias("v"))).distinct()

@@ -94,7 +94,7 @@ def links(prints: DataFrame) -> DataFrame:
         & (F.bit_count(F.expr("shiftrightunsigned(tu ^ tv, 16)")) <= 2)
         & (F.bit_count(F.expr("tu ^ tv")) <= MAX_BITS)
     )
-    return probe.join(index, (probe.key == index.key) & near).select("u", "v")
+    return probe.join(common.shuffled(index), (probe.key == index.key) & near).select("u", "v")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
@@ -112,10 +112,10 @@ def joined_groups(prints: DataFrame, linked: Callable[[DataFrame], DataFrame]) -
     """The rows of ``groups`` from written (id, fp) and a function from distinct fp to linked pairs (u, v)."""
     nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
     found = common.connected_components(linked(nodes.select("fp")))
-    labelled = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    labelled = nodes.join(common.shuffled(found), nodes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("k")).select("component", F.col("k.least").alias("component_id"), F.col("k.fp").alias("kept_fp"))
-    by_print = labelled.select("fp", "component").join(smallest, "component").select(F.col("fp").alias("node"), "component_id", "kept_fp")
-    return prints.join(by_print, prints.fp == by_print.node, "left").select("id", "fp", "component_id", "kept_fp")
+    by_print = labelled.select("fp", "component").join(common.shuffled(smallest), "component").select(F.col("fp").alias("node"), "component_id", "kept_fp")
+    return prints.join(common.shuffled(by_print), prints.fp == by_print.node, "left").select("id", "fp", "component_id", "kept_fp")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
@@ -142,16 +142,16 @@ def one_a_group(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str,
     special = docs.where(F.col(id_col).isNull()) if found.where("id is null").limit(1).count() else None
     if not repeated.isEmpty():
         once, more = common.parted(named, F.col(id_col), repeated)
-        named = once.unionByName(more.join(repeated, F.col("__key") == F.col("__id"), "left_anti").select(*docs.columns))
-        again = more.join(repeated, F.col("__key") == F.col("__id"), "left_semi").select(*docs.columns)
+        named = once.unionByName(more.join(common.shuffled(repeated), F.col("__key") == F.col("__id"), "left_anti").select(*docs.columns))
+        again = more.join(common.shuffled(repeated), F.col("__key") == F.col("__id"), "left_semi").select(*docs.columns)
         special = again if special is None else special.unionByName(again)
     clean, maybe = common.parted(named, F.col(id_col), drop)
-    kept = clean.unionByName(maybe.join(drop, F.col("__key") == F.col("__drop"), "left_anti").select(*docs.columns))
+    kept = clean.unionByName(maybe.join(common.shuffled(drop), F.col("__key") == F.col("__drop"), "left_anti").select(*docs.columns))
     if special is None:
         return kept
     keep = found.where(stays).select(F.col("id").alias("__id"), F.col("fp").alias("__kept")).distinct()
     rows = _with_print(special, text_col, of)
-    rows = rows.join(keep, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept")), "left_semi")
+    rows = rows.join(common.shuffled(keep), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept")), "left_semi")
     first = Window.partitionBy(id_col, "__fp").orderBy(F.col(text_col).asc_nulls_first(), F.xxhash64(*docs.columns))
     return kept.unionByName(rows.withColumn("__turn", F.row_number().over(first)).where("__turn = 1").select(*docs.columns))
 
