@@ -139,7 +139,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     scanned, _ = common.written(some, "scan")
     hits, _ = common.written(verified(scanned, windows).select(F.col("__key").alias("__hit"), F.col("spans").alias("__spans")), "hits")
     clean, maybe = common.parted(docs, _key(text_col), hits.select("__hit"))
-    joined = lambda how: maybe.join(hits, F.col("__key") == F.col("__hit"), how)
+    joined = lambda how: maybe.join(common.shuffled(hits), F.col("__key") == F.col("__hit"), how)
     if remove == "documents":
         return clean.unionByName(joined("left_anti").select(*columns))
     pieces = F.split(F.col(text_col), r"(?<=[0-9A-Za-z\u0080-\x{10FFFF}])(?=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])|(?<=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[0-9A-Za-z\u0080-\x{10FFFF}])")

@@ -146,7 +146,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     bits, words = common.bitmap(asked.select(F.xxhash64("fp")))
     some = sets.where(common.may_hold(bits.scalar(), F.xxhash64("fp"), words)).select("fp", "h").dropDuplicates(["fp"])
     some, path = common.written(some, "sets")
-    both = pairs.join(some.select(F.col("fp").alias("u"), F.col("h").alias("hu")), "u").join(some.select(F.col("fp").alias("v"), F.col("h").alias("hv")), "v")
+    of = lambda side: common.shuffled(some.select(F.col("fp").alias(side), F.col("h").alias(f"h{side}")))
+    both = pairs.join(of("u"), "u").join(of("v"), "v")
     common_size = F.size(F.array_intersect("hu", "hv"))
     out, _ = common.written(both.where(common_size * (NUM + DEN) >= (F.size("hu") + F.size("hv")) * NUM).select("u", "v"), "links")
     common.remove(pairs.sparkSession, path)
@@ -158,7 +159,7 @@ _COARSE = "(" + " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in _PARITY) + f") *
 
 def _plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """Those of ``pairs`` (u, v) whose sizes and fine parity bits allow the similarity. The longer of two bitmaps is folded."""
-    of = lambda side: facts.select(F.col("fp").alias(side), F.col("n").alias(f"n_{side}"), F.col("fine").alias(f"fine_{side}"))
+    of = lambda side: common.shuffled(facts.select(F.col("fp").alias(side), F.col("n").alias(f"n_{side}"), F.col("fine").alias(f"fine_{side}")))
     folded = lambda x, y: f"if(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (i, j) -> i ^ j), {x})"
     differ = f"aggregate(zip_with({folded('fine_u', 'fine_v')}, {folded('fine_v', 'fine_u')}, (i, j) -> bit_count(i ^ j)), 0, (s, x) -> s + x)"
     near = f"least(n_u, n_v) * {DEN} >= greatest(n_u, n_v) * {NUM} and {differ} * {NUM + DEN} <= (n_u + n_v) * {DEN - NUM}"
@@ -190,20 +191,20 @@ def links(sets: DataFrame) -> DataFrame:
     facts, facts_path = common.written(sets.select("fp", F.size("h").alias("n"), "fine", *_PARITY).dropDuplicates(["fp"]), "facts")
     place = F.struct("fp", "n", "at")
     hubs = shared.groupBy("token", "class").agg(F.array_distinct(F.array(*[F.min_by(place, F.xxhash64("fp", F.lit(k))) for k in range(ORDERS)])).alias("hubs"))
-    star = shared.join(hubs.select("token", "class", F.explode("hubs").alias("hub")), ["token", "class"]).where((F.col("fp") != F.col("hub.fp")) & F.expr(_possible("n", "at", "hub.n", "hub.at")))
+    star = shared.join(common.shuffled(hubs.select("token", "class", F.explode("hubs").alias("hub"))), ["token", "class"]).where((F.col("fp") != F.col("hub.fp")) & F.expr(_possible("n", "at", "hub.n", "hub.at")))
     pairs = star.select(F.least("hub.fp", "fp").alias("u"), F.greatest("hub.fp", "fp").alias("v")).distinct()
     first, _ = common.written(_plausible(pairs, facts), "pairs")
     found = _verified(first, sets)
     component = common.connected_components(found)
-    placed = shared.join(component, shared.fp == component.node, "left").select("token", "fp", "n", "at", F.coalesce("component", "fp").alias("c"))
+    placed = shared.join(common.shuffled(component), shared.fp == component.node, "left").select("token", "fp", "n", "at", F.coalesce("component", "fp").alias("c"))
     mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    rest, rest_path = common.written(placed.join(mixed, "token", "left_semi").join(facts.drop("n", "fine"), "fp"), "prefixes")
+    rest, rest_path = common.written(placed.join(common.shuffled(mixed), "token", "left_semi").join(common.shuffled(facts.drop("n", "fine")), "fp"), "prefixes")
     a, b = (rest.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("fp", "n", "at", "c", *_PARITY)]) for side in "ab")
     near = F.expr(
         f"""c_a <> c_b and (n_a < n_b or n_a = n_b and fp_a < fp_b) and {_possible("n_a", "at_a", "n_b", "at_b")} and at_a * {NUM + DEN} <= n_a * {DEN - NUM} and {_COARSE}"""
     )
-    second = a.join(b, "token").where(near).select(F.least("fp_a", "fp_b").alias("u"), F.greatest("fp_a", "fp_b").alias("v")).distinct()
-    more, _ = common.written(_plausible(second.join(first, ["u", "v"], "left_anti"), facts), "pairs")
+    second = a.join(common.shuffled(b), "token").where(near).select(F.least("fp_a", "fp_b").alias("u"), F.greatest("fp_a", "fp_b").alias("v")).distinct()
+    more, _ = common.written(_plausible(second.join(common.shuffled(first), ["u", "v"], "left_anti"), facts), "pairs")
     out = found if more.isEmpty() else found.union(_verified(more, sets))
     for spent in (path, rest_path, facts_path):
         common.remove(spark, spent)
@@ -216,8 +217,8 @@ def print_links(prints: DataFrame) -> DataFrame:
     One fp stands for all of a fingerprint, so there are no more pairs than rows and links of distinct fingerprints.
     """
     least, _ = common.written(prints.groupBy("sim").agg(F.min("fp").alias("least")), "prints")
-    same = prints.join(least, "sim").where("fp <> least").select(F.col("least").alias("u"), F.col("fp").alias("v"))
-    of = lambda side: least.select(F.col("sim").alias(side), F.col("least").alias(f"fp_{side}"))
+    same = prints.join(common.shuffled(least), "sim").where("fp <> least").select(F.col("least").alias("u"), F.col("fp").alias("v"))
+    of = lambda side: common.shuffled(least.select(F.col("sim").alias(side), F.col("least").alias(f"fp_{side}")))
     near = simhash.links(least.select(F.col("sim").alias("fp"))).join(of("u"), "u").join(of("v"), "v").where("fp_u <> fp_v")
     return same.union(near.select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v")))
 
